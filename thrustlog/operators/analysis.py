@@ -5,10 +5,10 @@ seconds, thrust. All detectors are aggregates by run, combined before the shuffl
 comes back to the rows by ``join_run_values``, which spreads a long run over many tasks.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from thrustlog.constants import (
+    DEFAULT_THRUST_SENSOR,
     END_FRACTION,
     END_SEARCH_DELAY_SEC,
     REPORT_MARGIN_SEC,
@@ -21,26 +21,31 @@ from thrustlog.plans.per_run import join_run_values
 from thrustlog.plans.scan import number_block, positions, previous_value, running, running_sum
 
 
-def trace_from_readings(converted, thrust_sensor="Load Cell"):
-    """Thrust trace of gap-free runs: positions follow from the scan numbers, no sort needed."""
+def trace_from_readings(converted, thrust_sensor=DEFAULT_THRUST_SENSOR):
+    """Thrust trace of gap-free runs: positions follow from the scan numbers, no sort needed.
+
+    With ``run_scans`` in the readings the trace is a plain filter and projection; without it the
+    scans of each run are counted first.
+    """
     thrust = converted.where(F.col("sensor_name") == thrust_sensor)
+    y = nan_as_null(F.col("value")).alias("y")
+    if "run_scans" in converted.columns:
+        return thrust.select(
+            "run_id",
+            (F.col("scan_no") - 1).alias("pos"),
+            F.col("run_scans").alias("n"),
+            F.col("seconds").alias("t"),
+            y,
+        )
     runs = thrust.groupBy("run_id").agg(
-        F.min("scan_no").alias("first_scan"), F.count("*").alias("n")
+        F.min("scan_no").alias("_first"),
+        F.count("*").alias("n"),
+        (F.max("scan_no") + 1).alias("_reach"),
     )
-    placed = thrust.select(
-        "run_id", F.col("scan_no").alias("pos"), F.col("seconds").alias("t"), "value"
-    )
-    # Slices follow the scan number, so the value row of a run must reach its last scan.
-    reach = runs.withColumn("_reach", F.col("first_scan") + F.col("n")).withColumn(
-        "rows", F.col("n")
-    )
-    joined = join_run_values(placed, reach.drop("n"), length="_reach")
+    placed = thrust.select("run_id", F.col("scan_no").alias("pos"), "seconds", "value")
+    joined = join_run_values(placed, runs, length="_reach")
     return joined.select(
-        "run_id",
-        (F.col("pos") - F.col("first_scan")).alias("pos"),
-        F.col("rows").alias("n"),
-        "t",
-        nan_as_null(F.col("value")).alias("y"),
+        "run_id", (F.col("pos") - F.col("_first")).alias("pos"), "n", F.col("seconds").alias("t"), y
     )
 
 
@@ -270,7 +275,7 @@ def summary_text(summary):
     return summary.select("run_id", text.alias("value"))
 
 
-def margin_readings(converted, burn, margin=REPORT_MARGIN_SEC, thrust_sensor="Load Cell"):
+def margin_readings(converted, burn, margin=REPORT_MARGIN_SEC, thrust_sensor=DEFAULT_THRUST_SENSOR):
     """Readings of all sensors around the burn, thrust zeroed, time from the margin's start."""
     bounds = burn.select("run_id", "starting_min", "start_t", "end_t", F.col("n").alias("_length"))
     seconds, lit = F.col("seconds"), F.lit(float(margin))
@@ -288,7 +293,7 @@ def margin_readings(converted, burn, margin=REPORT_MARGIN_SEC, thrust_sensor="Lo
     )
 
 
-def report_axis(kept, config, thrust_sensor="Load Cell", step=10):
+def report_axis(kept, config, thrust_sensor=DEFAULT_THRUST_SENSOR, step=10):
     """Per run and sensor: axis limits of the report."""
     extremes = kept.groupBy("run_id", "sensor_name").agg(
         F.max("value").alias("_high"), F.min("value").alias("_low")

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from thrustlog.constants import SCAN_OVERRUN, SCAN_RUNNING
 from thrustlog.functions.device import drift_report
 from thrustlog.functions.signal import scan_seconds, volts
-from thrustlog.plans.scan import integer_div, number_block, previous_value, running, running_sum
+from thrustlog.plans.scan import (
+    integer_div,
+    key_total,
+    number_block,
+    previous_value,
+    running,
+    running_sum,
+)
 
 
 def scans_in(data, nchan):
@@ -44,7 +51,7 @@ def gate_batches(batches, block_width=1024):
 
 
 def number_batches(batches, nchan, block_width=1024):
-    """Add ``transfer_no`` and ``scan_offset``, the scans of earlier batches of the run."""
+    """Add ``transfer_no``, ``scan_offset`` (scans of earlier batches) and ``run_scans`` (of all)."""
     return running(
         batches,
         ["run_id"],
@@ -52,6 +59,7 @@ def number_batches(batches, nchan, block_width=1024):
         number_block(F.col("batch_id"), block_width),
         transfer_no=running_sum(F.lit(1).cast("long")),
         scan_offset=running_sum(scans_in(F.col("data"), nchan), exclusive=True),
+        run_scans=key_total(scans_in(F.col("data"), nchan)),
     )
 
 
@@ -66,12 +74,15 @@ def while_armed(gated):
 
 
 def until_run_time(numbered, frequency, max_seconds):
-    """Stop after the first batch that ends beyond ``max_seconds``; 0 means no limit."""
+    """Stop after the first batch that ends beyond ``max_seconds``; 0 means no limit.
+
+    A cut run no longer has the length in ``run_scans``, so that column goes.
+    """
     if not max_seconds:
         return numbered
     return numbered.where(
         scan_seconds(F.col("scan_offset"), frequency) <= F.lit(float(max_seconds))
-    )
+    ).drop("run_scans")
 
 
 def accepted_batches(batches, nchan, frequency, max_seconds=0):
@@ -100,8 +111,12 @@ def dropped_codes(batches, nchan):
 
 
 def readings(numbered, nchan, frequency):
-    """Long form of numbered batches: run, batch, scan number, seconds, channel, code, volts."""
+    """Long form of numbered batches: run, batch, scan number, seconds, channel, code, volts.
+
+    ``run_scans`` stays where the batches have it.
+    """
     scan_no = F.col("scan_offset") + F.col("scan") + 1
+    length = ["run_scans"] if "run_scans" in numbered.columns else []
     return deinterleave(numbered, nchan).select(
         "run_id",
         "batch_id",
@@ -110,6 +125,7 @@ def readings(numbered, nchan, frequency):
         "channel",
         "code",
         volts(F.col("code")).alias("volts"),
+        *length,
     )
 
 

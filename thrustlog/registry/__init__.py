@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["analysis"]
+MODULES = ["analysis", "decode", "scalars", "convert", "commands"]
 
 
 def _merged(attribute):

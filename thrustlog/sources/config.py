@@ -25,7 +25,11 @@ def config_text(config, keys=()):
     """
     fields = sorted(f.name for f in SENSOR_CONFIG.fields)
     entry = F.struct("sensor_id", F.struct(*fields).alias("cfg"))
-    document = F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
+    def by_id(a, b):
+        return F.when(a["sensor_id"] < b["sensor_id"], -1).otherwise(1)
+
+    document = F.map_from_entries(F.array_sort(F.collect_list(entry), by_id))
     return config.groupBy(*keys).agg(F.to_json(document, {"pretty": "true"}).alias("value"))
 
 
