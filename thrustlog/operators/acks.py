@@ -85,12 +85,22 @@ def aborted_attempts(matched, ready_changes, timeout_sec=COMMAND_ACK_TIMEOUT_SEC
     )
 
 
-def due_resends(matched, now, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, keys=("remoteid", "command", "request")):
-    """Requests without an acknowledgement whose last attempt is at least the timeout ago."""
-    open_requests = matched.groupBy(*keys).agg(
-        F.count("*").alias("attempts"),
-        F.max("ts").alias("last_ts"),
-        F.bool_or(F.col("ack_ts").isNotNull()).alias("_done"),
+def due_resends(
+    waiting, now, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, keys=("remoteid", "command", "request")
+):
+    """Requests whose last attempt is at least the timeout ago.
+
+    ``waiting`` has the attempts of requests without an acknowledgement, see ``open_attempts``.
+    """
+    requests = waiting.groupBy(*keys).agg(
+        F.count("*").alias("attempts"), F.max("ts").alias("last_ts")
     )
-    due = F.col("last_ts") + F.make_dt_interval(secs=F.lit(timeout_sec)) <= now
-    return open_requests.where(~F.col("_done") & due).drop("_done")
+    return requests.where(
+        F.col("last_ts") + F.make_dt_interval(secs=F.lit(timeout_sec)) <= now
+    )
+
+
+def open_attempts(matched, keys=("remoteid", "command", "request")):
+    """Attempts of requests none of whose attempts is acknowledged."""
+    done = matched.where(F.col("ack_ts").isNotNull()).select(*keys).distinct()
+    return matched.join(done, list(keys), "left_anti")

@@ -68,62 +68,76 @@ def last_but_one_second(pos, n, f):
     return (pos >= F.greatest(n - 2 * f, F.lit(0))) & (pos < n - f)
 
 
-def run_limits(trace, f):
-    """Per run: rows, ``starting_min``, ``test_max``, ``ending_min`` and both thresholds."""
-    pos, n, y = F.col("pos"), F.col("n"), F.col("y")
-    limits = trace.groupBy("run_id").agg(
-        F.max("n").alias("n"),
+def _limits(pos, n, y, f):
+    """Aggregates for the limits of a trace."""
+    return [
         F.min(F.when(second_one(pos, f), y)).alias("starting_min"),
         F.max(F.when(interior(pos, n, f), y)).alias("test_max"),
         F.min(F.when(last_but_one_second(pos, n, f), y)).alias("ending_min"),
-    )
+    ]
 
-    def threshold(floor, fraction):
-        return (F.col("test_max") - floor) * F.lit(fraction) + floor
 
-    return limits.withColumns({
-        "start_threshold": threshold(F.col("starting_min"), START_FRACTION),
-        "end_threshold": threshold(F.col("ending_min"), END_FRACTION),
-    })
+def _threshold(test_max, floor, fraction):
+    return (test_max - floor) * F.lit(fraction) + floor
 
 
-def detect_burn(trace, f):
-    """Per run: limits and the burn's start and end.
+def _ends(pos, t, y, limits):
+    """Aggregates for the outermost rows of a trace and those above the thresholds."""
+    starts = y > _threshold(limits["test_max"], limits["starting_min"], START_FRACTION)
+    lasts = y > _threshold(limits["test_max"], limits["ending_min"], END_FRACTION)
+    return [
+        F.min(t).alias("_first"),
+        F.max(t).alias("_last"),
+        F.min(F.when(starts, t)).alias("_above_first"),
+        F.max(F.when(lasts, t)).alias("_above_last"),
+        F.min(pos).alias("_first_pos"),
+        F.max(pos).alias("_last_pos"),
+        F.min(F.when(starts, pos)).alias("_above_first_pos"),
+        F.max(F.when(lasts, pos)).alias("_above_last_pos"),
+    ]
+
+
+def _burn(names=("start_t", "end_t", "start_pos", "end_pos")):
+    """Start and end from those aggregates.
 
     The end is the last row above its threshold if that lies beyond the start by the delay; every
     earlier such row lies nearer to the start, so one pass finds both.
     """
-    limited = join_run_values(
-        trace, run_limits(trace, f).withColumnRenamed("n", "_length"), length="_length"
+    start = F.coalesce(F.col("_above_first"), F.col("_first"))
+    late = F.col("_above_last") > start + F.lit(END_SEARCH_DELAY_SEC)
+    return [
+        start.alias(names[0]),
+        F.when(late, F.col("_above_last")).otherwise(F.col("_last")).alias(names[1]),
+        F.coalesce(F.col("_above_first_pos"), F.col("_first_pos")).alias(names[2]),
+        F.when(late, F.col("_above_last_pos")).otherwise(F.col("_last_pos")).alias(names[3]),
+    ]
+
+
+def _kept_values(names):
+    return [F.any_value(name).alias(name) for name in names]
+
+
+def run_limits(trace, f):
+    """Per run: rows, ``starting_min``, ``test_max`` and ``ending_min``."""
+    return trace.groupBy("run_id").agg(
+        F.max("n").alias("n"), *_limits(F.col("pos"), F.col("n"), F.col("y"), f)
     )
-    t, y = F.col("t"), F.col("y")
+
+
+LIMITS = ["starting_min", "test_max", "ending_min"]
+BURN = ["start_t", "end_t", "start_pos", "end_pos"]
+
+
+def detect_burn(trace, f):
+    """Per run: limits and the burn's start and end."""
+    limits = run_limits(trace, f).withColumnRenamed("n", "_length")
+    limited = join_run_values(trace, limits, length="_length")
     found = limited.groupBy("run_id").agg(
         F.max("n").alias("n"),
-        F.any_value("starting_min").alias("starting_min"),
-        F.any_value("test_max").alias("test_max"),
-        F.any_value("ending_min").alias("ending_min"),
-        F.min("t").alias("_first"),
-        F.max("t").alias("_last"),
-        F.min(F.when(y > F.col("start_threshold"), t)).alias("_above_first"),
-        F.max(F.when(y > F.col("end_threshold"), t)).alias("_above_last"),
-        F.min("pos").alias("_first_pos"),
-        F.max("pos").alias("_last_pos"),
-        F.min(F.when(y > F.col("start_threshold"), F.col("pos"))).alias("_above_first_pos"),
-        F.max(F.when(y > F.col("end_threshold"), F.col("pos"))).alias("_above_last_pos"),
-    )
-    start = F.coalesce(F.col("_above_first"), F.col("_first"))
-    late = F.col("_above_last") > start + F.lit(END_SEARCH_DELAY_SEC)
-    return found.select(
-        "run_id",
-        "n",
-        "starting_min",
-        "test_max",
-        "ending_min",
-        start.alias("start_t"),
-        F.when(late, F.col("_above_last")).otherwise(F.col("_last")).alias("end_t"),
-        F.coalesce(F.col("_above_first_pos"), F.col("_first_pos")).alias("start_pos"),
-        F.when(late, F.col("_above_last_pos")).otherwise(F.col("_last_pos")).alias("end_pos"),
+        *_kept_values(LIMITS),
+        *_ends(F.col("pos"), F.col("t"), F.col("y"), {c: F.col(c) for c in LIMITS}),
     )
+    return found.select("run_id", "n", *LIMITS, *_burn())
 
 
 def zero_thrust(trace, f):
@@ -137,21 +151,24 @@ def zero_thrust(trace, f):
 
 
 def _cut(trace, burn, margin):
-    bounds = burn.select(
-        "run_id",
-        F.col("n").alias("_length"),
-        "starting_min",
-        "start_t",
-        "end_t",
-        "start_pos",
-        "end_pos",
-    )
+    """Rows of ``trace`` inside the burn, with all columns of ``burn``."""
     t, margin = F.col("t"), F.lit(float(margin))
+    bounds = burn.withColumnRenamed("n", "_length")
     return join_run_values(trace, bounds, length="_length").where(
         (t > F.col("start_t") - margin) & (t < F.col("end_t") + margin)
     )
 
 
+def _inner():
+    """Position, length, time and thrust of a row when only the burn itself is kept."""
+    return (
+        F.col("pos") - F.col("start_pos") - 1,
+        F.col("end_pos") - F.col("start_pos") - 1,
+        rebased_seconds(F.col("t"), F.col("start_t")),
+        F.col("y") - F.col("starting_min"),
+    )
+
+
 def cut_trace(trace, f, margin=0.0, burn=None):
     """Rows inside the burn (both ends left out), thrust zeroed, time from the burn's start.
 
@@ -161,44 +178,43 @@ def cut_trace(trace, f, margin=0.0, burn=None):
     """
     burn = detect_burn(trace, f) if burn is None else burn
     kept = _cut(trace, burn, margin)
-    if margin == 0:
-        first = F.col("start_pos") + 1
-        rows = F.col("end_pos") - F.col("start_pos") - 1
-    else:
+    pos, rows, _, zeroed = _inner()
+    if margin:
         stretch = kept.groupBy("run_id").agg(
             F.min("pos").alias("_from"),
             F.max("pos").alias("_to"),
             F.max("n").alias("_length"),
         )
         kept = join_run_values(kept, stretch, length="_length")
-        first = F.col("_from")
-        rows = F.col("_to") - F.col("_from") + 1
+        pos, rows = F.col("pos") - F.col("_from"), F.col("_to") - F.col("_from") + 1
     return kept.select(
         "run_id",
-        (F.col("pos") - first).alias("pos"),
+        pos.alias("pos"),
         rows.alias("n"),
         rebased_seconds(F.col("t"), F.col("start_t"), margin).alias("t"),
-        (F.col("y") - F.col("starting_min")).alias("y"),
+        zeroed.alias("y"),
     )
 
 
-def impulse_and_thrust(cut, f):
-    """Per run: impulse (trapezoid rule at step 1/f over thrust above zero) and average thrust.
+def _figures(pos, y, present, f):
+    """Aggregates for kept rows, impulse and average thrust; ``present`` marks the kept rows.
 
-    The closed form of the rule needs only sums and the two end values, so no row order. A missing
-    thrust value makes the impulse unknown.
+    Impulse is the trapezoid rule at step 1/f over thrust above zero. Its closed form needs only
+    sums and the two end values, so no row order. A missing thrust value makes it unknown.
     """
-    y = F.col("_clipped")
-    area = F.sum(y) - (F.min_by(y, "pos") + F.max_by(y, "pos")) / F.lit(2.0)
-    return (
-        cut.withColumn("_clipped", clip_below_zero(F.col("y")))
-        .groupBy("run_id")
-        .agg(
-            F.count("*").alias("kept"),
-            F.when(F.count("_clipped") == F.count("*"), area / F.lit(float(f))).alias("impulse"),
-            F.avg("_clipped").alias("average_thrust"),
-        )
-    )
+    clipped = clip_below_zero(y)
+    area = F.sum(clipped) - (F.min_by(clipped, pos) + F.max_by(clipped, pos)) / F.lit(2.0)
+    whole = F.count(clipped) == F.count_if(present)
+    return [
+        F.count_if(present).alias("kept"),
+        F.when(whole, area / F.lit(float(f))).alias("impulse"),
+        F.avg(clipped).alias("average_thrust"),
+    ]
+
+
+def impulse_and_thrust(cut, f):
+    """Per run of a cut trace: kept rows, impulse and average thrust."""
+    return cut.groupBy("run_id").agg(*_figures(F.col("pos"), F.col("y"), F.lit(True), f))
 
 
 def cumulative_impulse(cut, f, block_rows=4096):
@@ -233,30 +249,54 @@ def burn_time(cut, f):
 def run_summary(trace, f):
     """One row per run: class, designation, impulse, average thrust, burn time, start, end.
 
-    A run that keeps no row, or is too short to be zeroed, has nulls in place of its figures.
+    Four aggregates over the trace, each with the values of the one before joined to its rows:
+    limits, burn, figures and limits of the cut rows, burn of the cut rows. A run that keeps no
+    row, or is too short to be zeroed, has nulls in place of its figures.
     """
     burn = detect_burn(trace, f)
-    cut = cut_trace(trace, f, burn=burn)
-    figures = impulse_and_thrust(cut, f)
-    times = burn_time(cut, f)
+    inside = (F.col("t") > F.col("start_t")) & (F.col("t") < F.col("end_t"))
+
+    def kept(column):
+        return F.when(inside, column)
+
+    def bounded(values):
+        return join_run_values(trace, values.withColumnRenamed("n", "_length"), length="_length")
+
+    inner_pos, rows, inner_t, zeroed = _inner()
+    pos, t, y = kept(inner_pos), kept(inner_t), kept(zeroed)
+    carried = ["start_t", "end_t", "start_pos", "end_pos", "starting_min"]
+    cut_limits = [c.alias(f"cut_{n}") for n, c in zip(LIMITS, _limits(pos, rows, y, f))]
+    figures = ["impulse", "average_thrust", *[f"cut_{name}" for name in LIMITS]]
+    measured = bounded(burn).groupBy("run_id").agg(
+        F.max("n").alias("n"),
+        *_kept_values(carried),
+        *_figures(pos, y, inside, f),
+        *cut_limits,
+    )
+    again = bounded(measured).groupBy("run_id").agg(
+        *_kept_values(["start_t", "end_t", *figures]),
+        *_ends(pos, t, y, {name: F.col(f"cut_{name}") for name in LIMITS}),
+    )
+    found = again.select(
+        "run_id",
+        "impulse",
+        "average_thrust",
+        (F.col("end_t") - F.col("start_t")).alias("burn_time_first_pass"),
+        *_burn(("start_time", "end_time", "_from", "_to")),
+    )
     impulse, thrust = F.col("impulse"), F.col("average_thrust")
     known = thrust.isNotNull()
-    return (
-        burn.select("run_id", (F.col("end_t") - F.col("start_t")).alias("burn_time_first_pass"))
-        .join(figures, "run_id", "left")
-        .join(times, "run_id", "left")
-        .select(
-            "run_id",
-            F.when(known, motor_class(impulse)).alias("motor_class"),
-            F.when(known, designation(motor_class(impulse), thrust)).alias("designation"),
-            impulse,
-            thrust,
-            "burn_time",
-            "start_time",
-            "end_time",
-            "burn_time_first_pass",
-            class_overflow(impulse).alias("class_overflow"),
-        )
+    return found.select(
+        "run_id",
+        F.when(known, motor_class(impulse)).alias("motor_class"),
+        F.when(known, designation(motor_class(impulse), thrust)).alias("designation"),
+        F.when(known, impulse).alias("impulse"),
+        thrust,
+        (F.col("end_time") - F.col("start_time")).alias("burn_time"),
+        "start_time",
+        "end_time",
+        "burn_time_first_pass",
+        class_overflow(impulse).alias("class_overflow"),
     )
 
 

@@ -42,17 +42,22 @@ def in_session(rows, session_table, key="remoteid", block_seconds=BLOCK_SECONDS)
     columns = rows.columns
     nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns
                if c not in (key, "ts", "id")]
-    no_start = F.lit(None).cast("timestamp").alias("_start")
-    starts = session_table.select(
-        F.col(key), F.col("start_ts").alias("ts"), F.col("start_id").alias("id"), *nothing,
+    no_start = F.lit(None).cast("timestamp")
+    opening = F.struct(
+        F.col("start_ts").alias("ts"), F.col("start_id").alias("id"),
         F.lit(1).alias("_rank"), F.col("start_ts").alias("_start"),
     )
-    ends = session_table.where(F.col("end_ts").isNotNull()).select(
-        F.col(key), F.col("end_ts").alias("ts"), F.col("end_id").alias("id"), *nothing,
-        F.lit(0).alias("_rank"), no_start,
+    closing = F.struct(
+        F.col("end_ts").alias("ts"), F.col("end_id").alias("id"),
+        F.lit(0).alias("_rank"), no_start.alias("_start"),
     )
-    mine = rows.select(*columns, F.lit(2).alias("_rank"), no_start)
-    both = mine.unionByName(starts).unionByName(ends)
+    marks = (
+        session_table.select(key, F.explode(F.array(opening, closing)).alias("_mark"))
+        .select(key, "_mark.*", *nothing)
+        .where(F.col("ts").isNotNull())
+    )
+    mine = rows.select(*columns, F.lit(2).alias("_rank"), no_start.alias("_start"))
+    both = mine.unionByName(marks)
     mark = F.when(
         F.col("_rank") < 2, F.struct((F.col("_rank") == 1).alias("open"), F.col("_start"))
     )

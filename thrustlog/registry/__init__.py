@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["analysis", "decode", "scalars", "convert", "commands"]
+MODULES = ["analysis", "decode", "scalars", "convert", "commands", "streams"]
 
 
 def _merged(attribute):

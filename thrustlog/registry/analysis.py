@@ -172,11 +172,11 @@ def cutting(source, burn, name, margin=0):
 
 SUMMARY_VIEWS = """figures AS (
   SELECT run_id, sum(area) AS impulse, avg(clipped) AS average_thrust, count(*) AS kept
-  FROM (SELECT run_id, greatest(y, 0) AS clipped,
+  FROM (SELECT run_id, CASE WHEN y IS NOT NULL THEN greatest(y, 0) END AS clipped,
                (greatest(y, 0) + lag(greatest(y, 0)) OVER (PARTITION BY run_id ORDER BY pos)) / 2 / 5 AS area,
         FROM cut) GROUP BY run_id),
 classed AS (
-  SELECT run_id, average_thrust, kept, coalesce(impulse, CASE WHEN average_thrust IS NOT NULL THEN 0 END) AS impulse
+  SELECT run_id, average_thrust, kept, CASE WHEN average_thrust IS NOT NULL THEN coalesce(impulse, 0) END AS impulse
   FROM figures)"""
 
 CLASS_LADDER = """CASE

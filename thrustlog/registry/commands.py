@@ -222,7 +222,7 @@ def aborted_attempts(spark, sf_dir):
 
 def due_resends(spark, sf_dir):
     now = F.timestamp_micros(F.lit(1_705_276_800_000_000))
-    return K.due_resends(matched(spark, sf_dir), now).select(
+    return K.due_resends(K.open_attempts(matched(spark, sf_dir)), now).select(
         *REQUEST, "attempts", micros("last_ts")
     )
 

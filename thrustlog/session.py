@@ -40,3 +40,10 @@ def shared_folder(spark, purpose):
         root = tempfile.mkdtemp(prefix="thrustlog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored_table(df, purpose):
+    """Write ``df`` to the shared folder and read it back, for a result that several passes use."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

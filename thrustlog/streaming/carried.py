@@ -4,6 +4,8 @@ Every micro-batch N writes its state under ``batch=N`` and reads that of N-1, so
 runs again after a failure reads the same input and overwrites its own output.
 """
 
+from pyspark.sql import functions as F
+
 
 class CarriedTable:
     def __init__(self, spark, path, schema):
@@ -24,9 +26,13 @@ class CarriedTable:
 
 
 def replaced(old, new, keys):
-    """New rows, and the old ones of keys that have no new row."""
-    kept = old.join(new.select(*keys), list(keys), "left_anti")
-    return new.unionByName(kept)
+    """New rows, and the old ones of keys that have no new row; one row per key on both sides."""
+    columns = old.columns
+    both = new.select(*columns, F.lit(1).alias("_age")).unionByName(
+        old.withColumn("_age", F.lit(0))
+    )
+    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_age").alias("_row"))
+    return latest.select("_row.*")
 
 
 class BatchOutput:
@@ -38,8 +44,12 @@ class BatchOutput:
     def save(self, rows, batch_id):
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def of(self, spark, batch_id, schema):
+        return spark.read.schema(schema).parquet(f"{self.path}/batch={batch_id}")
+
     def read(self, spark, schema):
-        return spark.read.schema(schema).parquet(self.path)
+        """Rows of all micro-batches."""
+        return spark.read.schema(schema).parquet(self.path).drop("batch")
 
 
 def run_stream(stream, handle, checkpoint, **trigger):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from thrustlog.constants import COMMAND_ACK_TIMEOUT_SEC, RELAYS
-from thrustlog.operators.acks import due_resends, match_acks
+from thrustlog.operators.acks import due_resends, match_acks, open_attempts
 from thrustlog.operators.sessions import sessions
 from thrustlog.operators.timeline import relay_timeline, state_timeline
 from thrustlog.streaming.carried import replaced, run_stream
@@ -57,7 +57,8 @@ def run_state_machine(stream, carried, output, checkpoint, **trigger):
         before = carried.before(batch_id)
         timeline = continue_timeline(batch, before)
         output.save(timeline, batch_id)
-        carried.save(replaced(before, last_states(timeline), ["remoteid"]), batch_id)
+        saved = output.of(batch.sparkSession, batch_id, timeline.schema)
+        carried.save(replaced(before, last_states(saved), ["remoteid"]), batch_id)
 
     return run_stream(stream, handle, checkpoint, **trigger)
 
@@ -78,19 +79,21 @@ def continue_sessions(commands, open_before):
     return sessions(opened.unionByName(commands.select("remoteid", "ts", "id", "command")))
 
 
-def finish_runs(stream, analyse, carried, output, checkpoint, **trigger):
+def finish_runs(stream, analyse, carried, closed, output, checkpoint, **trigger):
     """Analyse each run when its session closes.
 
-    ``analyse`` maps closed sessions (``remoteid, start_ts, end_ts``) to the rows to store, as a
-    rule the run summaries of the readings they cover.
+    ``closed`` gets the sessions that closed (``remoteid, start_ts, start_id, end_ts, end_id``);
+    ``analyse`` maps them to the rows for ``output``, as a rule the run summaries of the readings
+    they cover.
     """
 
     def handle(batch, batch_id):
         table = continue_sessions(batch, carried.before(batch_id))
-        output.save(analyse(table.where(F.col("end_ts").isNotNull())), batch_id)
         still_open = table.where(F.col("end_ts").isNull()).select(
             "remoteid", F.col("start_ts").alias("ts"), F.col("start_id").alias("id")
         )
+        closed.save(table.where(F.col("end_ts").isNotNull()), batch_id)
+        output.save(analyse(closed.of(batch.sparkSession, batch_id, table.schema)), batch_id)
         carried.save(still_open, batch_id)
 
     return run_stream(stream, handle, checkpoint, **trigger)
@@ -98,12 +101,8 @@ def finish_runs(stream, analyse, carried, output, checkpoint, **trigger):
 
 def continue_requests(sent, acks, open_before, timeout_sec=COMMAND_ACK_TIMEOUT_SEC):
     """Attempts still without an answer after a micro-batch, whole requests at a time."""
-    keys = ["remoteid", "command", "request"]
-    matched = match_acks(
-        open_before.unionByName(sent.select(*open_before.columns)), acks, timeout_sec
-    )
-    done = matched.where(F.col("ack_ts").isNotNull()).select(*keys).distinct()
-    return matched.join(done, keys, "left_anti")
+    attempts = open_before.unionByName(sent.select(*open_before.columns))
+    return open_attempts(match_acks(attempts, acks, timeout_sec))
 
 
 def decide_resends(stream, carried, output, checkpoint, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, **trigger):
@@ -120,9 +119,9 @@ def decide_resends(stream, carried, output, checkpoint, timeout_sec=COMMAND_ACK_
             carried.before(batch_id),
             timeout_sec,
         )
+        carried.save(waiting, batch_id)
         now = batch.agg(F.max("ts")).first()[0]
-        due = due_resends(waiting, F.lit(now).cast("timestamp"), timeout_sec)
+        due = due_resends(carried.before(batch_id + 1), F.lit(now).cast("timestamp"), timeout_sec)
         output.save(due, batch_id)
-        carried.save(waiting, batch_id)
 
     return run_stream(stream, handle, checkpoint, **trigger)

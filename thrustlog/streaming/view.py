@@ -26,8 +26,7 @@ def live_view(stream, size, carried, output, checkpoint, **trigger):
     """Keep the view current; ``output`` gets the whole view after each micro-batch."""
 
     def handle(batch, batch_id):
-        latest = continue_view(batch, carried.before(batch_id), size)
-        output.save(latest, batch_id)
-        carried.save(latest, batch_id)
+        output.save(continue_view(batch, carried.before(batch_id), size), batch_id)
+        carried.save(output.of(batch.sparkSession, batch_id, carried.schema), batch_id)
 
     return run_stream(stream, handle, checkpoint, **trigger)
