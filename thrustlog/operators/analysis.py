@@ -49,6 +49,17 @@ def trace_from_readings(converted, thrust_sensor=DEFAULT_THRUST_SENSOR):
     )
 
 
+def trace_from_wide(wide, thrust_sensor=DEFAULT_THRUST_SENSOR):
+    """Thrust trace of wide readings that carry ``run_scans``."""
+    return wide.select(
+        "run_id",
+        (F.col("scan_no") - 1).alias("pos"),
+        F.col("run_scans").alias("n"),
+        F.col("seconds").alias("t"),
+        nan_as_null(F.col(thrust_sensor)).alias("y"),
+    )
+
+
 def trace_with_gaps(rows, order, block):
     """Trace of runs whose positions must be counted: ``run_id, t, y`` plus the order columns."""
     placed = positions(rows, ["run_id"], order, block)

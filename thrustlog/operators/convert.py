@@ -58,14 +58,16 @@ def wide(converted, names, value="value", keys=("run_id", "scan_no", "seconds"))
     return converted.groupBy(*keys).pivot("sensor_name", list(names)).agg(F.first(value))
 
 
-def wide_scans(numbered, config_rows, frequency, raw=False, on_unknown="fail"):
+def wide_scans(numbered, config_rows, frequency, raw=False, only=None, on_unknown="fail"):
     """Wide readings straight from numbered batches, without a shuffle.
 
     All channels of a scan lie side by side in the batch, so no pivot is needed.
-    ``config_rows`` are the rows of one stand's configuration, at most one per device channel.
+    ``config_rows`` are the rows of one stand's configuration, at most one per device channel;
+    ``only`` names the sensors to convert. ``run_scans`` stays where the batches have it.
     """
     ordered = sorted(config_rows, key=lambda row: row["channel"])
     scans = scan_volts(numbered, len(ordered))
+    length = ["run_scans"] if "run_scans" in numbered.columns else []
     scan_no = F.col("scan_offset") + F.col("scan") + 1
 
     def column(sensor):
@@ -89,7 +91,8 @@ def wide_scans(numbered, config_rows, frequency, raw=False, on_unknown="fail"):
         "run_id",
         scan_no.alias("scan_no"),
         (scan_no / F.lit(float(frequency))).alias("seconds"),
-        *[column(sensor) for sensor in ordered],
+        *[column(s) for s in ordered if only is None or s["sensor_name"] in only],
+        *length,
     )
 
 

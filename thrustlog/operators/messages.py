@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from thrustlog.constants import COMMANDS
 
+MESSAGE = "remoteid variant, command string, args variant, _bad string"
+
 
 def acknowledgements(packets):
     """Ids that packets acknowledge. A packet may carry a text message as well."""
@@ -25,31 +27,34 @@ def parse_messages(messages):
     5.0), true and false as 1 and 0, but no quoted number. An address of JSON null stays as a null
     ``remoteid``; a message without the field is dropped. Arguments stay JSON text.
     """
-    document = F.try_parse_json(F.col("text"))
-    address = F.try_variant_get("_doc", "$.remoteid", "variant")
-    kind = F.schema_of_variant(address)
-    number = F.try_variant_get("_doc", "$.remoteid", "double")
-    exact = F.when(
-        kind == "BIGINT", F.try_variant_get("_doc", "$.remoteid", "bigint")
-    ).when(
-        (kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")) & (number == F.rint(number)),
-        number.cast("bigint"),
-    ).when(
-        kind == "BOOLEAN", F.try_variant_get("_doc", "$.remoteid", "boolean").cast("bigint")
-    )
-    parsed = (
-        messages.withColumn("_doc", document)
-        .where(F.col("_doc").isNotNull() & F.schema_of_variant("_doc").startswith("OBJECT"))
-        .withColumn("_kind", kind)
-        .where(F.col("_kind").isNotNull())
-        .withColumn("remoteid", exact)
+    document = F.from_json(
+        F.col("text"), MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
-    return parsed.where(F.col("remoteid").isNotNull() | (F.col("_kind") == "VOID")).select(
+    opened = messages.withColumn("_doc", document).select(
         "id",
         "ts",
-        "remoteid",
-        F.try_variant_get("_doc", "$.command", "string").alias("command"),
-        F.to_json(F.try_variant_get("_doc", "$.args", "variant")).alias("args"),
+        F.col("_doc.remoteid").alias("_address"),
+        F.schema_of_variant("_doc.remoteid").alias("_kind"),
+        F.col("_doc.command").alias("command"),
+        F.to_json("_doc.args").alias("args"),
+    )
+    kind = F.col("_kind")
+    number = F.try_variant_get("_address", "$", "double")
+    remoteid = (
+        F.when(kind == "BIGINT", F.try_variant_get("_address", "$", "bigint"))
+        .when(
+            (kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"))
+            & (number == F.rint(number)),
+            number.cast("bigint"),
+        )
+        .when(kind == "BOOLEAN", F.try_variant_get("_address", "$", "boolean").cast("bigint"))
+    )
+    # Text that is no JSON object, or has no address, leaves the kind null.
+    return (
+        opened.where(kind.isNotNull())
+        .withColumn("remoteid", remoteid)
+        .where(F.col("remoteid").isNotNull() | (kind == "VOID"))
+        .select("id", "ts", "remoteid", "command", "args")
     )
 
 

@@ -81,8 +81,11 @@ def _entry_states(last_rows):
     )
 
 
-def state_timeline(commands, block_seconds=BLOCK_SECONDS):
-    """Add ``state_before`` and ``state`` to every command row."""
+def state_timeline(commands, block_seconds=BLOCK_SECONDS, keep_block=False):
+    """Add ``state_before`` and ``state`` to every command row.
+
+    ``keep_block`` keeps the block number, which lets ``relay_timeline`` reuse the partitioning.
+    """
     columns = commands.columns
     command = F.col("command")
     seed = F.col("seed_state") if "seed_state" in columns else F.lit(None).cast("string")
@@ -119,6 +122,7 @@ def state_timeline(commands, block_seconds=BLOCK_SECONDS):
     )
     return entered.withColumn("state", state).select(
         *columns,
+        *([BLOCK] if keep_block else []),
         F.coalesce(F.lag("state").over(inside), F.col("_entry")).alias("state_before"),
         "state",
     )
@@ -151,12 +155,13 @@ def relay_effects(commands):
 
 def relay_timeline(timeline, block_seconds=BLOCK_SECONDS):
     """Add the position of every relay after each row of a state timeline; all start off."""
-    columns = timeline.columns
+    columns = [c for c in timeline.columns if c != BLOCK]
+    kept = BLOCK in timeline.columns
     carried = running(
         timeline,
         ["remoteid"],
         ORDER,
-        time_block(F.col("ts"), block_seconds),
+        F.col(BLOCK) if kept else time_block(F.col("ts"), block_seconds),
         **{f"relay_{r}": last_value(effect) for r, effect in relay_effects(timeline).items()},
     )
     return carried.select(
@@ -164,6 +169,11 @@ def relay_timeline(timeline, block_seconds=BLOCK_SECONDS):
     )
 
 
+def full_timeline(commands, block_seconds=BLOCK_SECONDS):
+    """State and relays of every command row."""
+    return relay_timeline(state_timeline(commands, block_seconds, keep_block=True), block_seconds)
+
+
 def ignition_left_on(relays):
     """Audit: rows after which the ignition relay is on though the state is not ``ignition``."""
     return relays.where(F.col("ignition") & (F.col("state") != "ignition"))

@@ -11,16 +11,17 @@ def latest_points(rows, keys, order, block, size):
     """The latest ``size`` rows of every key with ``place`` 0 (oldest shown) to size-1 (newest).
 
     A count per block tells which blocks reach into the view; only their rows are shuffled.
+    ``history`` is the number of rows the key has in all.
     """
     part = [*keys, BLOCK]
     blocked = rows.withColumn(BLOCK, block)
-    newer = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    key = Window.partitionBy(*keys)
+    newer = key.orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     reaching = (
         blocked.groupBy(*part)
         .agg(F.count("*").alias("_rows"))
         .withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
+        .withColumn("history", F.sum("_rows").over(key))
         .where(F.col("_newer") < size)
         .drop("_rows")
     )
@@ -35,17 +36,19 @@ def latest_points(rows, keys, order, block, size):
     )
 
 
-def padded_view(latest, keys, value, size, padding=VIEW_PADDING):
-    """Fill the places left of a short history with the padding value."""
-    shown = latest.select(*keys, "place", value)
-    missing = (
-        shown.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") < size)
-        .withColumn("place", F.explode(F.sequence(F.lit(0), (F.lit(size - 1) - F.col("_rows")).cast("int"))))
-        .select(*keys, "place", F.lit(float(padding)).alias(value))
+def padded_view(latest, value, size, padding=VIEW_PADDING):
+    """Fill the places left of a short history with the padding value.
+
+    The oldest shown row of a key stands for the empty places before it as well.
+    """
+    place = F.col("place")
+    oldest = place == F.greatest(F.lit(size) - F.col("history"), F.lit(0)).cast("int")
+    filled = latest.withColumn("_own", place).withColumn(
+        "place",
+        F.explode(F.when(oldest, F.sequence(F.lit(0), place)).otherwise(F.array(place))),
     )
-    return shown.unionByName(missing)
+    shown = F.when(F.col("place") == F.col("_own"), F.col(value)).otherwise(F.lit(float(padding)))
+    return filled.withColumn(value, shown).drop("_own", "history")
 
 
 def view_size(frequency, seconds=VIEW_SECONDS):

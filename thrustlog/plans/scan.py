@@ -92,7 +92,7 @@ def _inside(spec, value, forward, backward):
 
 def running(df, keys, order, block, **specs):
     """Add one column per spec to ``df``."""
-    columns = df.columns
+    columns = [c for c in df.columns if c != BLOCK]
     part = [*keys, BLOCK]
     valued = df.withColumn(BLOCK, block).withColumns(
         {f"_value_{name}": spec.value for name, spec in specs.items()}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from thrustlog.functions.motor import class_overflow, motor_class
 from thrustlog.operators import analysis as A
-from thrustlog.operators.convert import convert
+from thrustlog.operators.convert import convert, wide_scans
 from thrustlog.operators.decode import number_batches, readings
 from thrustlog.registry.views import (
     CHANNELS,
@@ -14,6 +14,7 @@ from thrustlog.registry.views import (
     trace,
     with_views,
 )
+from thrustlog.session import stored_table
 
 
 def rounded(*names):
@@ -100,24 +101,37 @@ def converted(spark, sf_dir):
     return convert(readings(batches, CHANNELS, RATE), sensors(spark))
 
 
+def thrust_trace(spark, sf_dir):
+    """Thrust trace of the raw batches."""
+    batches = number_batches(raw_batches(spark, sf_dir), CHANNELS)
+    config = sensors(spark).collect()
+    return A.trace_from_wide(wide_scans(batches, config, RATE, only=["Load Cell"]))
+
+
 def batch_run_summary(spark, sf_dir):
     """Codes to summary in one job."""
-    return rounded_summary(A.run_summary(A.trace_from_readings(converted(spark, sf_dir)), RATE))
+    return rounded_summary(A.run_summary(thrust_trace(spark, sf_dir), RATE))
+
+
+def readings_run_summary(spark, sf_dir):
+    """The same from long converted readings."""
+    rows = stored_table(
+        A.trace_from_readings(converted(spark, sf_dir).drop("run_scans")), "thrust-trace"
+    )
+    return rounded_summary(A.run_summary(rows, RATE))
 
 
 def axis_bounds(spark, sf_dir):
-    rows = converted(spark, sf_dir)
-    burn = A.detect_burn(A.trace_from_readings(rows), RATE)
-    kept = A.margin_readings(rows, burn)
+    burn = A.detect_burn(thrust_trace(spark, sf_dir), RATE)
+    kept = A.margin_readings(converted(spark, sf_dir), burn)
     return A.report_axis(kept, sensors(spark)).select(
         "run_id", "sensor_name", *rounded("axis_min", "axis_max")
     )
 
 
 def processed_trace(spark, sf_dir):
-    rows = converted(spark, sf_dir)
-    burn = A.detect_burn(A.trace_from_readings(rows), RATE)
-    return A.margin_readings(rows, burn).select(
+    burn = A.detect_burn(thrust_trace(spark, sf_dir), RATE)
+    return A.margin_readings(converted(spark, sf_dir), burn).select(
         "run_id", "sensor_name", *rounded("seconds", "value")
     )
 
@@ -136,6 +150,7 @@ QUERIES = {
     "run_summary": run_summary,
     "summary_text": summary_text,
     "batch_run_summary": batch_run_summary,
+    "readings_run_summary": readings_run_summary,
     "axis_bounds": axis_bounds,
     "processed_trace": processed_trace,
 }
@@ -259,6 +274,7 @@ SELECT run_id, E'\\n        Motor: ' || motor_class || CAST(trunc(average_thrust
   printf('%.1f', round(end_time, 6)) || E' s  \\n        ' AS report
 FROM summary""",
     "batch_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
+    "readings_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
     "axis_bounds": AROUND + """,
 stepped AS (
   SELECT run_id, sensor_name, max(value) AS high, min(value) AS low FROM around GROUP BY ALL),

@@ -99,11 +99,11 @@ def state_timeline(spark, sf_dir):
 
 
 def relay_timeline(spark, sf_dir):
-    return L.relay_timeline(timeline(spark, sf_dir)).select("remoteid", "id", "state", *RELAYS)
+    return L.full_timeline(commands(spark, sf_dir)).select("remoteid", "id", "state", *RELAYS)
 
 
 def ignition_audit(spark, sf_dir):
-    return L.ignition_left_on(L.relay_timeline(timeline(spark, sf_dir))).select(
+    return L.ignition_left_on(L.full_timeline(commands(spark, sf_dir))).select(
         "remoteid", "id", "command", "state"
     )
 
@@ -238,12 +238,12 @@ def latest(spark, sf_dir):
 
 
 def latest_n(spark, sf_dir):
-    view = V.padded_view(latest(spark, sf_dir), ["run_id", "sensor_name"], "value", VIEW_POINTS)
+    view = V.padded_view(latest(spark, sf_dir), "value", VIEW_POINTS)
     return view.select("run_id", "sensor_name", "place", F.round("value", 6).alias("value"))
 
 
 def display_tail(spark, sf_dir):
-    view = V.padded_view(latest(spark, sf_dir), ["run_id", "sensor_name"], "value", VIEW_POINTS)
+    view = V.padded_view(latest(spark, sf_dir), "value", VIEW_POINTS)
     return V.drawn_parts(view, VIEW_POINTS).select(
         "run_id", "sensor_name", "place", F.round("value", 6).alias("value"), "line", "tail", "head"
     )

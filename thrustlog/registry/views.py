@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thrustlog.operators.analysis import trace_with_gaps
 from thrustlog.plans.scan import time_block
+from thrustlog.session import spread
 from thrustlog.sources.config import config_rows
 
 RATE = 5
@@ -96,7 +97,10 @@ def raw_batches(spark, sf_dir):
         length > 0, F.transform(F.sequence(F.lit(0).cast("long"), length - 1), code)
     ).otherwise(F.array().cast("array<int>"))
     status = F.when(key % 13 == 0, 6).when(key % 13 == 1, 0).otherwise(2)
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"
+    )
+    return spread(orders, "o_orderkey").select(
         F.col("o_custkey").alias("run_id"),
         key.alias("batch_id"),
         status.alias("status"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from thrustlog.constants import COMMAND_ACK_TIMEOUT_SEC, RELAYS
 from thrustlog.operators.acks import due_resends, match_acks, open_attempts
 from thrustlog.operators.sessions import sessions
-from thrustlog.operators.timeline import relay_timeline, state_timeline
+from thrustlog.operators.timeline import full_timeline
 from thrustlog.streaming.carried import replaced, run_stream
 
 STAND_STATE = (
@@ -34,7 +34,7 @@ def continue_timeline(commands, before):
     )
     rows = commands.select("remoteid", "ts", "id", "command")
     seeded = rows.unionByName(seeds, allowMissingColumns=True)
-    timeline = relay_timeline(state_timeline(seeded))
+    timeline = full_timeline(seeded)
     return timeline.where(F.col("seed_state").isNull()).select(
         "remoteid", "ts", "id", "command", "state_before", "state", *RELAYS
     )
