@@ -5,7 +5,15 @@ from pyspark.sql import functions as F
 from thrustlog.functions.device import run_label
 from thrustlog.operators import decode as D
 from thrustlog.operators.convert import append_readings
-from thrustlog.registry.views import CHANNELS, RATE, micros, raw_batches, table, with_views
+from thrustlog.registry.views import (
+    CHANNELS,
+    RATE,
+    RUN_SECONDS,
+    micros,
+    raw_batches,
+    table,
+    with_views,
+)
 from thrustlog.sources.packets import decode_codes
 
 
@@ -46,11 +54,11 @@ def arm_gate(spark, sf_dir):
 
 def runtime_cut(spark, sf_dir):
     numbered = D.number_batches(raw_batches(spark, sf_dir), CHANNELS)
-    return D.until_run_time(numbered, RATE, 10).select("run_id", "batch_id", "scan_offset")
+    return D.until_run_time(numbered, RATE, RUN_SECONDS).select("run_id", "batch_id", "scan_offset")
 
 
 def accepted_batches(spark, sf_dir):
-    return D.accepted_batches(raw_batches(spark, sf_dir), CHANNELS, RATE, 10).select(
+    return D.accepted_batches(raw_batches(spark, sf_dir), CHANNELS, RATE, RUN_SECONDS).select(
         "run_id", "batch_id", "transfer_no", "scan_offset"
     )
 
@@ -164,9 +172,9 @@ WHERE NOT EXISTS (SELECT 1 FROM raw_batches o WHERE o.run_id = b.run_id AND o.st
     "arm_gate": with_views("raw_batches") + ",\n" + GATED + """
 SELECT run_id, batch_id, dport FROM gated WHERE dport <> 0 OR port_before <> 0""",
     "runtime_cut": with_views("numbered") + """
-SELECT run_id, batch_id, scan_offset FROM numbered WHERE scan_offset / 5.0 <= 10""",
+SELECT run_id, batch_id, scan_offset FROM numbered WHERE scan_offset / 5.0 <= 4""",
     "accepted_batches": with_views("raw_batches") + ",\n" + ACCEPTED + """
-SELECT run_id, batch_id, transfer_no, scan_offset FROM accepted WHERE scan_offset / 5.0 <= 10""",
+SELECT run_id, batch_id, transfer_no, scan_offset FROM accepted WHERE scan_offset / 5.0 <= 4""",
     "first_sample_per_batch": with_views("codes") + """
 SELECT run_id, batch_id, """ + ", ".join(
         f"max((code - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE) FILTER (channel = {i}) AS v{i}"

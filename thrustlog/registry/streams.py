@@ -14,6 +14,7 @@ from thrustlog.registry.convert import converted
 from thrustlog.registry.views import (
     CHANNELS,
     RATE,
+    RUN_SECONDS,
     commands,
     micros,
     raw_batches,
@@ -59,7 +60,7 @@ def stream_convert(spark, sf_dir):
     def start(stream):
         return ingest.ingest(
             stream, sensors(spark), CHANNELS, RATE, carried, output, f"{base}/checkpoint",
-            max_seconds=10, availableNow=True,
+            max_seconds=RUN_SECONDS, availableNow=True,
         )
 
     batches = by_string_run(raw_batches(spark, sf_dir)).drop("ts")
@@ -263,7 +264,7 @@ ORACLE = {
 codes AS (
   SELECT run_id, scan_offset + i // 5 + 1 AS scan_no, CAST(i % 5 AS INTEGER) AS channel,
          ((cents + i * 37 + (i * i * run_id) % 101) % 4096 - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE AS volts
-  FROM (SELECT *, unnest(range((len // 5) * 5)) AS i FROM accepted WHERE scan_offset / 5.0 <= 10))
+  FROM (SELECT *, unnest(range((len // 5) * 5)) AS i FROM accepted WHERE scan_offset / 5.0 <= 4))
 SELECT run_id, scan_no, sensor_name,
        round(CASE sensor_type WHEN 'loadcell' THEN (volts + linear_adj) / opamp_mul
               WHEN 'temp' THEN ((volts + linear_adj) / opamp_mul - 1.25) / 0.005::DOUBLE

@@ -12,6 +12,8 @@ from thrustlog.sources.config import config_rows
 
 RATE = 5
 CHANNELS = 5
+MAX_CODES = 30
+RUN_SECONDS = 4
 
 # The sample sensor configuration.
 SENSOR_CONFIG = """{
@@ -88,14 +90,12 @@ def raw_batches(spark, sf_dir):
     """One raw batch per order; customers are runs."""
     key = F.col("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    length = (key * 7) % 61
+    length = (key * 7) % (MAX_CODES + 1)
 
     def code(i):
-        return ((cents + i * 37 + (i * i * F.col("o_custkey")) % 101) % 4096).cast("int")
+        return ((cents + i * 37 + (F.lit(i * i) * F.col("o_custkey")) % 101) % 4096).cast("int")
 
-    data = F.when(
-        length > 0, F.transform(F.sequence(F.lit(0).cast("long"), length - 1), code)
-    ).otherwise(F.array().cast("array<int>"))
+    data = F.slice(F.array(*[code(i) for i in range(MAX_CODES)]), F.lit(1), length.cast("int"))
     status = F.when(key % 13 == 0, 6).when(key % 13 == 1, 0).otherwise(2)
     orders = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"
@@ -135,7 +135,7 @@ VIEWS = {
   SELECT o_custkey AS run_id, o_orderkey AS batch_id,
          CASE o_orderkey % 13 WHEN 0 THEN 6 WHEN 1 THEN 0 ELSE 2 END AS status,
          CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END AS dport,
-         (o_orderkey * 7) % 61 AS len,
+         (o_orderkey * 7) % 31 AS len,
          CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
          o_orderdate AS ts
   FROM orders)""",
