@@ -102,14 +102,15 @@ def converted(spark, sf_dir):
 
 
 def thrust_trace(spark, sf_dir):
-    """Thrust trace of the raw batches."""
+    """Thrust trace of the raw batches, stored once because every detector pass reads it."""
     batches = number_batches(raw_batches(spark, sf_dir), CHANNELS)
     config = sensors(spark).collect()
-    return A.trace_from_wide(wide_scans(batches, config, RATE, only=["Load Cell"]))
+    wide = wide_scans(batches, config, RATE, only=["Load Cell"])
+    return stored_table(A.trace_from_wide(wide), "thrust-trace")
 
 
 def batch_run_summary(spark, sf_dir):
-    """Codes to summary in one job."""
+    """Codes to summary."""
     return rounded_summary(A.run_summary(thrust_trace(spark, sf_dir), RATE))
 
 

@@ -195,7 +195,7 @@ scans AS (
   FROM raw_batches),
 volts AS (
   SELECT run_id AS stand_id, batch_id % 2 AS loaded, scan_offset + i // 5 AS pos, n, CAST(i % 5 AS INTEGER) AS channel,
-         ((cents + i * 37 + (i * i * run_id) % 101) % 4096 - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE AS volts
+         (cents % 2048 + i * (1 + run_id % 60) - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE AS volts
   FROM (SELECT *, unnest(range((len // 5) * 5)) AS i FROM scans)),
 stats AS (
   SELECT stand_id, channel, loaded, avg(volts) FILTER (pos >= 5 AND pos < n - 5) AS mean_volts,

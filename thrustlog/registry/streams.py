@@ -263,7 +263,7 @@ ORACLE = {
     "stream_convert": with_views("raw_batches", "sensors") + ",\n" + QD.ACCEPTED + """,
 codes AS (
   SELECT run_id, scan_offset + i // 5 + 1 AS scan_no, CAST(i % 5 AS INTEGER) AS channel,
-         ((cents + i * 37 + (i * i * run_id) % 101) % 4096 - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE AS volts
+         (cents % 2048 + i * (1 + run_id % 60) - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE AS volts
   FROM (SELECT *, unnest(range((len // 5) * 5)) AS i FROM accepted WHERE scan_offset / 5.0 <= 4))
 SELECT run_id, scan_no, sensor_name,
        round(CASE sensor_type WHEN 'loadcell' THEN (volts + linear_adj) / opamp_mul

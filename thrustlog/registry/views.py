@@ -87,15 +87,15 @@ def micros(column):
 
 
 def raw_batches(spark, sf_dir):
-    """One raw batch per order; customers are runs."""
+    """One raw batch per order, its codes a ramp from the price; customers are runs."""
     key = F.col("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     length = (key * 7) % (MAX_CODES + 1)
 
-    def code(i):
-        return ((cents + i * 37 + (F.lit(i * i) * F.col("o_custkey")) % 101) % 4096).cast("int")
-
-    data = F.slice(F.array(*[code(i) for i in range(MAX_CODES)]), F.lit(1), length.cast("int"))
+    first = (cents % 2048).cast("int")
+    step = (F.lit(1) + F.col("o_custkey") % 60).cast("int")
+    count = length.cast("int")
+    data = F.slice(F.sequence(first, first + step * count, step), F.lit(1), count)
     status = F.when(key % 13 == 0, 6).when(key % 13 == 1, 0).otherwise(2)
     orders = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"
@@ -141,7 +141,7 @@ VIEWS = {
   FROM orders)""",
     "codes": """codes AS (
   SELECT run_id, batch_id, status, dport, i // 5 AS scan, CAST(i % 5 AS INTEGER) AS channel,
-         CAST((cents + i * 37 + (i * i * run_id) % 101) % 4096 AS INTEGER) AS code
+         CAST(cents % 2048 + i * (1 + run_id % 60) AS INTEGER) AS code
   FROM (SELECT *, unnest(range(len)) AS i FROM raw_batches)
   WHERE i < (len // 5) * 5)""",
     "numbered": """numbered AS (
