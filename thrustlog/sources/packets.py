@@ -39,7 +39,7 @@ def decode_codes(packets, content="content"):
 
 
 def read_packet_dumps(spark, path):
-    """One raw batch per dump file ``<run>/<batch number>.bin``."""
+    """One raw batch per dump file ``<run>/<batch number>.bin``; an empty file holds no batch."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     place = F.url_decode(F.col("path"))
     named = files.select(
