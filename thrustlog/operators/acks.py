@@ -85,6 +85,23 @@ def aborted_attempts(matched, ready_changes, timeout_sec=COMMAND_ACK_TIMEOUT_SEC
     )
 
 
+def hold_aborts(switches, block_seconds=BLOCK_SECONDS):
+    """Rows at which the ready switch goes off while launch is held on: the launch ends in safe.
+
+    ``switches`` have ``remoteid, ts, id, ready, launch``.
+    """
+    held = F.col("ready") & F.col("launch")
+    before = running(
+        switches,
+        ["remoteid"],
+        ("ts", "id"),
+        time_block(F.col("ts"), block_seconds),
+        _held=previous_value(held),
+    )
+    dropped = F.col("launch") & ~F.col("ready") & F.coalesce(F.col("_held"), F.lit(False))
+    return before.where(dropped).select("remoteid", "ts", "id", F.lit("safe").alias("ends_in"))
+
+
 def due_resends(
     waiting, now, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, keys=("remoteid", "command", "request")
 ):

@@ -139,9 +139,18 @@ LIMITS = ["starting_min", "test_max", "ending_min"]
 BURN = ["start_t", "end_t", "start_pos", "end_pos"]
 
 
-def detect_burn(trace, f):
-    """Per run: limits and the burn's start and end."""
-    limits = run_limits(trace, f).withColumnRenamed("n", "_length")
+def not_kept(table, purpose):
+    return table
+
+
+def detect_burn(trace, f, keep=not_kept):
+    """Per run: limits and the burn's start and end.
+
+    ``keep(table, purpose)`` may store the values per run between the passes, for example with
+    ``session.stored_table``. Spark then knows their true size when it plans the next pass: it
+    broadcasts a small table and leaves the trace unshuffled, and joins by slices otherwise.
+    """
+    limits = keep(run_limits(trace, f), "run-limits").withColumnRenamed("n", "_length")
     limited = join_run_values(trace, limits, length="_length")
     found = limited.groupBy("run_id").agg(
         F.max("n").alias("n"),
@@ -257,14 +266,15 @@ def burn_time(cut, f):
     )
 
 
-def run_summary(trace, f):
+def run_summary(trace, f, keep=not_kept):
     """One row per run: class, designation, impulse, average thrust, burn time, start, end.
 
     Four aggregates over the trace, each with the values of the one before joined to its rows:
     limits, burn, figures and limits of the cut rows, burn of the cut rows. A run that keeps no
-    row, or is too short to be zeroed, has nulls in place of its figures.
+    row, or is too short to be zeroed, has nulls in place of its figures. ``keep`` as in
+    ``detect_burn``.
     """
-    burn = detect_burn(trace, f)
+    burn = keep(detect_burn(trace, f, keep), "run-burns")
     inside = (F.col("t") > F.col("start_t")) & (F.col("t") < F.col("end_t"))
 
     def kept(column):
@@ -284,7 +294,7 @@ def run_summary(trace, f):
         *_figures(pos, y, inside, f),
         *cut_limits,
     )
-    again = bounded(measured).groupBy("run_id").agg(
+    again = bounded(keep(measured, "run-figures")).groupBy("run_id").agg(
         *_kept_values(["start_t", "end_t", *figures]),
         *_ends(pos, t, y, {name: F.col(f"cut_{name}") for name in LIMITS}),
     )

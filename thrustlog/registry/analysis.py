@@ -89,7 +89,8 @@ def rounded_summary(summary):
 
 
 def run_summary(spark, sf_dir):
-    return rounded_summary(A.run_summary(trace(spark, sf_dir), RATE))
+    rows = stored_table(trace(spark, sf_dir), "trace")
+    return rounded_summary(A.run_summary(rows, RATE, stored_table))
 
 
 def summary_text(spark, sf_dir):
@@ -111,7 +112,7 @@ def thrust_trace(spark, sf_dir):
 
 def batch_run_summary(spark, sf_dir):
     """Codes to summary."""
-    return rounded_summary(A.run_summary(thrust_trace(spark, sf_dir), RATE))
+    return rounded_summary(A.run_summary(thrust_trace(spark, sf_dir), RATE, stored_table))
 
 
 def readings_run_summary(spark, sf_dir):
@@ -119,7 +120,7 @@ def readings_run_summary(spark, sf_dir):
     rows = stored_table(
         A.trace_from_readings(converted(spark, sf_dir).drop("run_scans")), "thrust-trace"
     )
-    return rounded_summary(A.run_summary(rows, RATE))
+    return rounded_summary(A.run_summary(rows, RATE, stored_table))
 
 
 def axis_bounds(spark, sf_dir):

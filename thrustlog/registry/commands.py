@@ -220,6 +220,12 @@ def aborted_attempts(spark, sf_dir):
     )
 
 
+def hold_aborts(spark, sf_dir):
+    """Switches whose ready position follows the event type, so that it drops while launch is on."""
+    log = switches(spark, sf_dir).withColumn("ready", ~F.col("dump"))
+    return K.hold_aborts(log).select("remoteid", micros("ts"), "id", "ends_in")
+
+
 def due_resends(spark, sf_dir):
     now = F.timestamp_micros(F.lit(1_705_276_800_000_000))
     return K.due_resends(K.open_attempts(matched(spark, sf_dir)), now).select(
@@ -279,6 +285,7 @@ QUERIES = {
     "request_outcome": request_outcome,
     "attempts": attempts,
     "aborted_attempts": aborted_attempts,
+    "hold_aborts": hold_aborts,
     "due_resends": due_resends,
     "latest_n": latest_n,
     "display_tail": display_tail,
@@ -367,6 +374,10 @@ waiting AS (
 SELECT w.remoteid, w.id, epoch_us(abort_ts) AS abort_ts_us, 'safe' AS ends_in
 FROM waiting w ASOF LEFT JOIN switches s ON s.remoteid = w.remoteid AND w.abort_ts >= s.ts
 WHERE NOT coalesce(s.ready, false)""",
+    "hold_aborts": with_views("switches") + """,
+lagged AS (
+  SELECT *, lag(NOT dump AND launch, 1, false) OVER (PARTITION BY remoteid ORDER BY ts, id) AS held FROM switches)
+SELECT remoteid, epoch_us(ts) AS ts_us, id, 'safe' AS ends_in FROM lagged WHERE launch AND dump AND held""",
     "due_resends": with_views("sent") + """
 SELECT remoteid, command, request, count(*) AS attempts, epoch_us(max(ts)) AS last_ts_us
 FROM matched GROUP BY remoteid, command, request

@@ -15,7 +15,9 @@ from thrustlog.registry.views import (
     table,
     with_views,
 )
+from thrustlog.session import shared_folder
 from thrustlog.sources.config import config_rows, config_text
+from thrustlog.sources.logs import append_log, read_partitioned_log
 
 SHORT = ["load", "chamber_psi", "tank_psi", "tank_c", "chamber_c"]
 
@@ -50,6 +52,18 @@ def wide_scans(spark, sf_dir):
     return _short(C.wide_scans(numbered(spark, sf_dir), config, RATE))
 
 
+def log_roundtrip(spark, sf_dir):
+    """Converted log of every run written as CSV per run and read back."""
+    config = sensors(spark).collect()
+    wide = C.wide_scans(numbered(spark, sf_dir).drop("run_scans"), config, RATE)
+    folder = shared_folder(spark, "converted-log")
+    append_log(wide.drop("scan_no"), folder)
+    back = read_partitioned_log(spark, folder, SENSOR_NAMES).withColumn(
+        "run_id", F.col("run_id").cast("long")
+    )
+    return _short(back.withColumn("scan_no", F.rint(F.col("seconds") * RATE).cast("long")))
+
+
 def live_feed(spark, sf_dir):
     """Feed of a whole fleet in raw and in converted mode."""
     rows = converted(spark, sf_dir)
@@ -171,6 +185,7 @@ QUERIES = {
     "convert_sensors": convert_sensors,
     "wide_pivot": wide_pivot,
     "wide_scans": wide_scans,
+    "log_roundtrip": log_roundtrip,
     "live_feed": live_feed,
     "sensor_order": sensor_order,
     "config_roundtrip": config_roundtrip,
@@ -215,6 +230,7 @@ ORACLE = {
 SELECT run_id, scan_no, sensor_name, units, round(value, 6) AS value FROM converted""",
     "wide_pivot": WIDE,
     "wide_scans": WIDE,
+    "log_roundtrip": WIDE,
     "live_feed": with_views("converted") + """
 SELECT run_id, sensor_name, raw, count(*) AS points,
        round(min(CASE WHEN raw THEN volts ELSE value END), 6) AS low,

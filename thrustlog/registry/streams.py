@@ -208,7 +208,7 @@ def session_summaries(spark, sf_dir, closed):
     )
     placed = A.trace_with_gaps(inside, ["ts", "id"], time_block(F.col("ts"), 3600))
     timed = placed.withColumn("t", (F.col("pos") + 1) / F.lit(float(RATE)))
-    return A.run_summary(stored_table(timed, "session-traces"), RATE)
+    return A.run_summary(stored_table(timed, "session-traces"), RATE, stored_table)
 
 
 def session_run_summary(spark, sf_dir):

@@ -25,14 +25,25 @@ def read_raw_log(spark, base, sensor_names):
     return read_log(spark, base, sensor_names, RAW)
 
 
-def append_log(wide, path):
+FILE_SECONDS = 3600
+
+
+def _per_run_files(wide, file_seconds):
+    """Bring a run's rows together, an hour of it per file, so no task writes to every run."""
+    stretch = F.floor(F.col("seconds") / F.lit(file_seconds))
+    return wide.repartition("run_id", stretch)
+
+
+def append_log(wide, path, file_seconds=FILE_SECONDS):
     """Append wide readings, one folder per run; every file has its header."""
-    wide.write.mode("append").partitionBy("run_id").option("header", True).csv(path)
+    rows = _per_run_files(wide, file_seconds)
+    rows.write.mode("append").partitionBy("run_id").option("header", True).csv(path)
 
 
-def write_processed(wide, path):
+def write_processed(wide, path, file_seconds=FILE_SECONDS):
     """Replace the processed traces."""
-    wide.write.mode("overwrite").partitionBy("run_id").option("header", True).csv(path)
+    rows = _per_run_files(wide, file_seconds)
+    rows.write.mode("overwrite").partitionBy("run_id").option("header", True).csv(path)
 
 
 def read_partitioned_log(spark, path, sensor_names):
