@@ -92,3 +92,13 @@ def test_view_pads_and_marks(spark):
     assert [r.place for r in drawn] == list(range(10))
     assert [r.place for r in drawn if r.tail] == list(range(2, 10))
     assert [r.place for r in drawn if r.head] == [9]
+
+
+def test_large_lookup_table_is_salted(spark):
+    from thrustlog.plans.lookup import lookup_join
+
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    table = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
+    small = lookup_join(rows, table, ["k"], ["id"])
+    large = lookup_join(rows, table, ["k"], ["id"], max_rows=1, salts=8)
+    assert small.count() == 667 and small.exceptAll(large).count() == 0 == large.exceptAll(small).count()

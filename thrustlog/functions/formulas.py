@@ -1,4 +1,7 @@
-"""Sensor formulas by type. ``register_formula`` adds a type; a formula maps Columns to a Column."""
+"""Sensor formulas by type. ``register_formula`` adds a type; a formula maps Columns to a Column.
+
+``inputs`` is anything that gives a Column by name: a map column or a dict of Columns.
+"""
 
 from pyspark.sql import functions as F
 

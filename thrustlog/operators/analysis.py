@@ -17,6 +17,7 @@ from thrustlog.constants import (
 from thrustlog.functions.motor import class_overflow, designation, motor_class
 from thrustlog.functions.rounding import fixed, rounddown, roundup
 from thrustlog.functions.signal import clip_below_zero, nan_as_null, rebased_seconds
+from thrustlog.plans.lookup import lookup_join
 from thrustlog.plans.per_run import join_run_values
 from thrustlog.plans.scan import number_block, positions, previous_value, running, running_sum
 
@@ -367,7 +368,7 @@ def report_axis(kept, config, thrust_sensor=DEFAULT_THRUST_SENSOR, step=10):
     )
     high = F.coalesce(roundup(F.col("_high"), step), F.col("_config_high"))
     return (
-        extremes.join(limits, "sensor_name")
+        lookup_join(extremes, limits, ["sensor_name"], ["run_id"])
         .select("run_id", "sensor_name", low.alias("axis_min"), high.alias("_top"))
         .withColumn(
             "axis_max",

@@ -2,31 +2,41 @@
 
 from pyspark.sql import functions as F
 
-from thrustlog.functions.formulas import engineering_value, inputs_checked
+from thrustlog.functions.formulas import FORMULA_INPUTS, engineering_value, inputs_checked
 from thrustlog.functions.signal import calibrated_code
 from thrustlog.operators.decode import scan_volts
+from thrustlog.plans.lookup import lookup_join
+
+
+def _input_names():
+    return sorted({name for names in FORMULA_INPUTS.values() for name in names})
 
 
 def checked_config(config):
-    """Configuration whose formula inputs fit its sensor types."""
-    return config.withColumn("input", inputs_checked(F.col("sensor_type"), F.col("input")))
+    """Configuration whose formula inputs fit its sensor types, each input as a column.
+
+    Both the check and the look-up happen on this small table, not on every reading.
+    """
+    checked = config.withColumn("input", inputs_checked(F.col("sensor_type"), F.col("input")))
+    return checked.withColumns(
+        {f"_input_{name}": F.element_at("input", name) for name in _input_names()}
+    ).drop("input")
 
 
 def convert(readings, config, keys=("channel",), on_unknown="fail"):
     """Add sensor name, units and engineering value to long readings.
 
-    The configuration joins without a hint: Spark broadcasts it while its size allows, and splits
-    hot keys of the sort-merge join otherwise.
+    One stand's configuration joins by channel; that of a fleet by ``("stand_id", "channel")``.
     """
     columns = readings.columns
-    joined = readings.join(checked_config(config), list(keys))
+    joined = lookup_join(readings, checked_config(config), keys, ["scan_no"])
     value = engineering_value(
         F.col("volts"),
         F.col("sensor_type"),
         F.col("linear_adj"),
         F.col("opamp_mul"),
         F.col("scalar_adj"),
-        F.col("input"),
+        {name: F.col(f"_input_{name}") for name in _input_names()},
         on_unknown,
     )
     return joined.select(*columns, "sensor_name", "units", value.alias("value"))
@@ -35,7 +45,7 @@ def convert(readings, config, keys=("channel",), on_unknown="fail"):
 def calibrate_codes(readings, device_calibration, keys=("device_id", "channel")):
     """Add the device-calibrated code."""
     return (
-        readings.join(device_calibration, list(keys))
+        lookup_join(readings, device_calibration, keys, readings.columns)
         .withColumn(
             "calibrated", calibrated_code(F.col("code"), F.col("slope"), F.col("intercept"))
         )
@@ -73,16 +83,16 @@ def wide_scans(numbered, config_rows, frequency, raw=False, only=None, on_unknow
     def column(sensor):
         v = F.element_at("volts", sensor["channel"] + 1)
         if not raw:
-            pairs = [F.lit(x) for kv in (sensor["input"] or {}).items() for x in kv]
-            inputs = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-            kind = F.lit(sensor["sensor_type"])
+            given = sensor["input"] or {}
+            if set(given) != set(FORMULA_INPUTS.get(sensor["sensor_type"], given)):
+                raise ValueError(f"inputs do not fit the formula of {sensor['sensor_type']}")
             v = engineering_value(
                 v,
-                kind,
+                F.lit(sensor["sensor_type"]),
                 F.lit(sensor["linear_adj"]),
                 F.lit(sensor["opamp_mul"]),
                 F.lit(sensor["scalar_adj"]),
-                inputs_checked(kind, inputs),
+                {name: F.lit(given.get(name)).cast("double") for name in _input_names()},
                 on_unknown,
             )
         return v.alias(sensor["sensor_name"])

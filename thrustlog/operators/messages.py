@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from thrustlog.constants import COMMANDS
+from thrustlog.plans.lookup import lookup_join
 
 MESSAGE = "remoteid variant, command string, args variant, _bad string"
 
@@ -68,8 +69,10 @@ def known_commands(commands, names=COMMANDS):
 
 
 def listed_commands(commands, command_table):
-    """Semi join form of ``known_commands`` for a table of command names."""
-    return commands.join(command_table, "command", "left_semi")
+    """``known_commands`` for a table of command names."""
+    return lookup_join(commands, command_table.select("command").distinct(), ["command"], ["id"]).select(
+        *commands.columns
+    )
 
 
 def handler_arguments(commands):

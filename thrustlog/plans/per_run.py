@@ -12,7 +12,8 @@ def join_run_values(rows, per_run, key="run_id", length="n", slice_rows=ROWS_PER
 
     A run is cut into slices of ``slice_rows`` positions and its value row is repeated once per
     slice, so a run with a third of all rows spreads over many tasks. When the value table turns
-    out small at run time, adaptive execution broadcasts it instead.
+    out small at run time, adaptive execution broadcasts it instead. Every row finds its value row;
+    the left join only keeps the planner from ever broadcasting the rows.
     """
     sliced = per_run.withColumn(
         "_slice",
@@ -23,6 +24,6 @@ def join_run_values(rows, per_run, key="run_id", length="n", slice_rows=ROWS_PER
     ).drop(length)
     return (
         rows.withColumn("_slice", integer_div(F.col("pos"), slice_rows))
-        .join(sliced, [key, "_slice"])
+        .join(sliced, [key, "_slice"], "left")
         .drop("_slice")
     )
