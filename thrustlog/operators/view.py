@@ -10,7 +10,7 @@ from thrustlog.plans.scan import BLOCK
 def latest_points(rows, keys, order, block, size):
     """The latest ``size`` rows of every key with ``place`` 0 (oldest shown) to size-1 (newest).
 
-    A count per block tells which blocks reach into the view; only their rows are shuffled.
+    A count per block tells which blocks reach into the view; only their rows are ranked.
     ``history`` is the number of rows the key has in all.
     """
     part = [*keys, BLOCK]
