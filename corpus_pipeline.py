@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from thrustlog.llm import packing, quality_rules
+from thrustlog.llm import exact_dedup, packing, quality_rules, simhash, toxicity
 from thrustlog.session import stored_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -13,12 +13,28 @@ def quality(spark, docs, sf_dir):
     return quality_rules.accepted(docs)
 
 
+def clean(spark, docs, sf_dir):
+    """Documents that the toxicity model, trained on the labels of those that are left, does not reject."""
+    model = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.accepted(docs, model)
+
+
+def distinct(spark, docs, sf_dir):
+    """One document of each group of equal texts."""
+    return exact_dedup.deduplicated(docs)
+
+
+def unlike(spark, docs, sf_dir):
+    """One document of each group of linked SimHash fingerprints."""
+    return simhash.deduplicated(docs, width=4, distance=4)
+
+
 def pack(spark, docs, sf_dir):
     """Pieces of the documents in windows of 1024 tokens."""
     return packing.packed(docs, public_tokenizers.path(VOCABULARY), size=1024, end_id=0)
 
 
-STAGES = [("quality", quality), ("packing", pack)]
+STAGES = [("quality", quality), ("toxicity", clean), ("exact_dedup", distinct), ("simhash", unlike), ("packing", pack)]
 
 ORACLE_SQL = None
 

@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from thrustlog.llm import bpe_codec, packing, quality_rules, token_counts, url_rules
+from thrustlog.llm import (
+    bpe_codec, exact_dedup, html_content, packing, quality_rules, ring_shards, simhash, token_counts, toxicity, url_rules,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -20,6 +22,19 @@ def _vocabulary():
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    model = toxicity.learned(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs.select("doc_id", "text"), model).select(
+        F.col("row.doc_id").alias("doc_id"), toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted",
+        F.size("spans").alias("n_spans"),
+    )
+
+
+def op2_exact_dedup(spark, sf_dir):
+    return exact_dedup.decided(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(_documents(spark, sf_dir), _vocabulary(), limit=512)
 
@@ -28,6 +43,14 @@ def op4_packing(spark, sf_dir):
     return packing.packed(_documents(spark, sf_dir), _vocabulary(), size=1024, end_id=0)
 
 
+def op5_ring_shards(spark, sf_dir):
+    return ring_shards.digest(_documents(spark, sf_dir), shards=24)
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.grouped(_documents(spark, sf_dir), width=4, distance=4).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_bpe_codec(spark, sf_dir):
     return bpe_codec.code_digests(_documents(spark, sf_dir), _vocabulary())
 
@@ -39,16 +62,21 @@ def op8_quality_rules(spark, sf_dir):
     )
 
 
+def op9_html_content(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_content.extracted(pages).select("row.page_id", "row.url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_url_rules(spark, sf_dir):
     return url_rules.judged(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {
-    "op3_token_counts": op3_token_counts,
-    "op4_packing": op4_packing,
-    "op7_bpe_codec": op7_bpe_codec,
-    "op8_quality_rules": op8_quality_rules,
-    "op10_url_rules": op10_url_rules,
+    query.__name__: query
+    for query in (
+        op1_toxicity, op2_exact_dedup, op3_token_counts, op4_packing, op5_ring_shards,
+        op6_simhash, op7_bpe_codec, op8_quality_rules, op9_html_content, op10_url_rules,
+    )
 }
 
 
@@ -93,6 +121,11 @@ _RULE_ROWS = ", ".join(
 )
 
 ORACLE = {
+    "op2_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+  count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents""",
     "op8_quality_rules": _quality_sql(),
     "op10_url_rules": rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
