@@ -3,7 +3,7 @@
 Parser events of the standard library cut a page into lines, one per block of text. A line's ratio is
 its characters per tag; lines inside elements that never hold the article (menus, scripts, footers,
 adverts by class or id, and the like) count as having none. The ratios are smoothed by a Gaussian and
-clustered by a threshold. Neighbouring lines of one container form a region; a region with a line of the
+clustered by a threshold. Lines of one article element, or else neighbouring lines of one container, form a region; a region with a line of the
 upper cluster is content, and all its lines are kept. If no line reaches the threshold, the region with the most text is
 content.
 
@@ -84,7 +84,7 @@ class Lines(HTMLParser):
             never = tag in NEVER or tag == "header" and not inside or self._marked(tag, attrs)
         if tag in CONTAINERS and not inside:
             self.numbers += 1
-            container = self.numbers
+            container = -self.numbers if tag in ARTICLES else self.numbers
         if tag in BLOCKS or never or tag in NEVER:
             self.open.append((tag, never, container))
 
@@ -139,21 +139,22 @@ def main_text(html):
     ratios = np.array([len(text) / max(1, tags) if keep else 0.0 for (text, tags, _, _), keep in zip(lines, held, strict=True)])
     smooth = smoothed(ratios)
     high = smooth >= SHARE * ratios.std() if len(lines) > 1 else smooth >= 0
-    region, number, size, chosen = [-1] * len(lines), -1, {}, set()
+    region, size, chosen, parted = [None] * len(lines), {}, set(), 0
     last = None
     for i, (text, _, container, never) in enumerate(lines):
         if not held[i]:
-            if never and text:
-                last = None  # boilerplate parts regions
+            parted += never and bool(text)  # boilerplate parts regions, save within an article
             continue
-        if last != container:
-            number, last = number + 1, container
-        region[i] = number
-        size[number] = size.get(number, 0) + len(text)
+        region[i] = container if container < 0 else (container, parted)
+        if container != last:  # a return to a container after another begins a region of its own
+            parted += container >= 0
+            region[i] = container if container < 0 else (container, parted)
+            last = container
+        size[region[i]] = size.get(region[i], 0) + len(text)
         if high[i]:
-            chosen.add(number)
-    chosen = chosen or {max(size, key=lambda k: (size[k], -k))}
-    return "\n".join(lines[i][0] for i in range(len(lines)) if region[i] in chosen)
+            chosen.add(region[i])
+    chosen = chosen or {max(size, key=size.get)}
+    return "\n".join(lines[i][0] for i in range(len(lines)) if held[i] and region[i] in chosen)
 
 
 def extracted(pages, html_column="html"):
