@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thrustlog.operators import acks, messages, sessions
+from thrustlog.streaming import control
 
 T0 = datetime(2024, 1, 1)
 
@@ -68,18 +69,55 @@ def test_many_acks_of_one_id_make_no_pairs(spark):
     assert acks.match_acks(sent, answers, 60).collect()[0].ack_ts == at(0)
 
 
+ATTEMPT = "remoteid long, command string, request string, id long, ts timestamp"
+
+
 def test_attempts_and_outcome(spark):
-    rows = [(7, "ready", "a", 1, at(0)), (7, "ready", "a", 2, at(60)), (7, "ready", "b", 3, at(200))]
-    sent = spark.createDataFrame(rows, "remoteid long, command string, request string, id long, ts timestamp")
+    rows = [(7, "ready", "a", 1, at(0)), (7, "ready", "a", 2, at(60)), (7, "ready", "b", 3, at(200)), (7, "safe", "c", 4, at(0))]
+    sent = spark.createDataFrame(rows, ATTEMPT)
     keys = ["remoteid", "command", "request"]
     got = acks.attempts(sent, keys).orderBy("id").collect()
-    assert [(r.attempt, r.gap_sec) for r in got] == [(1, None), (2, 60.0), (1, None)]
-    answers = spark.createDataFrame([(2, at(70))], "request_id long, ts timestamp")
-    matched = acks.match_acks(sent, answers)
-    assert {r.request: r.done for r in acks.request_outcome(matched, keys).collect()} == {"a": True, "b": False}
-    waiting = acks.open_attempts(matched)
-    assert acks.due_resends(waiting, F.lit(at(259))).count() == 0
-    assert [r.request for r in acks.due_resends(waiting, F.lit(at(260))).collect()] == ["b"]
+    assert [(r.attempt, r.gap_sec) for r in got] == [(1, None), (2, 60.0), (1, None), (1, None)]
+    # the first attempt's acknowledgement counts up to the last attempt's timeout
+    answers = acks.answered(sent, spark.createDataFrame([(1, at(70)), (1, at(90)), (4, at(61))], "request_id long, ts timestamp"))
+    outcome = {r.request: (r.done, r.done_ts) for r in acks.request_outcome(answers).collect()}
+    assert outcome == {"a": (True, at(70)), "b": (False, None), "c": (False, None)}
+    waiting = acks.open_attempts(answers)
+    assert [r.request for r in acks.due_resends(waiting, F.lit(at(259))).collect()] == ["c"]
+    assert sorted(r.request for r in acks.due_resends(waiting, F.lit(at(260))).collect()) == ["b", "c"]
+
+
+def test_a_request_aborts_once_and_safe_never(spark):
+    rows = [
+        (7, "ready", "a", 1, at(0)), (7, "ready", "a", 2, at(60)), (7, "safe", "b", 3, at(0)), (8, "launch", "c", 4, at(0)),
+        (9, "launch", "d", 5, at(0)), (9, "launch", "d", 6, at(60)), (9, "ready", "e", 7, at(0)),
+    ]
+    sent = spark.createDataFrame(rows, ATTEMPT)
+    given = spark.createDataFrame([(7, at(59))], "request_id long, ts timestamp")
+    changes = spark.createDataFrame(
+        [(8, at(0), 1, True), (9, at(0), 2, True), (9, at(100), 3, False)], "remoteid long, ts timestamp, id long, ready boolean"
+    )
+    answers = acks.answered(sent, given)
+    aborted = acks.aborted_requests(answers, changes)
+    assert sorted((r.request, r.id, r.abort_ts) for r in aborted.collect()) == [("a", 1, at(60)), ("d", 6, at(120))]
+    open_ = acks.open_attempts(answers, aborted=aborted)
+    assert {r.request for r in open_.collect()} == {"b", "c"}
+
+
+def test_done_requests_are_carried_for_a_while(spark):
+    before = spark.createDataFrame([(7, "ready", "a", 1, at(0), at(5)), (7, "ready", "b", 2, at(0), None)], control.OPEN_ATTEMPT)
+    late = spark.createDataFrame([(7, "ready", "a", 3, at(500))], ATTEMPT)
+    none = spark.createDataFrame([], "request_id long, ts timestamp")
+    attempts = control.continue_requests(late, none, before)
+    assert {r.request for r in acks.open_attempts(attempts).collect()} == {"b"}
+    assert {r.id for r in control.kept_requests(attempts, F.lit(at(600)), retention_sec=200).collect()} == {1, 2, 3}
+    assert {r.id for r in control.kept_requests(attempts, F.lit(at(600)), retention_sec=50).collect()} == {2}
+
+
+def test_wait_aborts(spark):
+    rows = [(1, at(1), 1, True, False, True), (1, at(2), 2, False, False, True), (1, at(3), 3, False, False, True), (1, at(4), 4, True, False, False), (1, at(5), 5, False, False, False), (2, at(1), 6, False, True, True), (3, at(1), 7, False, False, True)]
+    log = spark.createDataFrame(rows, "remoteid long, ts timestamp, id long, ready boolean, launch boolean, waits boolean")
+    assert sorted(r.id for r in acks.wait_aborts(log).collect()) == [2, 7]
 
 
 def test_as_of_and_sessions_at_equal_times(spark):

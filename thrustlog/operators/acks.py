@@ -10,11 +10,18 @@ from thrustlog.operators.sessions import value_as_of
 from thrustlog.plans.scan import next_value, previous_value, running, running_sum, time_block
 
 BLOCK_SECONDS = 600
+REQUEST = ("remoteid", "command", "request")
+WATCHED = ("ready", "launch", "post-launch")  # a request of these ends when the ready switch is off
+
+
+def after(ts, seconds):
+    return ts + F.make_dt_interval(secs=F.lit(seconds))
 
 
 def match_acks(sent, acks, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, block_seconds=BLOCK_SECONDS):
     """Add ``ack_ts``, the first acknowledgement within the timeout, or null.
 
+    Without a timeout (None) the first acknowledgement counts whenever it comes.
     Sent rows and acknowledgements of an id are laid on one time line and the next acknowledgement
     is carried back, so repeated acknowledgements of one id make no pairs.
     """
@@ -34,10 +41,10 @@ def match_acks(sent, acks, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, block_seconds=BL
         time_block(F.col("ts"), block_seconds),
         _next=next_value(F.col("_ack")),
     )
-    in_time = F.col("_next") <= F.col("ts") + F.make_dt_interval(secs=F.lit(timeout_sec))
-    return carried.where(F.col("_rank") == 0).select(
-        *columns, F.when(in_time, F.col("_next")).alias("ack_ts")
-    )
+    answer = F.col("_next")
+    if timeout_sec is not None:
+        answer = F.when(answer <= after(F.col("ts"), timeout_sec), answer)
+    return carried.where(F.col("_rank") == 0).select(*columns, answer.alias("ack_ts"))
 
 
 def unacknowledged(matched):
@@ -49,11 +56,22 @@ def acknowledged_ids(acks):
     return acks.where(F.col("request_id").isNotNull()).select("request_id").distinct()
 
 
-def request_outcome(matched, keys):
-    """A request is done when any of its attempts is acknowledged."""
-    return matched.groupBy(*keys).agg(
-        F.count("*").alias("attempts"),
-        F.bool_or(F.col("ack_ts").isNotNull()).alias("done"),
+def answered(sent, acks, block_seconds=BLOCK_SECONDS):
+    """Attempts with their first acknowledgement, however late; ids once acknowledged stay so."""
+    return match_acks(sent, acks, None, block_seconds)
+
+
+def request_outcome(answers, keys=REQUEST, timeout_sec=COMMAND_ACK_TIMEOUT_SEC):
+    """A request is done by the first acknowledgement of any attempt, up to the last attempt's timeout.
+
+    ``answers`` comes from ``answered``.
+    """
+    requests = answers.groupBy(*keys).agg(
+        F.count("*").alias("attempts"), F.max("ts").alias("last_ts"), F.min("ack_ts").alias("_first")
+    )
+    done = F.coalesce(F.col("_first") <= after(F.col("last_ts"), timeout_sec), F.lit(False))
+    return requests.select(
+        *keys, "attempts", "last_ts", done.alias("done"), F.when(done, F.col("_first")).alias("done_ts")
     )
 
 
@@ -71,17 +89,37 @@ def attempts(sent, keys, block_seconds=BLOCK_SECONDS):
     return numbered.withColumn("gap_sec", gap).drop("_before")
 
 
-def aborted_attempts(matched, ready_changes, timeout_sec=COMMAND_ACK_TIMEOUT_SEC):
-    """Unanswered attempts at whose timeout the ready switch is off: the request ends in safe.
+def aborted_requests(answers, ready_changes, keys=REQUEST, timeout_sec=COMMAND_ACK_TIMEOUT_SEC):
+    """Requests that end in safe: at the first timeout without an acknowledgement and with the ready switch off.
 
-    ``ready_changes`` has ``remoteid, ts, id, ready``; a switch never seen counts as off.
+    One row per request. Requests to be safe go on whatever the switch says. ``ready_changes`` has
+    ``remoteid, ts, id, ready``; a switch never seen counts as off.
     """
-    waited = unacknowledged(matched).withColumn("sent_ts", F.col("ts")).withColumn(
-        "ts", F.col("ts") + F.make_dt_interval(secs=F.lit(timeout_sec))
+    first = answers.groupBy(*keys).agg(F.min("ack_ts").alias("_first"))
+    watched = answers.where(F.col("command").isin(*WATCHED)).drop("ack_ts").join(first, list(keys))
+    waited = watched.withColumn("sent_ts", F.col("ts")).withColumn("ts", after(F.col("ts"), timeout_sec))
+    failed = waited.where(F.coalesce(F.col("_first") > F.col("ts"), F.lit(True))).drop("_first")
+    seen = value_as_of(failed, ready_changes, "ready")
+    off = seen.where(~F.coalesce(F.col("ready"), F.lit(False)))
+    return (
+        off.groupBy(*keys)
+        .agg(F.min(F.struct(F.col("ts").alias("abort_ts"), "id", "sent_ts")).alias("_row"))
+        .select(*keys, "_row.*", F.lit("safe").alias("ends_in"))
     )
-    seen = value_as_of(waited, ready_changes, "ready")
-    return seen.where(~F.coalesce(F.col("ready"), F.lit(False))).select(
-        "remoteid", "id", "sent_ts", F.col("ts").alias("abort_ts"), F.lit("safe").alias("ends_in")
+
+
+def wait_aborts(log, block_seconds=BLOCK_SECONDS):
+    """Rows at which the ready switch is off while a ready stand waits for the launch switch.
+
+    ``log`` has ``remoteid, ts, id, ready, launch`` and ``waits``: whether the stand was in state
+    ready before the row. Only the row at which ready goes off counts.
+    """
+    waiting = F.col("waits") & ~F.col("launch")
+    before = running(
+        log, ["remoteid"], ("ts", "id"), time_block(F.col("ts"), block_seconds), _ready=previous_value(F.col("ready")),
+    )
+    return before.where(waiting & ~F.col("ready") & F.coalesce(F.col("_ready"), F.lit(True))).select(
+        "remoteid", "ts", "id", F.lit("safe").alias("ends_in")
     )
 
 
@@ -102,22 +140,18 @@ def hold_aborts(switches, block_seconds=BLOCK_SECONDS):
     return before.where(dropped).select("remoteid", "ts", "id", F.lit("safe").alias("ends_in"))
 
 
-def due_resends(
-    waiting, now, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, keys=("remoteid", "command", "request")
-):
-    """Requests whose last attempt is at least the timeout ago.
+def open_attempts(answers, keys=REQUEST, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, aborted=None):
+    """Attempts of requests that are neither done nor, if these are given, aborted."""
+    outcome = request_outcome(answers, keys, timeout_sec)
+    waiting = answers.join(outcome.where(~F.col("done")).select(*keys), list(keys), "left_semi")
+    if aborted is None:
+        return waiting
+    return waiting.join(aborted.select(*keys), list(keys), "left_anti")
 
-    ``waiting`` has the attempts of requests without an acknowledgement, see ``open_attempts``.
-    """
+
+def due_resends(waiting, now, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, keys=REQUEST):
+    """Requests whose last attempt is at least the timeout ago; ``waiting`` as from ``open_attempts``."""
     requests = waiting.groupBy(*keys).agg(
         F.count("*").alias("attempts"), F.max("ts").alias("last_ts")
     )
-    return requests.where(
-        F.col("last_ts") + F.make_dt_interval(secs=F.lit(timeout_sec)) <= now
-    )
-
-
-def open_attempts(matched, keys=("remoteid", "command", "request")):
-    """Attempts of requests none of whose attempts is acknowledged."""
-    done = matched.where(F.col("ack_ts").isNotNull()).select(*keys).distinct()
-    return matched.join(done, list(keys), "left_anti")
+    return requests.where(after(F.col("last_ts"), timeout_sec) <= now)

@@ -203,21 +203,35 @@ def acknowledged_ids(spark, sf_dir):
     return K.acknowledged_ids(acks(spark, sf_dir))
 
 
-REQUEST = ["remoteid", "command", "request"]
+REQUEST = list(K.REQUEST)
+
+
+def answers(spark, sf_dir):
+    return K.answered(sent(spark, sf_dir), acks(spark, sf_dir))
 
 
 def request_outcome(spark, sf_dir):
-    return K.request_outcome(matched(spark, sf_dir), REQUEST)
+    return K.request_outcome(answers(spark, sf_dir)).select(*REQUEST, "attempts", "done", micros("done_ts"))
 
 
 def attempts(spark, sf_dir):
     return K.attempts(sent(spark, sf_dir), REQUEST).select(*REQUEST, "id", "attempt", "gap_sec")
 
 
-def aborted_attempts(spark, sf_dir):
-    return K.aborted_attempts(matched(spark, sf_dir), switches(spark, sf_dir)).select(
-        "remoteid", "id", micros("abort_ts"), "ends_in"
-    )
+def aborted(spark, sf_dir):
+    return K.aborted_requests(answers(spark, sf_dir), switches(spark, sf_dir))
+
+
+def aborted_requests(spark, sf_dir):
+    return aborted(spark, sf_dir).select(*REQUEST, "id", micros("abort_ts"), "ends_in")
+
+
+def wait_aborts(spark, sf_dir):
+    """The state in force half a minute after every switch row tells whether the stand waits for launch."""
+    rows = switches(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 SECONDS"))
+    placed = S.value_as_of(rows.select("remoteid", "ts", "id", "ready", "launch"), timeline(spark, sf_dir), "state")
+    log = placed.withColumn("waits", F.coalesce(F.col("state") == "ready", F.lit(False))).drop("state")
+    return K.wait_aborts(log).select("remoteid", micros("ts"), "id", "ends_in")
 
 
 def hold_aborts(spark, sf_dir):
@@ -228,9 +242,8 @@ def hold_aborts(spark, sf_dir):
 
 def due_resends(spark, sf_dir):
     now = F.timestamp_micros(F.lit(1_705_276_800_000_000))
-    return K.due_resends(K.open_attempts(matched(spark, sf_dir)), now).select(
-        *REQUEST, "attempts", micros("last_ts")
-    )
+    waiting = K.open_attempts(answers(spark, sf_dir), aborted=aborted(spark, sf_dir))
+    return K.due_resends(waiting, now).select(*REQUEST, "attempts", micros("last_ts"))
 
 
 def latest(spark, sf_dir):
@@ -284,7 +297,8 @@ QUERIES = {
     "acknowledged_ids": acknowledged_ids,
     "request_outcome": request_outcome,
     "attempts": attempts,
-    "aborted_attempts": aborted_attempts,
+    "aborted_requests": aborted_requests,
+    "wait_aborts": wait_aborts,
     "hold_aborts": hold_aborts,
     "due_resends": due_resends,
     "latest_n": latest_n,
@@ -361,27 +375,29 @@ SELECT id, remoteid, command FROM sent s
 WHERE NOT EXISTS (SELECT 1 FROM acks a WHERE a.request_id = s.id AND a.ts >= s.ts AND a.ts <= s.ts + INTERVAL 60 SECOND)""",
     "acknowledged_ids": with_views("sent") + """
 SELECT DISTINCT request_id FROM acks""",
-    "request_outcome": with_views("sent") + """
-SELECT remoteid, command, request, count(*) AS attempts, bool_or(ack_ts IS NOT NULL) AS done
-FROM matched GROUP BY remoteid, command, request""",
+    "request_outcome": with_views("requests") + """
+SELECT remoteid, command, request, attempts, done, CASE WHEN done THEN epoch_us(first_ack) END AS done_ts_us FROM requests""",
     "attempts": with_views("sent") + """
 SELECT remoteid, command, request, id, row_number() OVER w AS attempt,
        (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6::DOUBLE AS gap_sec
 FROM sent WINDOW w AS (PARTITION BY remoteid, command, request ORDER BY ts, id)""",
-    "aborted_attempts": with_views("sent", "switches") + """,
-waiting AS (
-  SELECT remoteid, id, ts + INTERVAL 60 SECOND AS abort_ts FROM matched WHERE ack_ts IS NULL)
-SELECT w.remoteid, w.id, epoch_us(abort_ts) AS abort_ts_us, 'safe' AS ends_in
-FROM waiting w ASOF LEFT JOIN switches s ON s.remoteid = w.remoteid AND w.abort_ts >= s.ts
-WHERE NOT coalesce(s.ready, false)""",
+    "aborted_requests": with_views("aborted") + """
+SELECT remoteid, command, request, id, epoch_us(abort_ts) AS abort_ts_us, 'safe' AS ends_in FROM aborted""",
+    "wait_aborts": with_views("switches", "timeline") + """,
+placed AS (
+  SELECT w.remoteid, w.ts + INTERVAL 30 SECOND AS ts, w.id, w.ready, w.launch, t.state,
+    lag(w.ready, 1, true) OVER (PARTITION BY w.remoteid ORDER BY w.ts, w.id) AS ready_before
+  FROM switches w ASOF LEFT JOIN timeline t ON t.remoteid = w.remoteid AND w.ts + INTERVAL 30 SECOND >= t.ts)
+SELECT remoteid, epoch_us(ts) AS ts_us, id, 'safe' AS ends_in FROM placed
+WHERE state = 'ready' AND NOT launch AND NOT ready AND ready_before""",
     "hold_aborts": with_views("switches") + """,
 lagged AS (
   SELECT *, lag(NOT dump AND launch, 1, false) OVER (PARTITION BY remoteid ORDER BY ts, id) AS held FROM switches)
 SELECT remoteid, epoch_us(ts) AS ts_us, id, 'safe' AS ends_in FROM lagged WHERE launch AND dump AND held""",
-    "due_resends": with_views("sent") + """
-SELECT remoteid, command, request, count(*) AS attempts, epoch_us(max(ts)) AS last_ts_us
-FROM matched GROUP BY remoteid, command, request
-HAVING NOT bool_or(ack_ts IS NOT NULL) AND max(ts) + INTERVAL 60 SECOND <= TIMESTAMP '2024-01-15 00:00:00'""",
+    "due_resends": with_views("aborted") + """
+SELECT remoteid, command, request, attempts, epoch_us(last_ts) AS last_ts_us
+FROM requests ANTI JOIN aborted USING (remoteid, command, request)
+WHERE NOT done AND last_ts + INTERVAL 60 SECOND <= TIMESTAMP '2024-01-15 00:00:00'""",
     "latest_n": VIEW + """
 SELECT run_id, sensor_name, place, round(value, 6) AS value FROM padded""",
     "display_tail": VIEW + f"""

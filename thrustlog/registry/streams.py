@@ -1,6 +1,9 @@
 """Registered streams. Each feeds a driver table in four parts, one drained start per part, so the
 carried state and the checkpoint are used, and returns what the stream has stored."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,19 +92,15 @@ def stream_state(spark, sf_dir):
 
 def stream_route(spark, sf_dir):
     base = shared_folder(spark, "stream-route")
-
-    def keep(command):
-        output = BatchOutput(f"{base}/routed/command={command}")
-        return lambda rows, batch_id: output.save(rows.select("remoteid", "id"), batch_id)
-
-    handlers = {command: keep(command) for command in COMMANDS}
+    rows = commands(spark, sf_dir)
 
     def start(stream):
-        return control.route_commands(stream, handlers, f"{base}/checkpoint", availableNow=True)
+        return control.route_commands(stream, f"{base}/routed", f"{base}/checkpoint", availableNow=True)
 
-    feed(commands(spark, sf_dir), "ts", f"{base}/in", start)
-    routed = spark.read.schema("remoteid long, id long, command string, batch long")
-    return routed.parquet(f"{base}/routed").drop("batch")
+    feed(rows, "ts", f"{base}/in", start)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    parts = [control.routed(spark, f"{base}/routed", schema, c).select("remoteid", "id", F.lit(c).alias("command")) for c in COMMANDS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def stream_acks(spark, sf_dir):
@@ -188,8 +187,8 @@ def stream_resends(spark, sf_dir):
 
     feed(rows, "ts", f"{base}/in", start)
     due = "remoteid long, command string, request string, attempts long, last_ts timestamp"
-    return output.read(spark, due).select(
-         "remoteid", "command", "request", "attempts", micros("last_ts")
+    return output.numbered(spark, due).select(
+        "batch", "remoteid", "command", "request", "attempts", micros("last_ts")
     )
 
 
@@ -274,8 +273,26 @@ FROM codes JOIN sensors USING (channel)""",
     "stream_route": with_views("commands") + """
 SELECT remoteid, id, command FROM commands""",
     "stream_acks": with_views("sent") + """
-SELECT s.id, epoch_us(s.ts) AS sent_ts_us, epoch_us(a.ts) AS ack_ts_us
-FROM sent s LEFT JOIN acks a ON a.request_id = s.id AND a.ts >= s.ts AND a.ts <= s.ts + INTERVAL 60 SECOND""",
+SELECT id, epoch_us(ts) AS sent_ts_us, epoch_us(ack_ts) AS ack_ts_us FROM matched""",
+    "stream_resends": with_views("sent") + """,
+spread AS (
+  SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high, round_even((max(epoch_us(ts)) - min(epoch_us(ts))) / 4.0, 0)::BIGINT AS width
+  FROM (SELECT ts FROM sent UNION ALL SELECT ts FROM acks)),
+parts AS (
+  SELECT p AS batch, low + p * width AS from_us, CASE WHEN p = 3 THEN high + 1 ELSE low + (p + 1) * width END AS to_us
+  FROM spread, (SELECT unnest([0, 1, 2, 3]) AS p)),
+clocks AS (
+  SELECT batch, to_us, max(r.ts) AS now FROM parts
+  JOIN (SELECT ts FROM sent UNION ALL SELECT ts FROM acks) r ON epoch_us(r.ts) >= from_us AND epoch_us(r.ts) < to_us GROUP BY ALL),
+seen AS (
+  SELECT c.batch, c.now, s.remoteid, s.command, s.request, s.id, s.ts, min(a.ts) AS ack_ts
+  FROM clocks c JOIN sent s ON epoch_us(s.ts) < c.to_us
+  LEFT JOIN acks a ON a.request_id = s.id AND a.ts >= s.ts AND epoch_us(a.ts) < c.to_us GROUP BY ALL),
+asked AS (
+  SELECT batch, now, remoteid, command, request, count(*) AS attempts, max(ts) AS last_ts, min(ack_ts) AS first_ack
+  FROM seen GROUP BY ALL)
+SELECT batch, remoteid, command, CAST(request AS VARCHAR) AS request, attempts, epoch_us(last_ts) AS last_ts_us FROM asked
+WHERE NOT coalesce(first_ack <= last_ts + INTERVAL 60 SECOND, false) AND last_ts + INTERVAL 60 SECOND <= now""",
     "stream_view": with_views("converted") + f"""
 SELECT run_id, sensor_name, scan_no, round(value, 6) AS y
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sensor_name ORDER BY scan_no DESC) AS rank FROM converted)

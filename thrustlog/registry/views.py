@@ -228,6 +228,26 @@ matched AS (
   FROM sent s LEFT JOIN acks a ON a.request_id = s.id AND a.ts > s.ts - INTERVAL 1 MICROSECOND
        AND a.ts <= s.ts + INTERVAL 60 SECOND
   GROUP BY ALL)""",
+    "answers": """answers AS (
+  SELECT s.remoteid, s.command, s.request, s.id, s.ts, min(a.ts) AS ack_ts
+  FROM sent s LEFT JOIN acks a ON a.request_id = s.id AND a.ts >= s.ts
+  GROUP BY ALL)""",
+    "requests": """requests AS (
+  SELECT *, coalesce(first_ack <= last_ts + INTERVAL 60 SECOND, false) AS done
+  FROM (SELECT remoteid, command, request, count(*) AS attempts, max(ts) AS last_ts, min(ack_ts) AS first_ack
+        FROM answers GROUP BY ALL))""",
+    "aborted": """timeouts AS (
+  SELECT a.remoteid, a.command, a.request, a.id, a.ts + INTERVAL 60 SECOND AS at
+  FROM answers a JOIN requests r USING (remoteid, command, request)
+  WHERE a.command <> 'safe' AND (r.first_ack IS NULL OR r.first_ack > a.ts + INTERVAL 60 SECOND)),
+aborted AS (
+  SELECT remoteid, command, request, min(id) AS id, abort_ts, 'safe' AS ends_in
+  FROM (
+    SELECT t.remoteid, t.command, t.request, t.id, t.at AS abort_ts,
+           min(t.at) OVER (PARTITION BY t.remoteid, t.command, t.request) AS first_at
+    FROM timeouts t ASOF LEFT JOIN switches s ON s.remoteid = t.remoteid AND t.at >= s.ts
+    WHERE NOT coalesce(s.ready, false))
+  WHERE abort_ts = first_at GROUP BY ALL)""",
     "switches": """switches AS (
   SELECT user_id AS remoteid, ts, event_id AS id, value > 10 AS ready, value > 30 AS launch,
          event_type IN ('view', 'click') AS fill, event_type = 'purchase' AS dump
@@ -264,6 +284,9 @@ NEEDS = {
     "timeline": ["commands"],
     "sessions": ["commands"],
     "sent": ["commands"],
+    "answers": ["sent"],
+    "requests": ["answers"],
+    "aborted": ["requests", "switches"],
     "messages": ["commands"],
 }
 

@@ -5,6 +5,7 @@ runs again after a failure reads the same input and overwrites its own output.
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 class CarriedTable:
@@ -49,7 +50,13 @@ class BatchOutput:
 
     def read(self, spark, schema):
         """Rows of all micro-batches."""
-        return spark.read.schema(schema).parquet(self.path).drop("batch")
+        return self.numbered(spark, schema).drop("batch")
+
+    def numbered(self, spark, schema):
+        """Rows of all micro-batches with the number of theirs in ``batch``."""
+        if isinstance(schema, str):
+            schema = StructType.fromDDL(schema)
+        return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(self.path)
 
 
 def run_stream(stream, handle, checkpoint, **trigger):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from thrustlog.constants import COMMAND_ACK_TIMEOUT_SEC, RELAYS
-from thrustlog.operators.acks import due_resends, match_acks, open_attempts
+from thrustlog.operators.acks import REQUEST, after, answered, due_resends, open_attempts, request_outcome
 from thrustlog.operators.sessions import sessions
 from thrustlog.operators.timeline import full_timeline
 from thrustlog.streaming.carried import replaced, run_stream
@@ -13,7 +13,8 @@ STAND_STATE = (
     + ", ".join(f"{r} boolean" for r in RELAYS)
 )
 OPEN_SESSION = "remoteid long, ts timestamp, id long"
-OPEN_ATTEMPT = "remoteid long, command string, request string, id long, ts timestamp"
+OPEN_ATTEMPT = "remoteid long, command string, request string, id long, ts timestamp, ack_ts timestamp"
+RETENTION_SEC = 2 * 86_400
 
 
 def continue_timeline(commands, before):
@@ -63,16 +64,22 @@ def run_state_machine(stream, carried, output, checkpoint, **trigger):
     return run_stream(stream, handle, checkpoint, **trigger)
 
 
-def route_commands(stream, handlers, checkpoint, **trigger):
-    """One filtered hand-over per command: ``handlers`` maps a command to ``(rows, batch_id)``."""
+def route_commands(stream, folder, checkpoint, **trigger):
+    """Commands handed over by name: each micro-batch is written once, a folder per command."""
 
     def handle(batch, batch_id):
-        for command, handler in handlers.items():
-            handler(batch.where(F.col("command") == command), batch_id)
+        target = f"{folder}/batch={batch_id}"
+        batch.withColumn("route", F.col("command")).write.mode("overwrite").partitionBy("route").parquet(target)
 
     return run_stream(stream, handle, checkpoint, **trigger)
 
 
+def routed(spark, folder, schema, command):
+    """The commands of one name that ``route_commands`` has handed over."""
+    rows = spark.read.schema(f"{schema}, batch long, route string").parquet(folder)
+    return rows.where(F.col("route") == command).drop("batch", "route")
+
+
 def continue_sessions(commands, open_before):
     """Sessions touched by one micro-batch: an open one goes in as its opening command."""
     opened = open_before.select("remoteid", "ts", "id", F.lit("ready").alias("command"))
@@ -99,29 +106,41 @@ def finish_runs(stream, analyse, carried, closed, output, checkpoint, **trigger)
     return run_stream(stream, handle, checkpoint, **trigger)
 
 
-def continue_requests(sent, acks, open_before, timeout_sec=COMMAND_ACK_TIMEOUT_SEC):
-    """Attempts still without an answer after a micro-batch, whole requests at a time."""
-    attempts = open_before.unionByName(sent.select(*open_before.columns))
-    return open_attempts(match_acks(attempts, acks, timeout_sec))
+def continue_requests(sent, acks, before):
+    """All carried and new attempts with the first acknowledgement seen so far."""
+    nothing = F.lit(None).cast("timestamp")
+    known = before.withColumnRenamed("ack_ts", "_known")
+    new = sent.select(*[c for c in known.columns if c != "_known"], nothing.alias("_known"))
+    found = answered(known.unionByName(new), acks)
+    return found.withColumn("ack_ts", F.least("_known", "ack_ts")).drop("_known")
+
+
+def kept_requests(attempts, now, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, retention_sec=RETENTION_SEC):
+    """Attempts to carry on: those of requests not done, or done but seen within the retention time."""
+    outcome = request_outcome(attempts, REQUEST, timeout_sec)
+    over = outcome.where(F.col("done") & (after(F.col("last_ts"), retention_sec) < now))
+    return attempts.join(over.select(*REQUEST), list(REQUEST), "left_anti")
 
 
-def decide_resends(stream, carried, output, checkpoint, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, **trigger):
+def decide_resends(
+    stream, carried, output, checkpoint, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, retention_sec=RETENTION_SEC, **trigger
+):
     """Requests to send again, by the latest time seen in each micro-batch.
 
-    The stream has ``kind`` (``sent`` or ``ack``), the columns of ``OPEN_ATTEMPT`` and
-    ``request_id``; an acknowledgement arrives with or after the message it answers.
+    The stream has ``kind`` (``sent`` or ``ack``), the columns of a sent message and ``request_id``; an
+    acknowledgement arrives with or after the message it answers. A request that is done is carried for
+    ``retention_sec`` after its last attempt, so that a late attempt does not open it again.
     """
 
     def handle(batch, batch_id):
-        waiting = continue_requests(
+        attempts = continue_requests(
             batch.where(F.col("kind") == "sent"),
             batch.where(F.col("kind") == "ack").select("request_id", "ts"),
             carried.before(batch_id),
-            timeout_sec,
         )
-        carried.save(waiting, batch_id)
-        now = batch.agg(F.max("ts")).first()[0]
-        due = due_resends(carried.before(batch_id + 1), F.lit(now).cast("timestamp"), timeout_sec)
-        output.save(due, batch_id)
+        now = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
+        carried.save(kept_requests(attempts, now, timeout_sec, retention_sec), batch_id)
+        waiting = open_attempts(carried.before(batch_id + 1), REQUEST, timeout_sec)
+        output.save(due_resends(waiting, now, timeout_sec), batch_id)
 
     return run_stream(stream, handle, checkpoint, **trigger)
