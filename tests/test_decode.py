@@ -1,6 +1,7 @@
 """Batches on hand-made cases; micro-batches against the whole."""
 
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -26,9 +27,18 @@ def ids(df):
 def test_gates(spark):
     raw = spark.createDataFrame(EXAMPLE, RAW_BATCH)
     assert ids(decode.running_batches(raw)) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 2)]
-    gated = decode.gate_batches(raw)
-    assert ids(decode.while_armed(gated)) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
-    assert ids(decode.until_overrun(gated)) == [("a", 1), ("a", 2), ("a", 3), ("a", 4)]
+    assert ids(decode.while_armed(decode.arm_batches(raw))) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    assert ids(decode.until_overrun(decode.gate_batches(raw))) == [("a", 1), ("a", 2), ("a", 3)]
+
+
+def test_each_arming_has_its_own_time_axis(spark):
+    ports = [1, 1, 0, 0, 1, 1]
+    rows = [("a", i, 2, port, [0] * 4) for i, port in enumerate(ports)]
+    rows += [("b", 0, 6, 0, [0] * 4), ("b", 1, 2, 1, [0] * 4), ("b", 2, 6, 1, [0] * 4), ("b", 3, 2, 0, [0] * 4), ("b", 4, 2, 1, [0] * 4)]
+    got = decode.accepted_batches(spark.createDataFrame(rows, RAW_BATCH), 2, 10).collect()
+    assert sorted((r.run_id, r.arm_no, r.batch_id, r.scan_offset) for r in got) == [
+        ("a", 1, 0, 0), ("a", 1, 1, 2), ("a", 1, 2, 4), ("a", 2, 4, 0), ("a", 2, 5, 2), ("b", 1, 1, 0), ("b", 2, 4, 0),
+    ]
 
 
 def test_readings_number_scans_over_batches(spark):
@@ -60,11 +70,21 @@ def test_micro_batches_equal_whole(spark):
     for part in range(4):
         batch = spark.createDataFrame(rows[part * 50:(part + 1) * 50], RAW_BATCH)
         accepted = accept_more(batch, state, 3, 5, 6)
-        seen += [(r.run_id, r.batch_id, r.transfer_no, r.scan_offset) for r in accepted.collect()]
+        seen += [(r.run_id, r.arm_no, r.batch_id, r.transfer_no, r.scan_offset) for r in accepted.collect()]
         state = spark.createDataFrame(state_after(batch, accepted, state, 3).collect(), RUN_STATE)
     assert sorted(seen) == sorted(
-        (r.run_id, r.batch_id, r.transfer_no, r.scan_offset) for r in whole.collect()
+        (r.run_id, r.arm_no, r.batch_id, r.transfer_no, r.scan_offset) for r in whole.collect()
+    )
+
+
+def test_idle_runs_leave_the_stream_state(spark):
+    now = datetime(2024, 1, 8)
+    before = spark.createDataFrame(
+        [("old", 1, 1, 0, 1, 1, datetime(2024, 1, 1)), ("new", 1, 1, 0, 1, 1, datetime(2024, 1, 7))], RUN_STATE
     )
+    batch = spark.createDataFrame([("now", 0, 2, 1, [1, 2])], RAW_BATCH)
+    state = state_after(batch, accept_more(batch, before, 2, 10), before, 2, now, retention_sec=2 * 86_400)
+    assert sorted(r.run_id for r in state.collect()) == ["new", "now"]
 
 
 def test_equal_load_leaves_gain_null(spark):

@@ -19,6 +19,9 @@ from thrustlog.plans.scan import (
 )
 
 
+ARM = ["run_id", "arm_no"]
+
+
 def scans_in(data, nchan):
     """Whole scans in a batch; codes of an incomplete last scan do not count."""
     return F.coalesce(integer_div(F.size(data), nchan), F.lit(0).cast("long"))
@@ -37,40 +40,59 @@ def overrun(status):
     return status.bitwiseAND(F.lit(SCAN_OVERRUN)) != 0
 
 
+def arm_batches(batches, block_width=1024):
+    """Add ``armed_before``, 1 where the port was non-zero with the previous batch of the run, and
+    ``arm_no``, how often the run has been armed so far."""
+    block = number_block(F.col("batch_id"), block_width)
+    armed = (F.col("dport") != 0).cast("int")
+    before = running(batches, ["run_id"], ["batch_id"], block, armed_before=previous_value(armed))
+    return running(before, ["run_id"], ["batch_id"], block, arm_no=running_sum(arming().cast("long")))
+
+
+def arming():
+    """The port goes non-zero; a device that was never read counts as not armed."""
+    return (F.col("dport") != 0) & (F.coalesce(F.col("armed_before"), F.lit(0)) == 0)
+
+
+def while_armed(armed):
+    """Keep batches while the port is non-zero, and the one read together with the first zero."""
+    return armed.where((F.col("dport") != 0) | (F.coalesce(F.col("armed_before"), F.lit(0)) == 1))
+
+
+def count_overruns(kept, block_width=1024):
+    """Add ``overruns``, the overrun reports so far since the run was last armed."""
+    block = number_block(F.col("batch_id"), block_width)
+    overruns = running_sum(overrun(F.col("status")).cast("long"))
+    return running(kept, ARM, ["batch_id"], block, overruns=overruns)
+
+
 def gate_batches(batches, block_width=1024):
-    """Add ``overruns``, the overrun reports so far, and ``armed_before``, 1 where the port was
-    non-zero with the previous batch of the run."""
-    return running(
-        batches,
-        ["run_id"],
-        ["batch_id"],
-        number_block(F.col("batch_id"), block_width),
-        overruns=running_sum(overrun(F.col("status")).cast("long")),
-        armed_before=previous_value((F.col("dport") != 0).cast("int")),
-    )
+    """Batches read while armed, with ``arm_no`` and ``overruns``."""
+    return count_overruns(while_armed(arm_batches(batches, block_width)), block_width)
 
 
-def number_batches(batches, nchan, block_width=1024):
+def number_batches(batches, nchan, block_width=1024, keys=("run_id",), scans=None):
     """Add ``transfer_no``, ``scan_offset`` (scans of earlier batches) and ``run_scans`` (of all)."""
+    scans = scans_in(F.col("data"), nchan) if scans is None else scans
     return running(
         batches,
-        ["run_id"],
+        list(keys),
         ["batch_id"],
         number_block(F.col("batch_id"), block_width),
         transfer_no=running_sum(F.lit(1).cast("long")),
-        scan_offset=running_sum(scans_in(F.col("data"), nchan), exclusive=True),
-        run_scans=key_total(scans_in(F.col("data"), nchan)),
+        scan_offset=running_sum(scans, exclusive=True),
+        run_scans=key_total(scans),
     )
 
 
 def until_overrun(gated):
-    """An overrun ends the run: keep what came before the first one."""
+    """An overrun ends what was armed: keep what came before the first one."""
     return gated.where(F.col("overruns") == 0)
 
 
-def while_armed(gated):
-    """Keep batches while the port is non-zero, and the one read together with the first zero."""
-    return gated.where((F.col("dport") != 0) | (F.coalesce(F.col("armed_before"), F.lit(0)) == 1))
+def without_codes(batches, nchan):
+    """What gates and numbers need of each batch; the codes stay behind."""
+    return batches.select("run_id", "batch_id", "status", "dport", F.size("data").alias("codes"), scans_in(F.col("data"), nchan).alias("scans"))
 
 
 def until_run_time(numbered, frequency, max_seconds):
@@ -86,10 +108,16 @@ def until_run_time(numbered, frequency, max_seconds):
 
 
 def accepted_batches(batches, nchan, frequency, max_seconds=0):
-    """Batches the logger would have stored, numbered: gates first, then the time axis."""
-    gated = while_armed(until_overrun(gate_batches(batches)))
-    stored = non_empty_batches(running_batches(gated)).drop("overruns", "armed_before")
-    return until_run_time(number_batches(stored, nchan), frequency, max_seconds)
+    """Batches the logger would have stored, numbered: gates first, then the time axis.
+
+    Each arming starts a time axis of its own, told apart by ``arm_no``. Gates and numbers are found
+    without the codes, which are joined to them in the end by run and batch.
+    """
+    gated = until_overrun(gate_batches(without_codes(batches, nchan)))
+    stored = running_batches(gated).where(F.col("codes") > 0)
+    numbered = until_run_time(number_batches(stored, nchan, keys=ARM, scans=F.col("scans")), frequency, max_seconds)
+    found = ["arm_no", "transfer_no", "scan_offset", *(c for c in ["run_scans"] if c in numbered.columns)]
+    return batches.join(numbered.select("run_id", "batch_id", *found), ["run_id", "batch_id"])
 
 
 def deinterleave(batches, nchan):
@@ -113,10 +141,10 @@ def dropped_codes(batches, nchan):
 def readings(numbered, nchan, frequency):
     """Long form of numbered batches: run, batch, scan number, seconds, channel, code, volts.
 
-    ``run_scans`` stays where the batches have it.
+    ``run_scans`` and ``arm_no`` stay where the batches have them.
     """
     scan_no = F.col("scan_offset") + F.col("scan") + 1
-    length = ["run_scans"] if "run_scans" in numbered.columns else []
+    length = [c for c in ("run_scans", "arm_no") if c in numbered.columns]
     return deinterleave(numbered, nchan).select(
         "run_id",
         "batch_id",

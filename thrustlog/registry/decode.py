@@ -43,12 +43,12 @@ def status_filter(spark, sf_dir):
 
 
 def overrun_cut(spark, sf_dir):
-    return D.until_overrun(D.gate_batches(raw_batches(spark, sf_dir))).select("run_id", "batch_id")
+    return D.until_overrun(D.gate_batches(raw_batches(spark, sf_dir))).select("run_id", "batch_id", "arm_no")
 
 
 def arm_gate(spark, sf_dir):
-    return D.while_armed(D.gate_batches(raw_batches(spark, sf_dir))).select(
-        "run_id", "batch_id", "dport"
+    return D.while_armed(D.arm_batches(raw_batches(spark, sf_dir))).select(
+        "run_id", "batch_id", "dport", "arm_no"
     )
 
 
@@ -58,8 +58,8 @@ def runtime_cut(spark, sf_dir):
 
 
 def accepted_batches(spark, sf_dir):
-    return D.accepted_batches(raw_batches(spark, sf_dir), CHANNELS, RATE, RUN_SECONDS).select(
-        "run_id", "batch_id", "transfer_no", "scan_offset"
+    return D.accepted_batches(raw_batches(spark, sf_dir), CHANNELS, RATE).select(
+        "run_id", "arm_no", "batch_id", "transfer_no", "scan_offset"
     )
 
 
@@ -140,18 +140,23 @@ QUERIES = {
 CODES = with_views("codes") + """
 SELECT run_id, batch_id, scan, channel, code FROM codes"""
 
-GATED = """gated AS (
-  SELECT *, sum(CASE WHEN status & 4 <> 0 THEN 1 ELSE 0 END) OVER w AS overruns,
-         lag(dport, 1, 0) OVER (PARTITION BY run_id ORDER BY batch_id) AS port_before
-  FROM raw_batches
-  WINDOW w AS (PARTITION BY run_id ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+GATED = """ports AS (
+  SELECT *, lag(dport, 1, 0) OVER (PARTITION BY run_id ORDER BY batch_id) AS port_before FROM raw_batches),
+armed AS (
+  SELECT *, CAST(sum(CASE WHEN dport <> 0 AND port_before = 0 THEN 1 ELSE 0 END) OVER (
+    PARTITION BY run_id ORDER BY batch_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS arm_no
+  FROM ports),
+gated AS (
+  SELECT *, sum(CASE WHEN status & 4 <> 0 THEN 1 ELSE 0 END) OVER (
+    PARTITION BY run_id, arm_no ORDER BY batch_id ROWS UNBOUNDED PRECEDING) AS overruns
+  FROM armed WHERE dport <> 0 OR port_before <> 0)"""
 
 ACCEPTED = GATED + """,
 stored AS (
-  SELECT * FROM gated WHERE overruns = 0 AND (dport <> 0 OR port_before <> 0) AND status = 2 AND len > 0),
+  SELECT * FROM gated WHERE overruns = 0 AND status = 2 AND len > 0),
 accepted AS (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY batch_id) AS transfer_no,
-         CAST(coalesce(sum(len // 5) OVER (PARTITION BY run_id ORDER BY batch_id
+  SELECT *, row_number() OVER (PARTITION BY run_id, arm_no ORDER BY batch_id) AS transfer_no,
+         CAST(coalesce(sum(len // 5) OVER (PARTITION BY run_id, arm_no ORDER BY batch_id
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan_offset
   FROM stored)"""
 
@@ -165,16 +170,14 @@ SELECT run_id, batch_id, transfer_no, scan_offset,
        CAST(sum(len // 5) OVER (PARTITION BY run_id) AS BIGINT) AS run_scans FROM numbered""",
     "status_filter": with_views("raw_batches") + """
 SELECT run_id, batch_id, CAST(len AS INTEGER) AS codes FROM raw_batches WHERE status = 2 AND len > 0""",
-    "overrun_cut": with_views("raw_batches") + """
-SELECT run_id, batch_id FROM raw_batches b
-WHERE NOT EXISTS (SELECT 1 FROM raw_batches o WHERE o.run_id = b.run_id AND o.status = 6
-                  AND o.batch_id <= b.batch_id)""",
+    "overrun_cut": with_views("raw_batches") + ",\n" + GATED + """
+SELECT run_id, batch_id, arm_no FROM gated WHERE overruns = 0""",
     "arm_gate": with_views("raw_batches") + ",\n" + GATED + """
-SELECT run_id, batch_id, dport FROM gated WHERE dport <> 0 OR port_before <> 0""",
+SELECT run_id, batch_id, dport, arm_no FROM gated""",
     "runtime_cut": with_views("numbered") + """
 SELECT run_id, batch_id, scan_offset FROM numbered WHERE scan_offset / 5.0 <= 4""",
     "accepted_batches": with_views("raw_batches") + ",\n" + ACCEPTED + """
-SELECT run_id, batch_id, transfer_no, scan_offset FROM accepted WHERE scan_offset / 5.0 <= 4""",
+SELECT run_id, arm_no, batch_id, transfer_no, scan_offset FROM accepted""",
     "first_sample_per_batch": with_views("codes") + """
 SELECT run_id, batch_id, """ + ", ".join(
         f"max((code - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE) FILTER (channel = {i}) AS v{i}"

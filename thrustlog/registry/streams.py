@@ -55,26 +55,38 @@ def by_string_run(df):
     return df.withColumn("run_id", F.col("run_id").cast("string"))
 
 
-def stream_convert(spark, sf_dir):
-    base = shared_folder(spark, "stream-convert")
+def convert_stream(spark, sf_dir, name, batches, max_seconds):
+    """The readings that a stream of raw batches leaves behind; files come in by bounded intake."""
+    base = shared_folder(spark, name)
     carried = CarriedTable(spark, f"{base}/runs", T._parse_datatype_string(ingest.RUN_STATE))
     output = BatchOutput(f"{base}/readings")
 
-    def start(stream):
+    def start(_):
+        stream = ingest.raw_batch_stream(spark, f"{base}/in", schema=batches.schema)
         return ingest.ingest(
             stream, sensors(spark), CHANNELS, RATE, carried, output, f"{base}/checkpoint",
-            max_seconds=RUN_SECONDS, availableNow=True,
+            max_seconds=max_seconds, availableNow=True,
         )
 
-    batches = by_string_run(raw_batches(spark, sf_dir)).drop("ts")
     feed(batches, "batch_id", f"{base}/in", start)
-    kept = "run_id string, scan_no long, sensor_name string, value double"
+    kept = "run_id string, arm_no long, scan_no long, sensor_name string, value double"
     return output.read(spark, kept).select(
-        F.col("run_id").cast("long").alias("run_id"), "scan_no", "sensor_name",
+        F.col("run_id").cast("long").alias("run_id"), "arm_no", "scan_no", "sensor_name",
         F.round("value", 6).alias("value"),
     )
 
 
+def stream_convert(spark, sf_dir):
+    batches = by_string_run(raw_batches(spark, sf_dir)).drop("ts")
+    return convert_stream(spark, sf_dir, "stream-convert", batches, 0)
+
+
+def stream_run_time(spark, sf_dir):
+    """The same with the logger's run time switched on."""
+    batches = by_string_run(raw_batches(spark, sf_dir)).drop("ts")
+    return convert_stream(spark, sf_dir, "stream-run-time", batches, RUN_SECONDS)
+
+
 def stream_state(spark, sf_dir):
     base = shared_folder(spark, "stream-state")
     carried = CarriedTable(spark, f"{base}/stands", T._parse_datatype_string(control.STAND_STATE))
@@ -236,6 +248,7 @@ def stream_finish(spark, sf_dir):
 
 QUERIES = {
     "stream_convert": stream_convert,
+    "stream_run_time": stream_run_time,
     "stream_state": stream_state,
     "stream_route": stream_route,
     "stream_acks": stream_acks,
@@ -258,17 +271,24 @@ SESSION_SUMMARY = (
     QA.analysed(SESSION_TRACE, "session_trace") + ",\n" + QA.SUMMARY + QA.SELECT_SUMMARY
 )
 
-ORACLE = {
-    "stream_convert": with_views("raw_batches", "sensors") + ",\n" + QD.ACCEPTED + """,
+
+
+def converted_sql(kept):
+    return with_views("raw_batches", "sensors") + ",\n" + QD.ACCEPTED + f""",
 codes AS (
-  SELECT run_id, scan_offset + i // 5 + 1 AS scan_no, CAST(i % 5 AS INTEGER) AS channel,
+  SELECT run_id, arm_no, scan_offset + i // 5 + 1 AS scan_no, CAST(i % 5 AS INTEGER) AS channel,
          (cents % 2048 + i * (1 + run_id % 60) - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE AS volts
-  FROM (SELECT *, unnest(range((len // 5) * 5)) AS i FROM accepted WHERE scan_offset / 5.0 <= 4))
-SELECT run_id, scan_no, sensor_name,
+  FROM (SELECT *, unnest(range((len // 5) * 5)) AS i FROM accepted WHERE {kept}))
+SELECT run_id, arm_no, scan_no, sensor_name,
        round(CASE sensor_type WHEN 'loadcell' THEN (volts + linear_adj) / opamp_mul
               WHEN 'temp' THEN ((volts + linear_adj) / opamp_mul - 1.25) / 0.005::DOUBLE
               ELSE ((volts + linear_adj) / opamp_mul) / 4 * max_psi END * scalar_adj, 6) AS value
-FROM codes JOIN sensors USING (channel)""",
+FROM codes JOIN sensors USING (channel)"""
+
+
+ORACLE = {
+    "stream_convert": converted_sql("true"),
+    "stream_run_time": converted_sql(f"scan_offset / 5.0 <= {RUN_SECONDS}"),
     "stream_state": QC.ORACLE["relay_timeline"],
     "stream_route": with_views("commands") + """
 SELECT remoteid, id, command FROM commands""",

@@ -1,11 +1,14 @@
 """Raw batches as a stream: gates, time axis over batches, conversion, append."""
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from thrustlog.operators.convert import convert
 from thrustlog.operators.decode import (
-    gate_batches,
-    non_empty_batches,
+    ARM,
+    arming,
+    count_overruns,
     number_batches,
     overrun,
     readings,
@@ -14,11 +17,16 @@ from thrustlog.operators.decode import (
     until_overrun,
     until_run_time,
     while_armed,
+    without_codes,
 )
+from thrustlog.plans.scan import number_block, previous_value, running, running_sum
 from thrustlog.schemas import RAW_BATCH
 from thrustlog.streaming.carried import replaced, run_stream
 
-RUN_STATE = "run_id string, past_transfers long, past_scans long, past_overruns long, past_armed int"
+RUN_STATE = (
+    "run_id string, past_transfers long, past_scans long, past_overruns long, past_armed int, past_arm_no long, seen timestamp"
+)
+RETENTION_SEC = 7 * 86_400
 QUEUE_DEPTH = 50
 
 
@@ -29,56 +37,68 @@ def raw_batch_stream(spark, path, files_per_trigger=QUEUE_DEPTH, schema=RAW_BATC
     )
 
 
+def arm_more(batches, before, nchan):
+    """Batches without their codes, with the runs' state ``before`` the micro-batch and the count of armings."""
+    block = number_block(F.col("batch_id"), 1024)
+    armed = (F.col("dport") != 0).cast("int")
+    seen = running(without_codes(batches, nchan), ["run_id"], ["batch_id"], block, armed_before=previous_value(armed))
+    known = seen.join(before, "run_id", "left").withColumn("armed_before", F.coalesce("armed_before", "past_armed"))
+    counted = running(known, ["run_id"], ["batch_id"], block, arm_no=running_sum(arming().cast("long")))
+    past = F.coalesce("past_arm_no", F.lit(0))
+    return counted.withColumn("arm_no", F.col("arm_no") + past).withColumn("goes_on", F.col("arm_no") == past)
+
+
 def accept_more(batches, before, nchan, frequency, max_seconds=0):
     """Accepted, numbered batches of one micro-batch, given the runs' state ``before`` it."""
-    zero = F.lit(0)
-    gated = (
-        gate_batches(batches)
-        .join(before, "run_id", "left")
-        .withColumn("overruns", F.col("overruns") + F.coalesce("past_overruns", zero))
-        .withColumn("armed_before", F.coalesce("armed_before", "past_armed"))
-    )
-    kept = non_empty_batches(running_batches(while_armed(until_overrun(gated))))
+
+    def on(past):
+        return F.when(F.col("goes_on"), F.coalesce(past, F.lit(0))).otherwise(0)
+
+    gated = count_overruns(while_armed(arm_more(batches, before, nchan))).withColumn("overruns", F.col("overruns") + on("past_overruns"))
+    kept = running_batches(until_overrun(gated)).where(F.col("codes") > 0)
     numbered = (
-        number_batches(kept, nchan)
-        .withColumn("transfer_no", F.col("transfer_no") + F.coalesce("past_transfers", zero))
-        .withColumn("scan_offset", F.col("scan_offset") + F.coalesce("past_scans", zero))
-    )
-    return until_run_time(numbered, frequency, max_seconds).select(
-        *batches.columns, "transfer_no", "scan_offset"
+        number_batches(kept, nchan, keys=ARM, scans=F.col("scans"))
+        .withColumn("transfer_no", F.col("transfer_no") + on("past_transfers"))
+        .withColumn("scan_offset", F.col("scan_offset") + on("past_scans"))
     )
+    found = until_run_time(numbered, frequency, max_seconds).select("run_id", "batch_id", "arm_no", "transfer_no", "scan_offset")
+    return batches.join(found, ["run_id", "batch_id"])
 
 
-def state_after(batches, accepted, before, nchan):
-    """State of every run after the micro-batch."""
-    seen = batches.groupBy("run_id").agg(
-        F.count_if(overrun(F.col("status"))).alias("_overruns"),
-        F.max_by((F.col("dport") != 0).cast("int"), "batch_id").alias("past_armed"),
+def state_after(batches, accepted, before, nchan, now=None, retention_sec=RETENTION_SEC):
+    """State of every run after the micro-batch; with ``now``, without runs idle for ``retention_sec``."""
+    armed = arm_more(batches, before, nchan)
+    last = armed.groupBy("run_id").agg(
+        F.max("arm_no").alias("_arm"), F.max_by((F.col("dport") != 0).cast("int"), "batch_id").alias("_armed"),
     )
-    added = accepted.groupBy("run_id").agg(
-        F.count("*").alias("_transfers"), F.sum(scans_in(F.col("data"), nchan)).alias("_scans")
+    overruns = while_armed(armed).groupBy(*ARM).agg(F.count_if(overrun(F.col("status"))).alias("_overruns"))
+    added = accepted.groupBy(*ARM).agg(F.count("*").alias("_transfers"), F.sum(scans_in(F.col("data"), nchan)).alias("_scans"))
+    found = (
+        last.withColumnRenamed("_arm", "arm_no")
+        .join(overruns, ARM, "left").join(added, ARM, "left").join(before, "run_id", "left")
     )
+    goes_on = F.col("arm_no") == F.coalesce("past_arm_no", F.lit(0))
 
     def plus(past, new):
-        return (F.coalesce(past, F.lit(0)) + F.coalesce(new, F.lit(0))).alias(past)
-
-    new = (
-        seen.join(added, "run_id", "left")
-        .join(before.drop("past_armed"), "run_id", "left")
-        .select(
-            "run_id",
-            plus("past_transfers", "_transfers"),
-            plus("past_scans", "_scans"),
-            plus("past_overruns", "_overruns"),
-            "past_armed",
-        )
+        return (F.when(goes_on, F.coalesce(past, F.lit(0))).otherwise(0) + F.coalesce(new, F.lit(0))).alias(past)
+
+    seen = F.lit(now).cast("timestamp").alias("seen")
+    new = found.select(
+        "run_id", plus("past_transfers", "_transfers"), plus("past_scans", "_scans"), plus("past_overruns", "_overruns"),
+        F.col("_armed").alias("past_armed"), F.col("arm_no").alias("past_arm_no"), seen,
     )
-    return replaced(before, new, ["run_id"])
+    state = replaced(before, new, ["run_id"])
+    if now is None:
+        return state
+    return state.where(F.col("seen") >= F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(retention_sec)))
 
 
-def ingest(stream, config, nchan, frequency, carried, output, checkpoint, max_seconds=0, **trigger):
+def ingest(
+    stream, config, nchan, frequency, carried, output, checkpoint, max_seconds=0, retention_sec=RETENTION_SEC, **trigger
+):
     """Decode, gate, convert and append every micro-batch.
 
+    A run without batches for ``retention_sec`` of processing time leaves the state.
     ``carried`` is a ``CarriedTable`` with ``RUN_STATE``; ``output`` gets long converted readings.
     """
 
@@ -86,6 +106,7 @@ def ingest(stream, config, nchan, frequency, carried, output, checkpoint, max_se
         before = carried.before(batch_id)
         accepted = accept_more(batch, before, nchan, frequency, max_seconds)
         output.save(convert(readings(accepted, nchan, frequency), config), batch_id)
-        carried.save(state_after(batch, accepted, before, nchan), batch_id)
+        now = datetime.now(timezone.utc)
+        carried.save(state_after(batch, accepted, before, nchan, now, retention_sec), batch_id)
 
     return run_stream(stream, handle, checkpoint, **trigger)
