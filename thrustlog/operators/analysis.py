@@ -17,7 +17,6 @@ from thrustlog.constants import (
 from thrustlog.functions.motor import class_overflow, designation, motor_class
 from thrustlog.functions.rounding import fixed, rounddown, roundup
 from thrustlog.functions.signal import clip_below_zero, nan_as_null, rebased_seconds
-from thrustlog.plans.lookup import lookup_join
 from thrustlog.plans.per_run import join_run_values
 from thrustlog.plans.scan import number_block, positions, previous_value, running, running_sum
 
@@ -61,6 +60,19 @@ def trace_from_wide(wide, thrust_sensor=DEFAULT_THRUST_SENSOR):
     )
 
 
+def placed_log(log, block_seconds=600):
+    """Wide log of any runs with ``pos`` and ``n``, counted by time within blocks of a run."""
+    block = F.floor(F.col("seconds") / F.lit(block_seconds))
+    return positions(log, ["run_id"], ["seconds"], block)
+
+
+def trace_from_log(log, thrust_sensor=DEFAULT_THRUST_SENSOR, block_seconds=600):
+    """Thrust trace of a stored wide log: ``run_id``, ``seconds`` and a column per sensor."""
+    return placed_log(log.select("run_id", "seconds", thrust_sensor), block_seconds).select(
+        "run_id", "pos", "n", F.col("seconds").alias("t"), nan_as_null(F.col(thrust_sensor)).alias("y")
+    )
+
+
 def trace_with_gaps(rows, order, block):
     """Trace of runs whose positions must be counted: ``run_id, t, y`` plus the order columns."""
     placed = positions(rows, ["run_id"], order, block)
@@ -337,29 +349,34 @@ def summary_text(summary):
     return summary.select("run_id", text.alias("value"))
 
 
-def margin_readings(converted, burn, margin=REPORT_MARGIN_SEC, thrust_sensor=DEFAULT_THRUST_SENSOR):
-    """Readings of all sensors around the burn, thrust zeroed, time from the margin's start."""
+def margin_log(placed, burn, margin=REPORT_MARGIN_SEC, thrust_sensor=DEFAULT_THRUST_SENSOR):
+    """Wide rows around the burn, thrust zeroed, time from the margin's start: the processed trace.
+
+    ``placed`` has ``run_id``, ``pos``, ``seconds`` and a column per sensor.
+    """
     bounds = burn.select("run_id", "starting_min", "start_t", "end_t", F.col("n").alias("_length"))
     seconds, lit = F.col("seconds"), F.lit(float(margin))
-    kept = join_run_values(
-        converted.withColumn("pos", F.col("scan_no") - 1), bounds, length="_length"
-    ).where((seconds > F.col("start_t") - lit) & (seconds < F.col("end_t") + lit))
-    zeroed = F.when(
-        F.col("sensor_name") == thrust_sensor, F.col("value") - F.col("starting_min")
-    ).otherwise(F.col("value"))
+    kept = join_run_values(placed, bounds, length="_length").where(
+        (seconds > F.col("start_t") - lit) & (seconds < F.col("end_t") + lit)
+    )
+    sensors = [c for c in placed.columns if c not in ("run_id", "pos", "n", "seconds", "scan_no", "run_scans")]
     return kept.select(
         "run_id",
         rebased_seconds(seconds, F.col("start_t"), margin).alias("seconds"),
-        "sensor_name",
-        zeroed.alias("value"),
+        *[(F.col(c) - F.col("starting_min") if c == thrust_sensor else F.col(c)).alias(c) for c in sensors],
     )
 
 
-def report_axis(kept, config, thrust_sensor=DEFAULT_THRUST_SENSOR, step=10):
-    """Per run and sensor: axis limits of the report."""
-    extremes = kept.groupBy("run_id", "sensor_name").agg(
-        F.max("value").alias("_high"), F.min("value").alias("_low")
-    )
+def report_extremes(processed, sensor_names):
+    """Least and largest value per run and sensor of a processed trace, one aggregate over its wide rows."""
+    names = [c for n in sensor_names for c in (F.min(n).alias(f"low {n}"), F.max(n).alias(f"high {n}"))]
+    per_run = processed.groupBy("run_id").agg(*names)
+    rows = [F.struct(F.lit(n).alias("sensor_name"), F.col(f"low {n}").alias("_low"), F.col(f"high {n}").alias("_high")) for n in sensor_names]
+    return per_run.select("run_id", F.explode(F.array(*rows)).alias("_row")).select("run_id", "_row.*")
+
+
+def report_axis(extremes, config, thrust_sensor=DEFAULT_THRUST_SENSOR, step=10):
+    """Per run and sensor: axis limits of the report, from ``report_extremes``; a sensor without a configuration has its data's."""
     limits = config.select(
         "sensor_name", F.col("min").alias("_config_low"), F.col("max").alias("_config_high")
     )
@@ -368,7 +385,7 @@ def report_axis(kept, config, thrust_sensor=DEFAULT_THRUST_SENSOR, step=10):
     )
     high = F.coalesce(roundup(F.col("_high"), step), F.col("_config_high"))
     return (
-        lookup_join(extremes, limits, ["sensor_name"], ["run_id"])
+        extremes.join(limits, "sensor_name", "left")
         .select("run_id", "sensor_name", low.alias("axis_min"), high.alias("_top"))
         .withColumn(
             "axis_max",

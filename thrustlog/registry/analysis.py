@@ -9,12 +9,23 @@ from thrustlog.operators.decode import number_batches, readings
 from thrustlog.registry.views import (
     CHANNELS,
     RATE,
+    SENSOR_NAMES,
     raw_batches,
     sensors,
     trace,
     with_views,
 )
-from thrustlog.session import stored_table
+from thrustlog.session import shared_folder, stored_table
+from thrustlog.sources.logs import (
+    append_log,
+    melt,
+    read_log,
+    read_partitioned_log,
+    read_raw_log,
+    read_reports,
+    write_processed,
+    write_reports,
+)
 
 
 def rounded(*names):
@@ -102,6 +113,13 @@ def converted(spark, sf_dir):
     return convert(readings(batches, CHANNELS, RATE), sensors(spark))
 
 
+def wide_log(spark, sf_dir):
+    """Wide scans of the raw batches, stored once because every detector pass reads them."""
+    batches = number_batches(raw_batches(spark, sf_dir), CHANNELS)
+    wide = wide_scans(batches, sensors(spark).collect(), RATE)
+    return stored_table(wide, "wide-log")
+
+
 def thrust_trace(spark, sf_dir):
     """Thrust trace of the raw batches, stored once because every detector pass reads it."""
     batches = number_batches(raw_batches(spark, sf_dir), CHANNELS)
@@ -123,19 +141,67 @@ def readings_run_summary(spark, sf_dir):
     return rounded_summary(A.run_summary(rows, RATE, stored_table))
 
 
+def processed(spark, sf_dir, margin=5):
+    """Processed wide trace of every run."""
+    wide = wide_log(spark, sf_dir)
+    burn = A.detect_burn(A.trace_from_wide(wide), RATE, stored_table)
+    return A.margin_log(wide.withColumn("pos", F.col("scan_no") - 1), burn, margin)
+
+
 def axis_bounds(spark, sf_dir):
-    burn = A.detect_burn(thrust_trace(spark, sf_dir), RATE)
-    kept = A.margin_readings(converted(spark, sf_dir), burn)
+    kept = A.report_extremes(processed(spark, sf_dir), SENSOR_NAMES)
     return A.report_axis(kept, sensors(spark)).select(
         "run_id", "sensor_name", *rounded("axis_min", "axis_max")
     )
 
 
 def processed_trace(spark, sf_dir):
-    burn = A.detect_burn(thrust_trace(spark, sf_dir), RATE)
-    return A.margin_readings(converted(spark, sf_dir), burn).select(
-        "run_id", "sensor_name", *rounded("seconds", "value")
-    )
+    return melt(processed(spark, sf_dir), SENSOR_NAMES).select("run_id", "sensor_name", *rounded("seconds", "value"))
+
+
+def stored_log(spark, sf_dir, purpose, raw=False):
+    """Logs of every run written as CSV, a folder per run, and read back by their folders' names."""
+    batches = number_batches(raw_batches(spark, sf_dir), CHANNELS).drop("run_scans")
+    wide = wide_scans(batches, sensors(spark).collect(), RATE, raw=raw)
+    folder = shared_folder(spark, purpose)
+    append_log(wide.drop("scan_no"), folder)
+    read = read_raw_log if raw else read_log
+    return read(spark, folder, SENSOR_NAMES, file_name="*.csv")
+
+
+def whole_ids(rows):
+    return rows.withColumn("run_id", F.col("run_id").cast("long"))
+
+
+def log_run_summary(spark, sf_dir):
+    """Stored logs to summary."""
+    rows = stored_table(A.trace_from_log(whole_ids(stored_log(spark, sf_dir, "log"))), "log-trace")
+    return rounded_summary(A.run_summary(rows, RATE, stored_table))
+
+
+def raw_log_roundtrip(spark, sf_dir):
+    log = whole_ids(stored_log(spark, sf_dir, "raw-log", raw=True))
+    return log.select("run_id", *rounded("seconds"), *[F.round(F.col(n), 6).alias(f"v{i}") for i, n in enumerate(SENSOR_NAMES)])
+
+
+def processed_log(spark, sf_dir):
+    """Stored logs to processed traces with a margin of one second, written, replaced and read back."""
+    placed = stored_table(A.placed_log(stored_log(spark, sf_dir, "log")), "placed-log")
+    trace_of = placed.select("run_id", "pos", "n", F.col("seconds").alias("t"), F.col("Load Cell").alias("y"))
+    burn = A.detect_burn(trace_of, RATE, stored_table)
+    folder = shared_folder(spark, "processed")
+    for margin in (5, 1):
+        write_processed(A.margin_log(placed, burn, margin), folder)
+    back = whole_ids(read_partitioned_log(spark, folder, SENSOR_NAMES))
+    return back.select("run_id", *rounded("seconds"), *[F.round(F.col(n), 6).alias(f"y{i}") for i, n in enumerate(SENSOR_NAMES)])
+
+
+def reports_roundtrip(spark, sf_dir):
+    folder = shared_folder(spark, "reports")
+    write_reports(A.summary_text(run_summary(spark, sf_dir)), folder)
+    return whole_ids(read_reports(spark, folder)).withColumnRenamed("value", "report")
+
+
 
 
 QUERIES = {
@@ -155,6 +221,10 @@ QUERIES = {
     "readings_run_summary": readings_run_summary,
     "axis_bounds": axis_bounds,
     "processed_trace": processed_trace,
+    "log_run_summary": log_run_summary,
+    "raw_log_roundtrip": raw_log_roundtrip,
+    "processed_log": processed_log,
+    "reports_roundtrip": reports_roundtrip,
 }
 
 
@@ -235,12 +305,27 @@ SELECT run_id, motor_class, motor_class || CAST(trunc(average_thrust) AS BIGINT)
        round(burn_time_first_pass, 6) AS burn_time_first_pass, class_overflow
 FROM summary"""
 
-AROUND = BATCHES + """,
+def around(margin):
+    return BATCHES + f""",
 around AS (
-  SELECT c.run_id, round(seconds - (start_t - 5), 4) AS seconds, sensor_name,
+  SELECT c.run_id, round(seconds - (start_t - {margin}), 4) AS seconds, sensor_name, channel,
          CASE WHEN sensor_name = 'Load Cell' THEN value - starting_min ELSE value END AS value
   FROM converted c JOIN first_burn USING (run_id)
-  WHERE seconds > start_t - 5 AND seconds < end_t + 5)"""
+  WHERE seconds > start_t - {margin} AND seconds < end_t + {margin})"""
+
+
+AROUND = around(5)
+
+REPORT_TEXT = """E'\\n        Motor: ' || motor_class || CAST(trunc(average_thrust) AS BIGINT) ||
+  E'  \\n        Impulse: ' || printf('%.2f', round(impulse, 6)) || E' Ns  \\n        Average Thrust: ' ||
+  printf('%.2f', round(average_thrust, 6)) || E' N  \\n        Burn Time: ' || printf('%.1f', round(burn_time, 6)) ||
+  E' s  \\n        Start Time: ' || printf('%.1f', round(start_time, 6)) || E' s  \\n        End Time: ' ||
+  printf('%.1f', round(end_time, 6)) || E' s  \\n        '"""
+
+
+def across(prefix, value="value"):
+    return ", ".join(f"round(max({value}) FILTER (channel = {i}), 6) AS {prefix}{i}" for i in range(CHANNELS))
+
 
 ORACLE = {
     "burn_start": EVENTS + """
@@ -268,13 +353,15 @@ FROM (SELECT run_id, impulse * power(10.0, run_id % 7 - 4) AS scaled FROM classe
 SELECT run_id, round(start_t, 6) AS start_time, round(end_t, 6) AS end_time, round(end_t - start_t, 6) AS burn_time
 FROM again_burn""",
     "run_summary": EVENTS + ",\n" + SUMMARY + SELECT_SUMMARY,
-    "summary_text": EVENTS + ",\n" + SUMMARY + """
-SELECT run_id, E'\\n        Motor: ' || motor_class || CAST(trunc(average_thrust) AS BIGINT) ||
-  E'  \\n        Impulse: ' || printf('%.2f', round(impulse, 6)) || E' Ns  \\n        Average Thrust: ' ||
-  printf('%.2f', round(average_thrust, 6)) || E' N  \\n        Burn Time: ' || printf('%.1f', round(burn_time, 6)) ||
-  E' s  \\n        Start Time: ' || printf('%.1f', round(start_time, 6)) || E' s  \\n        End Time: ' ||
-  printf('%.1f', round(end_time, 6)) || E' s  \\n        ' AS report
-FROM summary""",
+    "summary_text": EVENTS + ",\n" + SUMMARY + f"""
+SELECT run_id, {REPORT_TEXT} AS report FROM summary""",
+    "reports_roundtrip": EVENTS + ",\n" + SUMMARY + f"""
+SELECT run_id, {REPORT_TEXT} AS report FROM summary WHERE motor_class IS NOT NULL""",
+    "log_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
+    "raw_log_roundtrip": with_views("readings") + f"""
+SELECT run_id, round(seconds, 6) AS seconds, {across('v', 'volts')} FROM readings GROUP BY run_id, seconds""",
+    "processed_log": around(1) + f"""
+SELECT run_id, round(seconds, 6) AS seconds, {across('y')} FROM around GROUP BY run_id, seconds""",
     "batch_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
     "readings_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
     "axis_bounds": AROUND + """,

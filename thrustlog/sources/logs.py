@@ -9,8 +9,11 @@ RAW = "raw_data.csv"
 
 
 def read_log(spark, base, sensor_names, file_name=CONVERTED):
-    """Logs of all runs below ``base``: one folder per run, its name is the run's label."""
-    label = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]+)/[^/]+$", 1)
+    """Logs of all runs below ``base``: one folder per run, its name is the run's label.
+
+    Folders written by ``append_log`` are named ``run_id=label``; their files go by ``*.csv``.
+    """
+    label = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"(?:run_id=)?([^/]+)/[^/]+$", 1)
     return (
         spark.read.schema(wide_log(sensor_names))
         .option("header", True)
@@ -21,8 +24,8 @@ def read_log(spark, base, sensor_names, file_name=CONVERTED):
     )
 
 
-def read_raw_log(spark, base, sensor_names):
-    return read_log(spark, base, sensor_names, RAW)
+def read_raw_log(spark, base, sensor_names, file_name=RAW):
+    return read_log(spark, base, sensor_names, file_name)
 
 
 FILE_SECONDS = 3600
@@ -57,6 +60,12 @@ def write_reports(texts, path):
     texts.write.mode("overwrite").partitionBy("run_id").text(path)
 
 
+def read_reports(spark, path):
+    """Reports that ``write_reports`` wrote, one row per run."""
+    rows = spark.read.schema("value string, run_id string").text(path, wholetext=True)
+    return rows.select("run_id", F.regexp_replace("value", r"\n\z", "").alias("value"))
+
+
 def melt(wide, sensor_names):
     """Wide log to long form."""
     return wide.unpivot(
