@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from thrustlog.operators import calibrate, convert, decode, view
@@ -114,11 +115,13 @@ def test_view_pads_and_marks(spark):
     assert [r.place for r in drawn if r.head] == [9]
 
 
-def test_large_lookup_table_is_salted(spark):
+def test_no_row_is_lost_without_an_entry(spark):
     from thrustlog.plans.lookup import lookup_join
 
-    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    rows = spark.range(9).select((F.col("id") % 3).alias("k"), "id")
     table = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
-    small = lookup_join(rows, table, ["k"], ["id"])
-    large = lookup_join(rows, table, ["k"], ["id"], max_rows=1, salts=8)
-    assert small.count() == 667 and small.exceptAll(large).count() == 0 == large.exceptAll(small).count()
+    assert lookup_join(rows, table, ["k"], "drop").count() == 6
+    assert lookup_join(rows, table, ["k"], "null").where("name IS NULL").count() == 3
+    assert lookup_join(rows.where("k < 2"), table, ["k"]).count() == 6
+    with pytest.raises(Exception, match="no entry for k: 2"):
+        lookup_join(rows, table, ["k"]).collect()

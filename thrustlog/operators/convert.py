@@ -26,10 +26,11 @@ def checked_config(config):
 def convert(readings, config, keys=("channel",), on_unknown="fail"):
     """Add sensor name, units and engineering value to long readings.
 
-    One stand's configuration joins by channel; that of a fleet by ``("stand_id", "channel")``.
+    One stand's configuration joins by channel; that of a fleet by ``("stand_id", "channel")``. A channel
+    or a sensor type that is not known fails, or gives null with ``on_unknown`` "null".
     """
     columns = readings.columns
-    joined = lookup_join(readings, checked_config(config), keys, ["scan_no"])
+    joined = lookup_join(readings, checked_config(config), keys, on_unknown)
     value = engineering_value(
         F.col("volts"),
         F.col("sensor_type"),
@@ -42,10 +43,10 @@ def convert(readings, config, keys=("channel",), on_unknown="fail"):
     return joined.select(*columns, "sensor_name", "units", value.alias("value"))
 
 
-def calibrate_codes(readings, device_calibration, keys=("device_id", "channel")):
-    """Add the device-calibrated code."""
+def calibrate_codes(readings, device_calibration, keys=("device_id", "channel"), on_unknown="fail"):
+    """Add the device-calibrated code; a device or channel without a table fails, or gives null."""
     return (
-        lookup_join(readings, device_calibration, keys, readings.columns)
+        lookup_join(readings, device_calibration, keys, on_unknown)
         .withColumn(
             "calibrated", calibrated_code(F.col("code"), F.col("slope"), F.col("intercept"))
         )

@@ -70,7 +70,7 @@ def known_commands(commands, names=COMMANDS):
 
 def listed_commands(commands, command_table):
     """``known_commands`` for a table of command names."""
-    return lookup_join(commands, command_table.select("command").distinct(), ["command"], ["id"]).select(
+    return lookup_join(commands, command_table.select("command").distinct(), ["command"], "drop").select(
         *commands.columns
     )
 

@@ -1,24 +1,23 @@
-"""Join rows to a lookup table such as a sensor configuration."""
+"""Join rows to a lookup table such as a sensor configuration.
 
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
-SALTS = 64
+The join is a plain one: Spark broadcasts the table by its size, at planning or at run time, and
+splits skewed keys of a larger one, so building the plan runs no job.
+"""
 
-
-def is_small(table, max_rows=BROADCAST_ROWS):
-    """Whether ``table`` has at most ``max_rows`` rows; counts no further than that."""
-    return table.limit(max_rows + 1).count() <= max_rows
+from pyspark.sql import functions as F
 
 
-def lookup_join(rows, table, keys, spread_by, max_rows=BROADCAST_ROWS, salts=SALTS):
-    """Inner join of many rows to a lookup table with one row per key.
+def lookup_join(rows, table, keys, on_unknown="fail"):
+    """Rows with the columns of ``table``, which has one row per key.
 
-    A table of checked size is broadcast. A larger one is repeated once per salt and joined on key
-    and salt, which spreads the rows of a hot key by a hash of ``spread_by``.
+    A key without an entry fails the query, or, with ``on_unknown`` "null", leaves the columns null,
+    or, with "drop", leaves the row out. No row is lost silently.
     """
-    if is_small(table, max_rows):
-        return rows.join(F.broadcast(table), list(keys))
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    return rows.withColumn("_salt", salt).join(salted, [*keys, "_salt"]).drop("_salt")
+    if on_unknown == "drop":
+        return rows.join(table, list(keys))
+    marked = rows.join(table.withColumn("_known", F.lit(True)), list(keys), "left")
+    if on_unknown == "null":
+        return marked.drop("_known")
+    key = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    refuse = F.raise_error(F.concat(F.lit(f"no entry for {', '.join(keys)}: "), key)).cast("boolean")
+    return marked.where(F.coalesce(F.col("_known"), refuse)).drop("_known")
