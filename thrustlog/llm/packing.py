@@ -6,6 +6,8 @@ by a segment tree over remaining capacities. Rests are dealt evenly into groups
 ``rows_per_group`` documents by their number alone, so neither copies nor a hot key gather in one
 task, and a group's rows are narrow: with ``with_ids`` off they hold no tokens.
 
+The ids are those of the vocabulary's merges; a compiled library applies them to each pre-token.
+
 Null text is empty, a document of its end id only; null document ids and repeated rows are
 documents of their own; other columns are not read. A window's number is its group's times 2^40
 plus its place in the group.
@@ -14,20 +16,44 @@ plus its place in the group.
 import heapq
 import math
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from thrustlog.llm.batches import text_runs
-from thrustlog.llm.bpe_codec import codec
-from thrustlog.llm.byte_bpe import shipped
+from thrustlog.llm.bpe_codec import Codec
+from thrustlog.llm.byte_bpe import shipped, vocabulary
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 GROUP_BITS = 40
 
 
+class LibraryCodec(Codec):
+    """Encodes as ``Codec`` does, with the merges of a pre-token left to a compiled library."""
+
+    def __init__(self, vocab):
+        super().__init__(vocab)
+        tokens = [bytes([b]) for b in range(256)] + [vocab.token_bytes[i] for i in vocab.merged]
+        ids = [*vocab.byte_ids, *vocab.merged]
+        ranks = {}
+        for rank, token in enumerate(tokens):
+            ranks.setdefault(token, rank)
+        self._ids = [i.to_bytes(4, "little") for i in ids]
+        self._library = tiktoken.Encoding("merges", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def _word(self, word):
+        return b"".join(map(self._ids.__getitem__, self._library.encode_ordinary(word)))
+
+
+@lru_cache(2)
+def codec(text):
+    return LibraryCodec(vocabulary(text))
+
+
 class OpenWindows:
     """Windows by remaining capacity, in a segment tree over the capacities 0 to ``size``."""
 
