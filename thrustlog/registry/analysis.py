@@ -32,51 +32,61 @@ def rounded(*names):
     return [F.round(F.col(n), 6).alias(n) for n in names]
 
 
+def stored_trace(spark, sf_dir):
+    """The trace, stored once because every detector pass reads it."""
+    return stored_table(trace(spark, sf_dir), "trace")
+
+
+def detected(spark, sf_dir):
+    return A.detect_burn(stored_trace(spark, sf_dir), RATE, stored_table)
+
+
+def cut(spark, sf_dir, margin=0.0):
+    rows = stored_trace(spark, sf_dir)
+    return A.cut_trace(rows, RATE, margin, burn=A.detect_burn(rows, RATE, stored_table))
+
+
 def burn_start(spark, sf_dir):
-    return A.detect_burn(trace(spark, sf_dir), RATE).select(
-        "run_id", "n", *rounded("starting_min", "test_max", "start_t")
-    )
+    return detected(spark, sf_dir).select("run_id", "n", *rounded("starting_min", "test_max", "start_t"))
 
 
 def burn_end(spark, sf_dir):
-    return A.detect_burn(trace(spark, sf_dir), RATE).select(
-        "run_id", *rounded("ending_min", "end_t")
-    )
+    return detected(spark, sf_dir).select("run_id", *rounded("ending_min", "end_t"))
 
 
 def zeroed_trace(spark, sf_dir):
-    return A.zero_thrust(trace(spark, sf_dir), RATE).select("run_id", "pos", *rounded("t", "y"))
+    return A.zero_thrust(stored_trace(spark, sf_dir), RATE).select("run_id", "pos", *rounded("t", "y"))
 
 
 def zeroed_cut_trace(spark, sf_dir):
-    return A.cut_trace(trace(spark, sf_dir), RATE).select("run_id", "pos", "n", *rounded("t", "y"))
+    return cut(spark, sf_dir).select("run_id", "pos", "n", *rounded("t", "y"))
 
 
 def margin_cut_trace(spark, sf_dir):
-    return A.cut_trace(trace(spark, sf_dir), RATE, margin=5).select(
-        "run_id", "pos", "n", *rounded("t", "y")
-    )
+    return cut(spark, sf_dir, 5).select("run_id", "pos", "n", *rounded("t", "y"))
+
+
+def short_margin_cut_trace(spark, sf_dir):
+    """A margin so short that rows are cut on both sides of the burn."""
+    return cut(spark, sf_dir, 0.25).select("run_id", "pos", "n", *rounded("t", "y"))
 
 
 def impulse(spark, sf_dir):
-    cut = A.cut_trace(trace(spark, sf_dir), RATE)
-    return A.impulse_and_thrust(cut, RATE).select("run_id", "kept", *rounded("impulse"))
+    return A.impulse_and_thrust(cut(spark, sf_dir), RATE).select("run_id", "kept", *rounded("impulse"))
 
 
 def average_thrust(spark, sf_dir):
-    cut = A.cut_trace(trace(spark, sf_dir), RATE)
-    return A.impulse_and_thrust(cut, RATE).select("run_id", *rounded("average_thrust"))
+    return A.impulse_and_thrust(cut(spark, sf_dir), RATE).select("run_id", *rounded("average_thrust"))
 
 
 def cumulative_impulse(spark, sf_dir):
-    cut = A.cut_trace(trace(spark, sf_dir), RATE)
-    return A.cumulative_impulse(cut, RATE).select("run_id", "pos", *rounded("t", "impulse"))
+    rows = stored_table(cut(spark, sf_dir), "cut")
+    return A.cumulative_impulse(rows, RATE).select("run_id", "pos", *rounded("t", "impulse"))
 
 
 def motor_classes(spark, sf_dir):
-    cut = A.cut_trace(trace(spark, sf_dir), RATE)
     scaled = F.col("impulse") * F.pow(F.lit(10.0), F.col("run_id") % 7 - 4)
-    return A.impulse_and_thrust(cut, RATE).select(
+    return A.impulse_and_thrust(cut(spark, sf_dir), RATE).select(
         "run_id",
         motor_class(scaled).alias("motor_class"),
         class_overflow(scaled).alias("class_overflow"),
@@ -84,8 +94,8 @@ def motor_classes(spark, sf_dir):
 
 
 def burn_time(spark, sf_dir):
-    cut = A.cut_trace(trace(spark, sf_dir), RATE)
-    return A.burn_time(cut, RATE).select("run_id", *rounded("start_time", "end_time", "burn_time"))
+    rows = stored_table(cut(spark, sf_dir), "cut")
+    return A.burn_time(rows, RATE).select("run_id", *rounded("start_time", "end_time", "burn_time"))
 
 
 SUMMARY_NUMBERS = [
@@ -100,8 +110,7 @@ def rounded_summary(summary):
 
 
 def run_summary(spark, sf_dir):
-    rows = stored_table(trace(spark, sf_dir), "trace")
-    return rounded_summary(A.run_summary(rows, RATE, stored_table))
+    return rounded_summary(A.run_summary(stored_trace(spark, sf_dir), RATE, stored_table))
 
 
 def summary_text(spark, sf_dir):
@@ -210,6 +219,7 @@ QUERIES = {
     "zeroed_trace": zeroed_trace,
     "zeroed_cut_trace": zeroed_cut_trace,
     "margin_cut_trace": margin_cut_trace,
+    "short_margin_cut_trace": short_margin_cut_trace,
     "impulse": impulse,
     "average_thrust": average_thrust,
     "cumulative_impulse": cumulative_impulse,
@@ -338,6 +348,8 @@ SELECT run_id, pos, round(t, 6) AS t, round(y - starting_min, 6) AS y FROM trace
     "zeroed_cut_trace": EVENTS + """
 SELECT run_id, pos, n, round(t, 6) AS t, round(y, 6) AS y FROM cut""",
     "margin_cut_trace": EVENTS + ",\n" + cutting("trace", "first_burn", "wide_cut", 5) + """
+SELECT run_id, pos, n, round(t, 6) AS t, round(y, 6) AS y FROM wide_cut""",
+    "short_margin_cut_trace": EVENTS + ",\n" + cutting("trace", "first_burn", "wide_cut", 0.25) + """
 SELECT run_id, pos, n, round(t, 6) AS t, round(y, 6) AS y FROM wide_cut""",
     "impulse": EVENTS + """
 SELECT run_id, kept, round(impulse, 6) AS impulse FROM classed""",

@@ -8,6 +8,7 @@ from thrustlog.operators import messages as M
 from thrustlog.operators import sessions as S
 from thrustlog.operators import timeline as L
 from thrustlog.operators import view as V
+from thrustlog.session import stored_table
 from thrustlog.plans.scan import number_block, time_block
 from thrustlog.registry.convert import converted
 from thrustlog.registry.views import commands, micros, table, with_views
@@ -140,7 +141,8 @@ def state_as_of(spark, sf_dir):
         (F.col("ts") + F.expr("INTERVAL 41 SECONDS")).alias("ts"),
         F.col("event_id").alias("id"),
     )
-    return S.value_as_of(probes, timeline(spark, sf_dir), "state").select(
+    states = stored_table(timeline(spark, sf_dir).select("remoteid", "ts", "id", "state"), "states")
+    return S.value_as_of(probes, states, "state").select(
         "remoteid", micros("ts"), "id", "state"
     )
 
@@ -207,7 +209,8 @@ REQUEST = list(K.REQUEST)
 
 
 def answers(spark, sf_dir):
-    return K.answered(sent(spark, sf_dir), acks(spark, sf_dir))
+    """Stored once, because outcomes and aborts read it again."""
+    return stored_table(K.answered(sent(spark, sf_dir), acks(spark, sf_dir)), "answers")
 
 
 def request_outcome(spark, sf_dir):
@@ -218,18 +221,15 @@ def attempts(spark, sf_dir):
     return K.attempts(sent(spark, sf_dir), REQUEST).select(*REQUEST, "id", "attempt", "gap_sec")
 
 
-def aborted(spark, sf_dir):
-    return K.aborted_requests(answers(spark, sf_dir), switches(spark, sf_dir))
-
-
 def aborted_requests(spark, sf_dir):
-    return aborted(spark, sf_dir).select(*REQUEST, "id", micros("abort_ts"), "ends_in")
+    return K.aborted_requests(answers(spark, sf_dir), switches(spark, sf_dir)).select(*REQUEST, "id", micros("abort_ts"), "ends_in")
 
 
 def wait_aborts(spark, sf_dir):
     """The state in force half a minute after every switch row tells whether the stand waits for launch."""
     rows = switches(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 SECONDS"))
-    placed = S.value_as_of(rows.select("remoteid", "ts", "id", "ready", "launch"), timeline(spark, sf_dir), "state")
+    states = stored_table(timeline(spark, sf_dir).select("remoteid", "ts", "id", "state"), "states")
+    placed = S.value_as_of(rows.select("remoteid", "ts", "id", "ready", "launch"), states, "state")
     log = placed.withColumn("waits", F.coalesce(F.col("state") == "ready", F.lit(False))).drop("state")
     return K.wait_aborts(log).select("remoteid", micros("ts"), "id", "ends_in")
 
@@ -242,7 +242,9 @@ def hold_aborts(spark, sf_dir):
 
 def due_resends(spark, sf_dir):
     now = F.timestamp_micros(F.lit(1_705_276_800_000_000))
-    waiting = K.open_attempts(answers(spark, sf_dir), aborted=aborted(spark, sf_dir))
+    log = answers(spark, sf_dir)
+    aborted = K.aborted_requests(log, switches(spark, sf_dir))
+    waiting = K.open_attempts(log, aborted=aborted)
     return K.due_resends(waiting, now).select(*REQUEST, "attempts", micros("last_ts"))
 
 
