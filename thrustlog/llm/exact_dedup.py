@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from thrustlog.llm.batches import byte_runs
@@ -120,11 +121,14 @@ def decided(docs, polynomial=None, id_column="doc_id", text_column="text"):
     named = fingerprinted(docs, polynomial, id_column, text_column).withColumn("uid", F.monotonically_increasing_id())
     prints = stored_table(named, "prints")
     apart = collided(docs, prints, polynomial, text_column).withColumn("apart", F.lit(True))
+    # copies meet per map task before they move; what is left has one row per text
+    texts = prints.groupBy("print", "n_bytes", "text_sha256").agg(F.max(F.struct("doc_id", "uid")).alias("last"), F.count("*").alias("n"))
     split = F.when(F.col("apart"), F.col("text_sha256")).otherwise("")
-    rows = prints.join(apart, ["print", "n_bytes"], "left").withColumn("split", split).drop("apart")
-    keys = ["print", "n_bytes", "split"]
-    groups = rows.groupBy(keys).agg(F.max(F.struct("doc_id", "uid")).alias("last"), F.count("*").alias("group_size"))
-    return rows.join(groups, keys).select(
+    equal = Window.partitionBy("print", "n_bytes", split)
+    groups = texts.join(apart, ["print", "n_bytes"], "left").select(
+        "print", "n_bytes", "text_sha256", F.max("last").over(equal).alias("last"), F.sum("n").over(equal).alias("group_size")
+    )
+    return prints.join(groups, ["print", "n_bytes", "text_sha256"]).select(
         "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("last.uid")).alias("kept"), "text_sha256", "text_hash"
     )
 
