@@ -108,7 +108,7 @@ def vocabulary(text):
 class Remembered(dict):
     """Values of keys by ``make``; emptied at ``limit`` entries, so its memory is bounded; long keys are not kept."""
 
-    def __init__(self, make, limit=700_000, longest=64):
+    def __init__(self, make, limit=250_000, longest=64):
         self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from thrustlog.llm.batches import text_runs
 from thrustlog.llm.bpe_codec import Codec
-from thrustlog.llm.byte_bpe import shipped, vocabulary
+from thrustlog.llm.byte_bpe import Remembered, shipped, vocabulary
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 GROUP_BITS = 40
@@ -43,6 +43,7 @@ class LibraryCodec(Codec):
         for rank, token in enumerate(tokens):
             ranks.setdefault(token, rank)
         self._ids = [i.to_bytes(4, "little") for i in ids]
+        self.words = Remembered(self._word, limit=100_000)  # cheap to make again
         self._library = tiktoken.Encoding("merges", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
     def _word(self, word):

@@ -161,14 +161,14 @@ class Tagger:
     def __init__(self, model):
         self.model = json.loads(model)
         self.table = [(0.0, 0.0, 0.0)]  # emission parts by distinct word; place 0 is a word without features
-        self.place = Remembered(self._word, limit=400_000)
+        self.place = Remembered(self._word, limit=150_000)
 
     def _word(self, word):
         weights = [x for f in word_features(word) if (x := self.model["features"].get(f))]
         if not weights:
             return 0
         sums = tuple(map(sum, zip(*weights, strict=True)))
-        if len(self.table) >= 400_000:  # the table empties with what remembers its places
+        if len(self.table) >= 150_000:  # the table empties with what remembers its places
             self.place.clear()
             del self.table[1:]
         self.table.append(sums)
