@@ -45,6 +45,26 @@ def test_dense_region_wins_without_article_tags():
     assert text.split("\n") == [f"{'sentence ' * 40}{i}" for i in range(6)]
 
 
+def paragraphs(n, size, mark):
+    return [f"{mark}{i} " + ("text " * size)[: size - 4].strip() for i in range(n)]
+
+
+@pytest.mark.parametrize("longest", [200, 3_000, 300_000])
+@pytest.mark.parametrize("size", [20, 60, 200])
+def test_one_long_block_drops_no_other_section(longest, size):
+    parts = [paragraphs(3, size, "a"), [("long " * longest)[:longest].strip()], paragraphs(4, size, "b"), paragraphs(2, size, "c")]
+    links = "<div>" + "".join(f"<a href='#'>link {i}</a> " for i in range(8)) + "</div>"
+    body = "".join("<section>" + "".join(f"<p>{t}</p>" for t in part) + "</section>" for part in parts)
+    html = f"<body><nav>menu</nav>{links}<div>{body}</div>{links}<footer>foot</footer></body>"
+    assert html_content.main_text(html).split("\n") == sum(parts, [])
+    assert html_content.main_text(html.replace("<div><section>", "<section>").replace("</section></div>", "</section>")).split("\n") == sum(parts, [])
+
+
+def test_linked_sections_are_no_siblings_of_content():
+    html = "<body><section><p>" + "word " * 100 + "</p></section><section><p><a href=x>read</a><p><a href=y>more of it</section><section><p>short end</section></body>"
+    assert html_content.main_text(html).split("\n") == [("word " * 100).strip(), "short end"]
+
+
 def test_page_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (None, "", None), (2, "<p>a" * 20_000, "x"), (3, "<p>a", "x")]
     pages = spark.createDataFrame(rows, "page_id long, html string, row string")

@@ -2,10 +2,12 @@
 
 Parser events of the standard library cut a page into lines, one per block of text. A line's ratio is
 its characters per tag; lines inside elements that never hold the article (menus, scripts, footers,
-adverts by class or id, and the like) count as having none. The ratios are smoothed by a Gaussian and
-clustered by a threshold. Lines of one article element, or else neighbouring lines of one container, form a region; a region with a line of the
+adverts by class or id, and the like) count as having none. The ratios' logarithms, capped so that no long block moves
+the scale, are smoothed by a Gaussian and clustered by a threshold. Lines of one article element, or else neighbouring lines of one container, form a region; a region with a line of the
 upper cluster is content, and all its lines are kept. If no line reaches the threshold, the region with the most text is
-content.
+content. Unless articles hold most of the text, the regions beside a chosen one (same parent, parent or child container) are content too,
+save those that are mostly links or have few characters a tag. Where articles do, a region outside them must also reach the
+threshold of the plain ratios.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line
 break. Null and empty pages give the empty text; unclosed and stray tags are tolerated; rows
@@ -44,16 +46,20 @@ ROLES = frozenset("navigation banner complementary contentinfo search form dialo
 
 SIGMA = 1.5
 SHARE = 0.5
+ENOUGH = 200  # characters a tag; a line of more counts the same
+LINKED = 0.5  # a region with a larger share of its text in links is no sibling of content
+THIN = 2  # nor is one with fewer characters a tag
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, container, never)`` of every line of a page."""
+    """Collects ``(text, tags, container, never, linked)`` of every line of a page; ``parents`` has a container's parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.words, self.tags = [], [], 0
         self.open = []  # (tag, is never content, container)
-        self.numbers = 0
+        self.numbers, self.parents = 0, {}
+        self.link, self.linked = None, 0  # elements open around the open link, characters of the line in links
 
     def _state(self):
         return self.open[-1][1:] if self.open else (False, 0)
@@ -62,8 +68,13 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.words).split())
         if text or self.tags:
             never, container = self._state()
-            self.lines.append((text, self.tags, container, never))
-        self.words, self.tags = [], 0
+            self.lines.append((text, self.tags, container, never, self.linked))
+        self.words, self.tags, self.linked = [], 0, 0
+
+    def _left(self):
+        """A link that nobody closed ends with the element around it."""
+        if self.link is not None and len(self.open) < self.link:
+            self.link = None
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -76,14 +87,18 @@ class Lines(HTMLParser):
         if tag in ARTICLES:  # an article ends menus and the like that nobody closed
             while self.open and self.open[-1][1]:
                 self.open.pop()
+        self._left()
         if tag in VOID:
             return
+        if tag == "a":
+            self.link = len(self.open)
         never, container = self._state()
         inside = any(x[0] in ARTICLES for x in self.open)
         if not never:
             never = tag in NEVER or tag == "header" and not inside or self._marked(tag, attrs)
         if tag in CONTAINERS and not inside:
             self.numbers += 1
+            self.parents[self.numbers] = container
             container = -self.numbers if tag in ARTICLES else self.numbers
         if tag in BLOCKS or never or tag in NEVER:
             self.open.append((tag, never, container))
@@ -108,13 +123,18 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
+        if tag == "a":
+            self.link = None
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
                 break
+        self._left()
 
     def handle_data(self, data):
         self.words.append(data)
+        if self.link is not None:
+            self.linked += len(" ".join(data.split()))
 
     def close(self):
         super().close()
@@ -133,15 +153,14 @@ def main_text(html):
     parser.feed(html)
     parser.close()
     lines = parser.lines
-    held = [bool(text) and not never for text, _, _, never in lines]
+    held = [bool(text) and not never for text, _, _, never, _ in lines]
     if not any(held):
         return ""
-    ratios = np.array([len(text) / max(1, tags) if keep else 0.0 for (text, tags, _, _), keep in zip(lines, held, strict=True)])
-    smooth = smoothed(ratios)
-    high = smooth >= SHARE * ratios.std() if len(lines) > 1 else smooth >= 0
+    ratios = np.array([len(line[0]) / max(1, line[1]) if keep else 0.0 for line, keep in zip(lines, held, strict=True)])
+    high = clustered(np.log1p(np.minimum(ratios, ENOUGH)))
     region, size, chosen, parted = [None] * len(lines), {}, set(), 0
     last = None
-    for i, (text, _, container, never) in enumerate(lines):
+    for i, (text, _, container, never, _) in enumerate(lines):
         if not held[i]:
             parted += never and bool(text)  # boilerplate parts regions, save within an article
             continue
@@ -154,9 +173,34 @@ def main_text(html):
         if high[i]:
             chosen.add(region[i])
     chosen = chosen or {max(size, key=size.get)}
+    loose = [r for r in size if isinstance(r, tuple)]
+    if 2 * sum(size[r] for r in chosen if not isinstance(r, tuple)) > sum(size.values()):
+        plain = clustered(ratios)
+        chosen -= set(loose) - {region[i] for i in range(len(lines)) if plain[i]}
+    elif len(chosen) < len(size):
+        chosen |= beside(chosen, loose, lines, region, size, parser.parents)
     return "\n".join(lines[i][0] for i in range(len(lines)) if held[i] and region[i] in chosen)
 
 
+def clustered(ratios):
+    """Which lines are in the upper cluster."""
+    smooth = smoothed(ratios)
+    return smooth >= SHARE * ratios.std() if len(ratios) > 1 else smooth >= 0
+
+
+def beside(chosen, loose, lines, region, size, parents):
+    """Regions under the same parent as a chosen one, or in its parent or child container, that are neither mostly links nor mostly tags."""
+    tags, linked = dict.fromkeys(size, 0), dict.fromkeys(size, 0)
+    for line, r in zip(lines, region, strict=True):
+        if r is not None:
+            tags[r] += line[1]
+            linked[r] += line[4]
+    near = {r[0] for r in chosen if isinstance(r, tuple)}
+    above = {parents.get(c) for c in near}
+    fit = (r for r in loose if r[0] in near or r[0] in above or parents.get(r[0]) in near | above - {None})
+    return {r for r in fit if linked[r] <= LINKED * size[r] and size[r] >= THIN * tags[r]}
+
+
 def extracted(pages, html_column="html"):
     """The page in struct ``row`` and its main text."""
 
