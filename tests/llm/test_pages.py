@@ -65,6 +65,28 @@ def test_linked_sections_are_no_siblings_of_content():
     assert html_content.main_text(html).split("\n") == [("word " * 100).strip(), "short end"]
 
 
+@pytest.mark.parametrize("name", [
+    "layout has-sidebar", "site with-header", "post-no-comments", "content_without_ads", "page sidebar-right", "content-sidebar-wrap", "elementor-widget", "sidebar",
+])
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_named_wrapper_keeps_the_article(name, kind):
+    texts = paragraphs(5, 200, "p")
+    inner = "".join(f"<p>{t}</p>" for t in texts)
+    rest = '<div class="sidebar"><p>see also this</p></div><div id="comments"><p>first!</p></div>'
+    menu = "<div><a href=#>a</a> <a href=#>b</a></div>"
+    for html in (inner + rest, f"<div>{inner}</div>{rest}", f'<div class="main-header"><div class="x">{inner}</div></div>{rest}'):
+        page = f'<body>{menu}<div {kind}="{name}">{html}</div><footer>foot</footer></body>'
+        assert html_content.main_text(page).split("\n") == texts
+
+
+@pytest.mark.parametrize("n", [1, 12, 20])
+def test_boilerplate_stays_out_beside_an_article(n):
+    texts = paragraphs(5, 200, "p")
+    comments = "".join(f'<li class="comment"><p>{t}</p></li>' for t in paragraphs(n, 200, "c"))
+    html = "<body><div>" + "".join(f"<p>{t}</p>" for t in texts) + f'</div><div id="comments" class="comments-area"><ol class="comment-list">{comments}</ol></div></body>'
+    assert html_content.main_text(html).split("\n") == texts
+
+
 def test_page_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (None, "", None), (2, "<p>a" * 20_000, "x"), (3, "<p>a", "x")]
     pages = spark.createDataFrame(rows, "page_id long, html string, row string")

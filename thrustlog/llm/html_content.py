@@ -9,6 +9,10 @@ content. Unless articles hold most of the text, the regions beside a chosen one
 save those that are mostly links or have few characters a tag. Where articles do, a region outside them must also reach the
 threshold of the plain ratios.
 
+A class or id marks an element as boilerplate by its words, save names that say what a layout has or lacks (``has-sidebar``,
+``no-comments``). Where marks take more than half of the page's text, those that are wrappers are undone and their children judged: an element with
+more than half of the text whose mark is part of a longer name, or with nearly all of it.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line
 break. Null and empty pages give the empty text; unclosed and stray tags are tolerated; rows
 pass through one by one, so ties and repeated rows stay; other columns are kept.
@@ -36,12 +40,14 @@ NEVER = frozenset(
 )
 CONTAINERS = frozenset("body article main section div td blockquote".split())
 ARTICLES = frozenset(("article", "main"))
+WHOLE = ARTICLES | {"html", "body"}
 SHUT_BY = {"p": BLOCKS - {"p", "body", "html", "head"} | {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}}
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footers?|gdpr|"
     r"headers?|masthead|menus?|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|modal|promos?|promoted|related|"
     r"replies|respond|share|sharing|sidebars?|social|sponsors?|sponsored|subscribe|toolbar|widgets?)(?:$|[\s_-])"
 )
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|have|having|with|without|no|non|not|hide|hides|hidden|show|shows)[_-]")
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
 
 SIGMA = 1.5
@@ -49,20 +55,39 @@ SHARE = 0.5
 ENOUGH = 200  # characters a tag; a line of more counts the same
 LINKED = 0.5  # a region with a larger share of its text in links is no sibling of content
 THIN = 2  # nor is one with fewer characters a tag
+MOST = 0.5  # a marked element with a larger share of the page's text is a wrapper, if the mark is part of a name
+NEARLY_ALL = 0.9  # or if it is the whole name
+
+
+def marked(attrs):
+    """2 if a class or id is the name of boilerplate, 1 if it has one in it, 0 otherwise."""
+    found = 0
+    for name, value in attrs:
+        if value and name in ("class", "id") and BOILERPLATE.search(value.lower()):
+            for word in value.lower().split():
+                hit = BOILERPLATE.search(word)
+                if hit and not LAYOUT.search(word):
+                    found = max(found, 1 + (hit.group() == word))
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, container, never, linked)`` of every line of a page; ``parents`` has a container's parent."""
+    """Collects ``(text, tags, container, never, linked)`` of every line of a page; ``parents`` has a container's parent.
+
+    ``never`` is -1 in an element that never holds content, else the number of the innermost element marked by class or
+    id, 0 without one; ``marks`` has for each number the mark around it and whether it is a whole name.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.words, self.tags = [], [], 0
         self.open = []  # (tag, is never content, container)
         self.numbers, self.parents = 0, {}
+        self.marks = [(0, False)]
         self.link, self.linked = None, 0  # elements open around the open link, characters of the line in links
 
     def _state(self):
-        return self.open[-1][1:] if self.open else (False, 0)
+        return self.open[-1][1:] if self.open else (0, 0)
 
     def _end_line(self):
         text = " ".join("".join(self.words).split())
@@ -94,8 +119,14 @@ class Lines(HTMLParser):
             self.link = len(self.open)
         never, container = self._state()
         inside = any(x[0] in ARTICLES for x in self.open)
-        if not never:
-            never = tag in NEVER or tag == "header" and not inside or self._marked(tag, attrs)
+        if never >= 0:
+            if tag in NEVER or tag == "header" and not inside or self._hidden(tag, attrs):
+                never = -1
+            elif tag not in WHOLE:
+                mark = marked(attrs)
+                if mark:
+                    self.marks.append((never, mark == 2))
+                    never = len(self.marks) - 1
         if tag in CONTAINERS and not inside:
             self.numbers += 1
             self.parents[self.numbers] = container
@@ -104,15 +135,10 @@ class Lines(HTMLParser):
             self.open.append((tag, never, container))
 
     @staticmethod
-    def _marked(tag, attrs):
-        if tag in ("html", "body", "article", "main"):
-            return False
-        for name, value in attrs:
-            if value and (name in ("class", "id") and BOILERPLATE.search(value.lower()) or name == "role" and value.lower() in ROLES):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+    def _hidden(tag, attrs):
+        return tag not in WHOLE and any(
+            name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs
+        )
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -152,7 +178,7 @@ def main_text(html):
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    lines = unwrapped(parser.lines, parser.marks)
     held = [bool(text) and not never for text, _, _, never, _ in lines]
     if not any(held):
         return ""
@@ -182,6 +208,22 @@ def main_text(html):
     return "\n".join(lines[i][0] for i in range(len(lines)) if held[i] and region[i] in chosen)
 
 
+def unwrapped(lines, marks):
+    """The lines with ``never`` as true or false, marks of wrappers undone."""
+    undone = [True] + [False] * (len(marks) - 1)
+    own = [0] * len(marks)
+    for line in lines:
+        if line[3] >= 0:
+            own[line[3]] += len(line[0])
+    total, size = sum(own), own[:]
+    if own[0] < (1 - MOST) * total:
+        for m in range(len(marks) - 1, 0, -1):  # a mark has a higher number than the one around it
+            size[marks[m][0]] += size[m]
+        for m, (around, whole) in enumerate(marks[1:], 1):
+            undone[m] = undone[around] and size[m] > (NEARLY_ALL if whole else MOST) * total
+    return [(text, tags, container, never < 0 or not undone[never], linked) for text, tags, container, never, linked in lines]
+
+
 def clustered(ratios):
     """Which lines are in the upper cluster."""
     smooth = smoothed(ratios)
