@@ -134,3 +134,45 @@ def test_cumulative_impulse_ends_at_impulse(trace):
     cut = A.cut_trace(trace, RATE).where("run_id = 'long-burn'")
     last = A.cumulative_impulse(cut, RATE, block_rows=8).orderBy(F.desc("pos")).first()
     assert close(last.impulse, A.impulse_and_thrust(cut, RATE).first().impulse)
+
+
+def test_each_arming_has_its_own_summary(spark):
+    """A run armed twice gives the summaries of two runs that are armed once."""
+    from thrustlog.operators.convert import wide_scans
+    from thrustlog.operators.decode import accepted_batches
+    from thrustlog.registry.views import sensors
+    from thrustlog.schemas import RAW_BATCH
+    from thrustlog.session import stored_table
+
+    def batch(run, number, code, dport=1):
+        return (run, number, 2, dport, [code, 0, 0, 0, 0] * RATE)
+
+    first, second = [900, 900, 900, 1900, 1800, 900, 900, 900], [1000, 1000, 1700, 1600, 1500, 1400, 1000, 1000, 1000]
+    twice = [batch("twice", i, c) for i, c in enumerate(first)] + [("twice", 8, 2, 0, []), ("twice", 9, 2, 0, [])]
+    twice += [batch("twice", 10 + i, c) for i, c in enumerate(second)]
+    single = [batch("one", i, c) for i, c in enumerate(first)] + [batch("two", i, c) for i, c in enumerate(second)]
+    raw = spark.createDataFrame(twice + single, RAW_BATCH)
+    wide = wide_scans(accepted_batches(raw, 5, RATE), sensors(spark).collect(), RATE, only=["Load Cell"])
+    trace = stored_table(A.trace_from_wide(wide), "gated-trace")
+    got = {(r.run_id, r.arm_no): r[2:] for r in A.run_summary(trace, RATE, stored_table).collect()}
+    assert set(got) == {("twice", 1), ("twice", 2), ("one", 1), ("two", 1)}
+    assert got["twice", 1] == got["one", 1] and got["twice", 2] == got["two", 1] and None not in got["twice", 1]
+    assert got["twice", 1] != got["twice", 2]
+    assert {"arm_no", "run_scans"} <= set(wide.columns) and trace.count() == trace.select("run_id", "arm_no", "pos").distinct().count()
+
+
+def test_armings_stay_apart_in_logs(spark, tmp_path):
+    from thrustlog.sources import logs
+
+    names = ["Load Cell"]
+    rows = [("a b", arm, s / RATE, float(s * arm)) for arm in (1, 2) for s in range(3)]
+    wide = spark.createDataFrame(rows, "run_id string, arm_no long, seconds double, `Load Cell` double")
+    folder = str(tmp_path / "log")
+    logs.append_log(wide, folder)
+    back = logs.read_log(spark, folder, names, file_name="*.csv", armed=True)
+    assert sorted(back.select(wide.columns).collect()) == sorted(wide.collect())
+    assert {r.run_id for r in logs.read_log(spark, folder, names, file_name="*.csv").collect()} == {"a b"}
+    part = logs.read_partitioned_log(spark, folder, names)
+    assert sorted(map(tuple, part.select(wide.columns).collect())) == sorted(rows)
+    trace = A.trace_from_log(back)
+    assert sorted((r.arm_no, r.pos, r.n) for r in trace.collect()) == [(a, p, 3) for a in (1, 2) for p in range(3)]

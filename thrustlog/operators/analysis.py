@@ -1,7 +1,8 @@
 """Analysis of a thrust trace per run.
 
 A trace has the columns ``run_id, pos, n, t, y``: zero-based position in the run, rows in the run,
-seconds, thrust. All detectors are aggregates by run, combined before the shuffle; what they find
+seconds, thrust; ``arm_no`` too where a run is cut into armings, each of which is then a run of its
+own. All detectors are aggregates by run, combined before the shuffle; what they find
 comes back to the rows by ``join_run_values``, which spreads a long run over many tasks.
 """
 
@@ -17,7 +18,7 @@ from thrustlog.constants import (
 from thrustlog.functions.motor import class_overflow, designation, motor_class
 from thrustlog.functions.rounding import fixed, rounddown, roundup
 from thrustlog.functions.signal import clip_below_zero, nan_as_null, rebased_seconds
-from thrustlog.plans.per_run import join_run_values
+from thrustlog.plans.per_run import join_run_values, run_keys
 from thrustlog.plans.scan import number_block, positions, previous_value, running, running_sum
 
 
@@ -31,28 +32,28 @@ def trace_from_readings(converted, thrust_sensor=DEFAULT_THRUST_SENSOR):
     y = nan_as_null(F.col("value")).alias("y")
     if "run_scans" in converted.columns:
         return thrust.select(
-            "run_id",
+            *run_keys(thrust),
             (F.col("scan_no") - 1).alias("pos"),
             F.col("run_scans").alias("n"),
             F.col("seconds").alias("t"),
             y,
         )
-    runs = thrust.groupBy("run_id").agg(
+    runs = thrust.groupBy(*run_keys(thrust)).agg(
         F.min("scan_no").alias("_first"),
         F.count("*").alias("n"),
         (F.max("scan_no") + 1).alias("_reach"),
     )
-    placed = thrust.select("run_id", F.col("scan_no").alias("pos"), "seconds", "value")
+    placed = thrust.select(*run_keys(thrust), F.col("scan_no").alias("pos"), "seconds", "value")
     joined = join_run_values(placed, runs, length="_reach")
     return joined.select(
-        "run_id", (F.col("pos") - F.col("_first")).alias("pos"), "n", F.col("seconds").alias("t"), y
+        *run_keys(thrust), (F.col("pos") - F.col("_first")).alias("pos"), "n", F.col("seconds").alias("t"), y
     )
 
 
 def trace_from_wide(wide, thrust_sensor=DEFAULT_THRUST_SENSOR):
     """Thrust trace of wide readings that carry ``run_scans``."""
     return wide.select(
-        "run_id",
+        *run_keys(wide),
         (F.col("scan_no") - 1).alias("pos"),
         F.col("run_scans").alias("n"),
         F.col("seconds").alias("t"),
@@ -63,20 +64,22 @@ def trace_from_wide(wide, thrust_sensor=DEFAULT_THRUST_SENSOR):
 def placed_log(log, block_seconds=600):
     """Wide log of any runs with ``pos`` and ``n``, counted by time within blocks of a run."""
     block = F.floor(F.col("seconds") / F.lit(block_seconds))
-    return positions(log, ["run_id"], ["seconds"], block)
+    return positions(log, run_keys(log), ["seconds"], block)
 
 
 def trace_from_log(log, thrust_sensor=DEFAULT_THRUST_SENSOR, block_seconds=600):
     """Thrust trace of a stored wide log: ``run_id``, ``seconds`` and a column per sensor."""
-    return placed_log(log.select("run_id", "seconds", thrust_sensor), block_seconds).select(
-        "run_id", "pos", "n", F.col("seconds").alias("t"), nan_as_null(F.col(thrust_sensor)).alias("y")
+    keys = run_keys(log)
+    return placed_log(log.select(*keys, "seconds", thrust_sensor), block_seconds).select(
+        *keys, "pos", "n", F.col("seconds").alias("t"), nan_as_null(F.col(thrust_sensor)).alias("y")
     )
 
 
 def trace_with_gaps(rows, order, block):
     """Trace of runs whose positions must be counted: ``run_id, t, y`` plus the order columns."""
-    placed = positions(rows, ["run_id"], order, block)
-    return placed.select("run_id", "pos", "n", "t", nan_as_null(F.col("y")).alias("y"))
+    keys = run_keys(rows)
+    placed = positions(rows, keys, order, block)
+    return placed.select(*keys, "pos", "n", "t", nan_as_null(F.col("y")).alias("y"))
 
 
 def second_one(pos, f):
@@ -143,7 +146,7 @@ def _kept_values(names):
 
 def run_limits(trace, f):
     """Per run: rows, ``starting_min``, ``test_max`` and ``ending_min``."""
-    return trace.groupBy("run_id").agg(
+    return trace.groupBy(*run_keys(trace)).agg(
         F.max("n").alias("n"), *_limits(F.col("pos"), F.col("n"), F.col("y"), f)
     )
 
@@ -165,17 +168,18 @@ def detect_burn(trace, f, keep=not_kept):
     """
     limits = keep(run_limits(trace, f), "run-limits").withColumnRenamed("n", "_length")
     limited = join_run_values(trace, limits, length="_length")
-    found = limited.groupBy("run_id").agg(
+    keys = run_keys(trace)
+    found = limited.groupBy(*keys).agg(
         F.max("n").alias("n"),
         *_kept_values(LIMITS),
         *_ends(F.col("pos"), F.col("t"), F.col("y"), {c: F.col(c) for c in LIMITS}),
     )
-    return found.select("run_id", "n", *LIMITS, *_burn())
+    return found.select(*keys, "n", *LIMITS, *_burn())
 
 
 def zero_thrust(trace, f):
     """Thrust less the minimum of the run's second second."""
-    limits = run_limits(trace, f).select("run_id", F.col("n").alias("_length"), "starting_min")
+    limits = run_limits(trace, f).select(*run_keys(trace), F.col("n").alias("_length"), "starting_min")
     return (
         join_run_values(trace, limits, length="_length")
         .withColumn("y", F.col("y") - F.col("starting_min"))
@@ -213,7 +217,7 @@ def cut_trace(trace, f, margin=0.0, burn=None):
     kept = _cut(trace, burn, margin)
     pos, rows, _, zeroed = _inner()
     if margin:
-        stretch = kept.groupBy("run_id").agg(
+        stretch = kept.groupBy(*run_keys(kept)).agg(
             F.min("pos").alias("_from"),
             F.max("pos").alias("_to"),
             F.max("n").alias("_length"),
@@ -221,7 +225,7 @@ def cut_trace(trace, f, margin=0.0, burn=None):
         kept = join_run_values(kept, stretch, length="_length")
         pos, rows = F.col("pos") - F.col("_from"), F.col("_to") - F.col("_from") + 1
     return kept.select(
-        "run_id",
+        *run_keys(kept),
         pos.alias("pos"),
         rows.alias("n"),
         rebased_seconds(F.col("t"), F.col("start_t"), margin).alias("t"),
@@ -247,7 +251,7 @@ def _figures(pos, y, present, f):
 
 def impulse_and_thrust(cut, f):
     """Per run of a cut trace: kept rows, impulse and average thrust."""
-    return cut.groupBy("run_id").agg(*_figures(F.col("pos"), F.col("y"), F.lit(True), f))
+    return cut.groupBy(*run_keys(cut)).agg(*_figures(F.col("pos"), F.col("y"), F.lit(True), f))
 
 
 def cumulative_impulse(cut, f, block_rows=4096):
@@ -257,7 +261,7 @@ def cumulative_impulse(cut, f, block_rows=4096):
     # sum of pair areas up to a row = step * (sum so far - half the first - half the own value)
     summed = running(
         cut.withColumn("_y", y),
-        ["run_id"],
+        run_keys(cut),
         ["pos"],
         block,
         _sum=running_sum(F.col("_y")),
@@ -265,14 +269,14 @@ def cumulative_impulse(cut, f, block_rows=4096):
     )
     first = F.coalesce(F.col("_first"), F.col("_y"))
     area = (F.col("_sum") - (first + F.col("_y")) / F.lit(2.0)) / F.lit(float(f))
-    return summed.select("run_id", "pos", "t", area.alias("impulse"))
+    return summed.select(*run_keys(cut), "pos", "t", area.alias("impulse"))
 
 
 def burn_time(cut, f):
     """Per run: burn found again on the cut trace, as the logger's report does."""
     again = detect_burn(cut, f)
     return again.select(
-        "run_id",
+        *run_keys(cut),
         F.col("start_t").alias("start_time"),
         F.col("end_t").alias("end_time"),
         (F.col("end_t") - F.col("start_t")).alias("burn_time"),
@@ -280,13 +284,14 @@ def burn_time(cut, f):
 
 
 def run_summary(trace, f, keep=not_kept):
-    """One row per run: class, designation, impulse, average thrust, burn time, start, end.
+    """One row per run (and arming, where the trace has ``arm_no``): class, designation, impulse, average thrust, burn time, start, end.
 
     Four aggregates over the trace, each with the values of the one before joined to its rows:
     limits, burn, figures and limits of the cut rows, burn of the cut rows. A run that keeps no
     row, or is too short to be zeroed, has nulls in place of its figures. ``keep`` as in
     ``detect_burn``.
     """
+    keys = run_keys(trace)
     burn = keep(detect_burn(trace, f, keep), "run-burns")
     inside = (F.col("t") > F.col("start_t")) & (F.col("t") < F.col("end_t"))
 
@@ -301,18 +306,18 @@ def run_summary(trace, f, keep=not_kept):
     carried = ["start_t", "end_t", "start_pos", "end_pos", "starting_min"]
     cut_limits = [c.alias(f"cut_{n}") for n, c in zip(LIMITS, _limits(pos, rows, y, f))]
     figures = ["impulse", "average_thrust", *[f"cut_{name}" for name in LIMITS]]
-    measured = bounded(burn).groupBy("run_id").agg(
+    measured = bounded(burn).groupBy(*keys).agg(
         F.max("n").alias("n"),
         *_kept_values(carried),
         *_figures(pos, y, inside, f),
         *cut_limits,
     )
-    again = bounded(keep(measured, "run-figures")).groupBy("run_id").agg(
+    again = bounded(keep(measured, "run-figures")).groupBy(*keys).agg(
         *_kept_values(["start_t", "end_t", *figures]),
         *_ends(pos, t, y, {name: F.col(f"cut_{name}") for name in LIMITS}),
     )
     found = again.select(
-        "run_id",
+        *keys,
         "impulse",
         "average_thrust",
         (F.col("end_t") - F.col("start_t")).alias("burn_time_first_pass"),
@@ -321,7 +326,7 @@ def run_summary(trace, f, keep=not_kept):
     impulse, thrust = F.col("impulse"), F.col("average_thrust")
     known = thrust.isNotNull()
     return found.select(
-        "run_id",
+        *keys,
         F.when(known, motor_class(impulse)).alias("motor_class"),
         F.when(known, designation(motor_class(impulse), thrust)).alias("designation"),
         F.when(known, impulse).alias("impulse"),
@@ -346,7 +351,7 @@ def summary_text(summary):
     ]
     indent = F.lit("\n" + 8 * " ")
     text = F.concat(*[part for line in lines for part in (indent, line, F.lit("  "))], indent)
-    return summary.select("run_id", text.alias("value"))
+    return summary.select(*run_keys(summary), text.alias("value"))
 
 
 def margin_log(placed, burn, margin=REPORT_MARGIN_SEC, thrust_sensor=DEFAULT_THRUST_SENSOR):
@@ -354,14 +359,15 @@ def margin_log(placed, burn, margin=REPORT_MARGIN_SEC, thrust_sensor=DEFAULT_THR
 
     ``placed`` has ``run_id``, ``pos``, ``seconds`` and a column per sensor.
     """
-    bounds = burn.select("run_id", "starting_min", "start_t", "end_t", F.col("n").alias("_length"))
+    keys = run_keys(placed)
+    bounds = burn.select(*keys, "starting_min", "start_t", "end_t", F.col("n").alias("_length"))
     seconds, lit = F.col("seconds"), F.lit(float(margin))
     kept = join_run_values(placed, bounds, length="_length").where(
         (seconds > F.col("start_t") - lit) & (seconds < F.col("end_t") + lit)
     )
-    sensors = [c for c in placed.columns if c not in ("run_id", "pos", "n", "seconds", "scan_no", "run_scans")]
+    sensors = [c for c in placed.columns if c not in ("run_id", "arm_no", "pos", "n", "seconds", "scan_no", "run_scans")]
     return kept.select(
-        "run_id",
+        *keys,
         rebased_seconds(seconds, F.col("start_t"), margin).alias("seconds"),
         *[(F.col(c) - F.col("starting_min") if c == thrust_sensor else F.col(c)).alias(c) for c in sensors],
     )
@@ -370,9 +376,10 @@ def margin_log(placed, burn, margin=REPORT_MARGIN_SEC, thrust_sensor=DEFAULT_THR
 def report_extremes(processed, sensor_names):
     """Least and largest value per run and sensor of a processed trace, one aggregate over its wide rows."""
     names = [c for n in sensor_names for c in (F.min(n).alias(f"low {n}"), F.max(n).alias(f"high {n}"))]
-    per_run = processed.groupBy("run_id").agg(*names)
+    keys = run_keys(processed)
+    per_run = processed.groupBy(*keys).agg(*names)
     rows = [F.struct(F.lit(n).alias("sensor_name"), F.col(f"low {n}").alias("_low"), F.col(f"high {n}").alias("_high")) for n in sensor_names]
-    return per_run.select("run_id", F.explode(F.array(*rows)).alias("_row")).select("run_id", "_row.*")
+    return per_run.select(*keys, F.explode(F.array(*rows)).alias("_row")).select(*keys, "_row.*")
 
 
 def report_axis(extremes, config, thrust_sensor=DEFAULT_THRUST_SENSOR, step=10):
@@ -386,7 +393,7 @@ def report_axis(extremes, config, thrust_sensor=DEFAULT_THRUST_SENSOR, step=10):
     high = F.coalesce(roundup(F.col("_high"), step), F.col("_config_high"))
     return (
         extremes.join(limits, "sensor_name", "left")
-        .select("run_id", "sensor_name", low.alias("axis_min"), high.alias("_top"))
+        .select(*run_keys(extremes), "sensor_name", low.alias("axis_min"), high.alias("_top"))
         .withColumn(
             "axis_max",
             F.when(F.col("axis_min") == F.col("_top"), F.col("_top") + F.lit(10.0)).otherwise(

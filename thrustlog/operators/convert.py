@@ -6,6 +6,7 @@ from thrustlog.functions.formulas import FORMULA_INPUTS, engineering_value, inpu
 from thrustlog.functions.signal import calibrated_code
 from thrustlog.operators.decode import scan_volts
 from thrustlog.plans.lookup import lookup_join
+from thrustlog.plans.per_run import run_keys
 
 
 def _input_names():
@@ -64,8 +65,12 @@ def sensor_names(config):
     )
 
 
-def wide(converted, names, value="value", keys=("run_id", "scan_no", "seconds")):
-    """Long to wide: one column per sensor name, given in channel order."""
+def wide(converted, names, value="value", keys=None):
+    """Long to wide: one column per sensor name, given in channel order.
+
+    ``keys`` are those of a scan: run, ``arm_no`` where the readings have it, scan number and seconds.
+    """
+    keys = [*run_keys(converted), "scan_no", "seconds"] if keys is None else keys
     return converted.groupBy(*keys).pivot("sensor_name", list(names)).agg(F.first(value))
 
 
@@ -74,11 +79,11 @@ def wide_scans(numbered, config_rows, frequency, raw=False, only=None, on_unknow
 
     All channels of a scan lie side by side in the batch, so no pivot is needed.
     ``config_rows`` are the rows of one stand's configuration, at most one per device channel;
-    ``only`` names the sensors to convert. ``run_scans`` stays where the batches have it.
+    ``only`` names the sensors to convert. ``run_scans`` and ``arm_no`` stay where the batches have them.
     """
     ordered = sorted(config_rows, key=lambda row: row["channel"])
     scans = scan_volts(numbered, len(ordered))
-    length = ["run_scans"] if "run_scans" in numbered.columns else []
+    length = [c for c in ("run_scans", "arm_no") if c in numbered.columns]
     scan_no = F.col("scan_offset") + F.col("scan") + 1
 
     def column(sensor):

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from thrustlog.functions.motor import class_overflow, motor_class
 from thrustlog.operators import analysis as A
 from thrustlog.operators.convert import convert, wide_scans
-from thrustlog.operators.decode import number_batches, readings
+from thrustlog.operators.decode import accepted_batches, number_batches, readings
+from thrustlog.plans.per_run import run_keys
+from thrustlog.registry.decode import ACCEPTED
 from thrustlog.registry.views import (
     CHANNELS,
     RATE,
@@ -105,7 +107,7 @@ SUMMARY_NUMBERS = [
 
 def rounded_summary(summary):
     return summary.select(
-        "run_id", "motor_class", "designation", *rounded(*SUMMARY_NUMBERS), "class_overflow"
+        *run_keys(summary), "motor_class", "designation", *rounded(*SUMMARY_NUMBERS), "class_overflow"
     )
 
 
@@ -142,6 +144,14 @@ def batch_run_summary(spark, sf_dir):
     return rounded_summary(A.run_summary(thrust_trace(spark, sf_dir), RATE, stored_table))
 
 
+def gated_run_summary(spark, sf_dir):
+    """Codes to summary of what the logger would have stored, one row per arming of a run."""
+    batches = accepted_batches(raw_batches(spark, sf_dir), CHANNELS, RATE)
+    wide = wide_scans(batches, sensors(spark).collect(), RATE, only=["Load Cell"])
+    rows = stored_table(A.trace_from_wide(wide), "gated-trace")
+    return rounded_summary(A.run_summary(rows, RATE, stored_table))
+
+
 def readings_run_summary(spark, sf_dir):
     """The same from long converted readings."""
     rows = stored_table(
@@ -228,6 +238,7 @@ QUERIES = {
     "run_summary": run_summary,
     "summary_text": summary_text,
     "batch_run_summary": batch_run_summary,
+    "gated_run_summary": gated_run_summary,
     "readings_run_summary": readings_run_summary,
     "axis_bounds": axis_bounds,
     "processed_trace": processed_trace,
@@ -301,6 +312,17 @@ thrust AS (
   FROM converted WHERE sensor_name = 'Load Cell')"""
 BATCHES = analysed(THRUST_TRACE, "thrust")
 
+# Every arming is a run, named by a struct.
+GATED_BATCHES = analysed(with_views("raw_batches", "sensors") + ",\n" + ACCEPTED + """,
+scans AS (
+  SELECT *, sum(len // 5) OVER (PARTITION BY run_id, arm_no) AS n FROM accepted),
+thrust AS (
+  SELECT {'run': run_id, 'arm': arm_no} AS run_id, scan_offset + scan AS pos, n,
+         CAST(scan_offset + scan + 1 AS DOUBLE) / 5 AS t,
+         ((cents % 2048 + 5 * scan * (1 + run_id % 60) - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE + linear_adj)
+           / opamp_mul * scalar_adj AS y
+  FROM (SELECT *, unnest(range(len // 5)) AS scan FROM scans), sensors WHERE channel = 0)""", "thrust")
+
 SUMMARY = """summary AS (
   SELECT b.run_id,
          CASE WHEN average_thrust IS NOT NULL THEN """ + CLASS_LADDER.format(x="impulse") + """ END AS motor_class,
@@ -375,6 +397,8 @@ SELECT run_id, round(seconds, 6) AS seconds, {across('v', 'volts')} FROM reading
     "processed_log": around(1) + f"""
 SELECT run_id, round(seconds, 6) AS seconds, {across('y')} FROM around GROUP BY run_id, seconds""",
     "batch_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
+    "gated_run_summary": GATED_BATCHES + ",\n" + SUMMARY + f"""
+SELECT run_id.run AS run_id, run_id.arm AS arm_no, COLUMNS(* EXCLUDE (run_id)) FROM ({SELECT_SUMMARY})""",
     "readings_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
     "axis_bounds": AROUND + """,
 stepped AS (

@@ -2,30 +2,34 @@
 
 from pyspark.sql import functions as F
 
+from thrustlog.plans.per_run import run_keys
 from thrustlog.schemas import wide_log
 
 CONVERTED = "converted_data.csv"
 RAW = "raw_data.csv"
 
 
-def read_log(spark, base, sensor_names, file_name=CONVERTED):
+def read_log(spark, base, sensor_names, file_name=CONVERTED, armed=False):
     """Logs of all runs below ``base``: one folder per run, its name is the run's label.
 
-    Folders written by ``append_log`` are named ``run_id=label``; their files go by ``*.csv``.
+    Folders written by ``append_log`` are named ``run_id=label``; their files go by ``*.csv``. With ``armed``
+    the folders ``arm_no=N`` in them give ``arm_no``.
     """
-    label = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"(?:run_id=)?([^/]+)/[^/]+$", 1)
-    return (
+    path = F.url_decode(F.col("_metadata.file_path"))
+    label = F.regexp_extract(path, r"(?:run_id=)?([^/]+)(?:/arm_no=(\d+))?/[^/]+$", 1)
+    log = (
         spark.read.schema(wide_log(sensor_names))
         .option("header", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", file_name)
         .csv(base)
-        .withColumn("run_id", label)
     )
+    arm = {"arm_no": F.regexp_extract(path, r"/arm_no=(\d+)/[^/]+$", 1).try_cast("long")} if armed else {}
+    return log.withColumns({"run_id": label, **arm})
 
 
-def read_raw_log(spark, base, sensor_names, file_name=RAW):
-    return read_log(spark, base, sensor_names, file_name)
+def read_raw_log(spark, base, sensor_names, file_name=RAW, armed=False):
+    return read_log(spark, base, sensor_names, file_name, armed)
 
 
 FILE_SECONDS = 3600
@@ -34,19 +38,19 @@ FILE_SECONDS = 3600
 def _per_run_files(wide, file_seconds):
     """Bring a run's rows together, an hour of it per file, so no task writes to every run."""
     stretch = F.floor(F.col("seconds") / F.lit(file_seconds))
-    return wide.repartition("run_id", stretch)
+    return wide.repartition(*run_keys(wide), stretch)
 
 
 def append_log(wide, path, file_seconds=FILE_SECONDS):
-    """Append wide readings, one folder per run; every file has its header."""
+    """Append wide readings, one folder per run, and in it one per arming where they have ``arm_no``; every file has its header."""
     rows = _per_run_files(wide, file_seconds)
-    rows.write.mode("append").partitionBy("run_id").option("header", True).csv(path)
+    rows.write.mode("append").partitionBy(*run_keys(wide)).option("header", True).csv(path)
 
 
 def write_processed(wide, path, file_seconds=FILE_SECONDS):
     """Replace the processed traces."""
     rows = _per_run_files(wide, file_seconds)
-    rows.write.mode("overwrite").partitionBy("run_id").option("header", True).csv(path)
+    rows.write.mode("overwrite").partitionBy(*run_keys(wide)).option("header", True).csv(path)
 
 
 def read_partitioned_log(spark, path, sensor_names):
@@ -56,18 +60,18 @@ def read_partitioned_log(spark, path, sensor_names):
 
 
 def write_reports(texts, path):
-    """Report text per run (``run_id, value``), one folder per run."""
-    texts.write.mode("overwrite").partitionBy("run_id").text(path)
+    """Report text per run (``run_id, value``) or arming (``arm_no``), one folder for each."""
+    texts.write.mode("overwrite").partitionBy(*run_keys(texts)).text(path)
 
 
 def read_reports(spark, path):
     """Reports that ``write_reports`` wrote, one row per run."""
     rows = spark.read.schema("value string, run_id string").text(path, wholetext=True)
-    return rows.select("run_id", F.regexp_replace("value", r"\n\z", "").alias("value"))
+    return rows.select(*run_keys(rows), F.regexp_replace("value", r"\n\z", "").alias("value"))
 
 
 def melt(wide, sensor_names):
     """Wide log to long form."""
     return wide.unpivot(
-        ["run_id", "seconds"], list(sensor_names), "sensor_name", "value"
+        [*run_keys(wide), "seconds"], list(sensor_names), "sensor_name", "value"
     )
