@@ -21,7 +21,8 @@ def test_query(spark, duck, name):
     got = spark_rows(queries.QUERIES[name](spark, SF_DIR))
     table = "pages" if name in ("op9_html_content", "op10_url_rules") else "documents"
     rows = duck.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]
-    assert len(got[1]) >= rows if name == "op4_packing" else len(got[1]) == rows
+    if name != "op11_spelling":  # a row per word
+        assert len(got[1]) >= rows if name == "op4_packing" else len(got[1]) == rows
     if name in queries.ORACLE:
         assert not differences(got, oracle_rows(duck, queries.ORACLE[name]))
 

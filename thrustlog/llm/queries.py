@@ -4,10 +4,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from thrustlog.llm import (
-    bpe_codec, exact_dedup, html_content, packing, quality_rules, ring_shards, simhash, token_counts, toxicity, url_rules,
+    bpe_codec, exact_dedup, fill_middle, html_content, packing, quality_rules, rank_bpe, ring_shards, simhash, spelling, token_counts,
+    toxicity, url_rules,
 )
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark, sf_dir, name):
@@ -71,11 +73,24 @@ def op10_url_rules(spark, sf_dir):
     return url_rules.judged(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(_documents(spark, sf_dir)))
+
+
+def op12_rank_bpe(spark, sf_dir):
+    return rank_bpe.code_digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op13_fill_middle(spark, sf_dir):
+    return fill_middle.digests(_documents(spark, sf_dir))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_toxicity, op2_exact_dedup, op3_token_counts, op4_packing, op5_ring_shards,
         op6_simhash, op7_bpe_codec, op8_quality_rules, op9_html_content, op10_url_rules,
+        op11_spelling, op12_rank_bpe, op13_fill_middle,
     )
 }
 
@@ -138,4 +153,23 @@ m AS (
   SELECT h.page_id, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
   FROM h JOIN r ON ('.' || h.host) LIKE ('%.' || r.host) AND starts_with(h.path, r.path) GROUP BY h.page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)""",
+    "op13_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+t AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u,
+    ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d),
+c AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR regexp_matches(text, '<P>|<S>|<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(prefix || middle || suffix) AS restored_sha256
+FROM p""",
 }
