@@ -40,6 +40,51 @@ def test_a_hot_key_is_spread(spark):
     check(placed.collect(), 24, 250, 250)
 
 
+@pytest.mark.parametrize("kind", ["dropDuplicates", "groupBy", "join", "repartition", "union"])
+def test_shuffled_input_loses_no_row(spark, docs, kind):
+    ids = docs.select("doc_id")
+    made = {
+        "dropDuplicates": lambda: docs.dropDuplicates(["doc_id"]),
+        "groupBy": lambda: docs.groupBy("doc_id").agg(F.max("text").alias("text")),
+        "join": lambda: ids.join(docs, "doc_id", "left"),
+        "repartition": lambda: docs.repartition(64),
+        "union": lambda: docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1").repartition(7, "doc_id")),
+    }[kind]()
+    rows = ring_shards.assigned(made, 24).select("doc_id", "shard", "slot").collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1000))
+    check(rows, 24, 41, 42)
+
+
+@pytest.mark.parametrize("balance", [None, 1.1, 2.0])
+def test_against_a_plain_walk_round_the_ring(spark, docs, balance):
+    shards, nodes, spots = 24, 64, 8192
+    ring_nodes, owned = ring_shards.ring(spark, shards, nodes, spots)
+    shard_of = dict(map(tuple, ring_nodes.collect()))
+    home = {r["spot"]: r["node"] for r in owned.collect()}
+    spot_of = dict(map(tuple, docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(spots)).cast("int")).collect()))
+    most = [r for r in spark.range(1).select(ring_shards.bounds(1000, shards, balance)).first()[0]]
+    held, over, expected = [0] * shards, {}, {}
+    for spot in sorted(set(spot_of.values())):  # own keys first, in ring order
+        n, shard = sum(s == spot for s in spot_of.values()), shard_of[home[spot]]
+        stays = min(n, most[shard] - held[shard])
+        held[shard] += stays
+        expected[spot] = [shard] * stays
+        over.setdefault(home[spot], []).extend([spot] * (n - stays))
+    queue = []
+    for step in range(2 * len(shard_of)):  # then those beyond the bound, clockwise, first come first served
+        shard = shard_of[step % len(shard_of)]
+        taken = min(len(queue), most[shard] - held[shard])
+        held[shard] += taken
+        for spot in queue[:taken]:
+            expected[spot].append(shard)
+        queue = queue[taken:] + (over.get(step, []) if step < len(shard_of) else [])
+    assert not queue
+    got = {}
+    for r in ring_shards.assigned(docs, shards, balance=balance).select("doc_id", "shard").collect():
+        got.setdefault(spot_of[r["doc_id"]], []).append(r["shard"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
+
+
 def test_bounded_loads_and_little_movement(spark, docs):
     def shards(n, balance):
         rows = ring_shards.assigned(docs, n, balance=balance).collect()

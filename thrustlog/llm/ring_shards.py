@@ -9,7 +9,8 @@ when shards are added.
 
 Only built-in functions run. The rows are counted by (spot, salt) before any shuffle; the ring itself has
 ``shards * nodes`` nodes and ``spots`` spots, whatever the rows. A row's rank within its spot is taken
-per salt, a share of the input's partitions, so that a hot key is cut up into ``salts`` groups.
+per salt, a share of the input's partitions, so that a hot key is cut up into ``salts`` groups even where its rows
+are alike. The rows are stored with their salts first: counts and ranks read the same salts, however the input is made.
 
 Null ids and texts hash like any other value. Rows alike in id and text are interchangeable; each gets its
 own place. Columns named as those added are replaced; an empty table gives no rows.
@@ -18,6 +19,8 @@ own place. Columns named as those added are replaced; an empty table gives no ro
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from thrustlog.session import stored_table
+
 ADDED = ["shard", "slot"]
 ROWS_PER_SALT = 3_000_000
 
@@ -97,16 +100,17 @@ def plan(cells, spark, rows, shards, nodes=64, spots=8192, balance=None):
 def assigned(docs, shards, balance=None, nodes=64, spots=8192, id_column="doc_id", text_column="text"):
     """``docs`` with ``shard``, 0 to ``shards - 1``, and ``slot``, gapless from 0 in each shard."""
     spark = docs.sparkSession
-    rows = docs.count()
-    salts = max(8, rows // ROWS_PER_SALT)
     kept = [docs[c] for c in docs.columns if c not in ADDED]
     text = docs[text_column].cast("string")
     keyed = docs.select(
         F.struct(*kept).alias("row"),
         F.xxhash64(docs[id_column], text).alias("tie"),
         F.pmod(F.xxhash64(docs[id_column]), F.lit(spots)).cast("int").alias("spot"),
-        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
+        F.spark_partition_id().alias("part"),
     )
+    keyed = stored_table(keyed, "ring-rows")
+    rows = keyed.count()
+    keyed = keyed.withColumn("salt", F.pmod("part", F.lit(max(8, rows // ROWS_PER_SALT))))
     cells = keyed.groupBy("spot", "salt").agg(F.count("*").alias("n"))
     first = F.sum("n").over(Window.partitionBy("spot").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     cells_first = cells.select("spot", "salt", first.alias("cell_first"))
