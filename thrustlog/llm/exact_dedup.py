@@ -25,6 +25,7 @@ PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
 CHUNK = 1024  # 2^31 * 2^8 * 2^10 is below 2^53, so sums of float64 products are exact
 COMPARED = 1 << 16
+SLICE = 1024  # chunks hashed at a time: 16 MB for the widest
 
 
 class Polynomial:
@@ -37,18 +38,24 @@ class Polynomial:
         self.shift = [pow(b, chunk, prime) for b in bases]
 
     def chunks(self, texts):
-        """``(text, length, hashes)`` of every chunk in turn; all chunks of a run go through one matrix product."""
+        """``(text, length, hashes)`` of every chunk in turn; ``SLICE`` chunks at a time go through one matrix product.
+
+        The matrix is as wide as the longest chunk of its slice, so neither a long text nor many short ones need much memory.
+        """
         sizes = np.array([len(x) for x in texts], np.int64)
-        data = np.frombuffer(bytes(self.chunk) + b"".join(texts), np.uint8)
-        ends = np.cumsum(sizes) + self.chunk
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum(sizes)
         parts = -(-sizes // self.chunk)
-        text = np.repeat(np.arange(len(texts)), parts)
-        part = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = (ends - sizes)[text] + part * self.chunk
-        stop = np.minimum(start + self.chunk, ends[text])
-        at = stop[:, None] - self.chunk + np.arange(self.chunk)  # leading zeros leave a hash as it is
-        values = np.where(at >= start[:, None], data[at], 0).astype(np.float64)
-        return text, stop - start, np.mod(values @ self.powers, self.prime).astype(np.int64)
+        first = np.cumsum(parts) - parts
+        for low in range(0, int(parts.sum()), SLICE):
+            place = np.arange(low, min(low + SLICE, int(parts.sum())))
+            text = np.searchsorted(first, place, side="right") - 1
+            start = (ends - sizes)[text] + (place - first[text]) * self.chunk
+            stop = np.minimum(start + self.chunk, ends[text])
+            width = int((stop - start).max())
+            at = stop[:, None] - width + np.arange(width)  # leading zeros leave a hash as it is
+            values = np.where(at >= start[:, None], data[np.maximum(at, 0)], 0).astype(np.float64)
+            yield text, stop - start, np.mod(values @ self.powers[self.chunk - width :], self.prime).astype(np.int64)
 
     def combine(self, left, right, right_length):
         """Hash of two neighbouring parts from theirs and the length of the second."""
@@ -57,8 +64,9 @@ class Polynomial:
 
     def fingerprints(self, texts):
         found = [[0] * len(self.bases) for _ in texts]
-        for text, length, hashes in zip(*(x.tolist() for x in self.chunks(texts)), strict=True):
-            found[text] = self.combine(found[text], hashes, length)
+        for slice in self.chunks(texts):
+            for text, length, hashes in zip(*(x.tolist() for x in slice), strict=True):
+                found[text] = self.combine(found[text], hashes, length)
         bits = self.prime.bit_length()
         return [sum(h << bits * i for i, h in enumerate(x)) for x in found]
 
