@@ -35,7 +35,7 @@ GROUP_BITS = 40
 class LibraryCodec(Codec):
     """Encodes as ``Codec`` does, with the merges of a pre-token left to a compiled library."""
 
-    def __init__(self, vocab):
+    def __init__(self, vocab, remembered=None):
         super().__init__(vocab)
         tokens = [bytes([b]) for b in range(256)] + [vocab.token_bytes[i] for i in vocab.merged]
         ids = [*vocab.byte_ids, *vocab.merged]
@@ -43,7 +43,8 @@ class LibraryCodec(Codec):
         for rank, token in enumerate(tokens):
             ranks.setdefault(token, rank)
         self._ids = [i.to_bytes(4, "little") for i in ids]
-        self.words = Remembered(self._word, limit=100_000)  # cheap to make again
+        self.words = Remembered(self._word, limit=remembered or 100_000)  # cheap to make again
+        self.units = Remembered(self._unit, limit=remembered) if remembered else self.units
         self._library = tiktoken.Encoding("merges", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
     def _word(self, word):
@@ -51,8 +52,8 @@ class LibraryCodec(Codec):
 
 
 @lru_cache(2)
-def codec(text):
-    return LibraryCodec(vocabulary(text))
+def codec(text, remembered=None):
+    return LibraryCodec(vocabulary(text), remembered)
 
 
 class OpenWindows:
@@ -102,12 +103,12 @@ def best_fit(sizes, size):
     return placed, n
 
 
-def window_rows(docs, path, size, end_id, with_ids, id_column, text_column):
+def window_rows(docs, path, size, end_id, with_ids, id_column, text_column, remembered=None):
     """Per document: its tokens, and CRC-32 (and ids, if asked for) of each of its windows."""
     shared = shipped(docs.sparkSession, path)
 
     def cut(batches):
-        own, end = codec(shared.value), end_id.to_bytes(4, "little")
+        own, end = codec(shared.value, remembered), end_id.to_bytes(4, "little")
         for batch in batches:
             for start, texts in text_runs(batch, "text"):
                 coded = [own.encode(text) + end for text in texts]
@@ -126,12 +127,13 @@ def window_rows(docs, path, size, end_id, with_ids, id_column, text_column):
     return rows.mapInArrow(cut, "doc_id bigint, doc_tokens bigint, crcs array<bigint>, windows array<binary>")
 
 
-def packed(docs, path, size=1024, end_id=0, rows_per_group=50_000, with_ids=False, id_column="doc_id", text_column="text"):
+def packed(docs, path, size=1024, end_id=0, rows_per_group=50_000, with_ids=False, id_column="doc_id", text_column="text", remembered=None):
     """One row per piece with its place; with ``with_ids`` its ids too, as little-endian unsigned 32-bit integers.
 
-    With ids a group holds 1/25 of the documents, since its task then holds their tokens.
+    With ids a group holds 1/25 of the documents, since its task then holds their tokens. ``remembered`` bounds the
+    entries of a worker's tables of words already encoded: fewer take less memory and more time.
     """
-    rows = window_rows(docs, path, size, end_id, with_ids, id_column, text_column)
+    rows = window_rows(docs, path, size, end_id, with_ids, id_column, text_column, remembered)
     per_group = max(1, rows_per_group // 25) if with_ids else rows_per_group
     groups = max(1, math.ceil(docs.count() / per_group))
 

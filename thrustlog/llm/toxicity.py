@@ -15,12 +15,13 @@ repeated rows are scored row by row. Without usable training rows every score is
 import json
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructType
 
 from thrustlog.llm.batches import text_runs
 from thrustlog.llm.byte_bpe import Remembered
@@ -269,5 +270,17 @@ def scored(docs, model, text_column="text"):
 
 
 def accepted(docs, model, text_column="text"):
-    """The documents whose score is below one half, with their own columns."""
-    return scored(docs, model, text_column).where("predicted = 0").select("row.*")
+    """The documents whose score is below one half, with their own columns.
+
+    Only texts go to Python and only scores come back; the documents themselves stay in the JVM.
+    """
+
+    @F.arrow_udf(DoubleType())
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tagger = Tagger(model.value)
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            found = [x for _, texts in text_runs(batch, "text", 1 << 20) for x, _ in tagger.scored(texts)]
+            yield pa.array(found, pa.float64())
+
+    return docs.where(score(F.coalesce(docs[text_column].cast("string"), F.lit(""))) < 0.5)
