@@ -6,6 +6,7 @@ from thrustlog.llm import exact_dedup, packing, quality_rules, simhash, toxicity
 from thrustlog.session import stored_table
 
 VOCABULARY = "byte_bpe_50k.json"
+REMEMBERED = 50_000  # words a worker keeps encoded; its memory is shared with the other stages'
 
 
 def quality(spark, docs, sf_dir):
@@ -31,7 +32,7 @@ def unlike(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Pieces of the documents in windows of 1024 tokens."""
-    return packing.packed(docs, public_tokenizers.path(VOCABULARY), size=1024, end_id=0)
+    return packing.packed(docs, public_tokenizers.path(VOCABULARY), size=1024, end_id=0, remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("toxicity", clean), ("exact_dedup", distinct), ("simhash", unlike), ("packing", pack)]
