@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from thrustlog.operators import calibrate, convert, decode, view
+from thrustlog.operators import calibrate, convert, decode, gates, view
 from thrustlog.plans.scan import number_block
 from thrustlog.schemas import RAW_BATCH
 from thrustlog.streaming.ingest import RUN_STATE, accept_more, state_after
@@ -58,6 +58,53 @@ def test_run_time_keeps_the_crossing_batch(spark):
     assert decode.until_run_time(numbered, 10, 0).count() == 5
 
 
+def logger(rows, nchan):
+    """The logger's loop over one run's batches in turn."""
+    found, armed, arm_no = [], False, 0
+    overrun, transfers, scans = False, 0, 0
+    for run, number, status, port, data in sorted(rows, key=lambda r: r[1]):
+        if port and not armed:
+            arm_no, overrun, transfers, scans = arm_no + 1, False, 0, 0
+        if port or armed:
+            overrun |= bool(status & 4)
+            if not overrun and status == 2 and data:
+                transfers += 1
+                found.append((run, arm_no, number, transfers, scans))
+                scans += len(data) // nchan
+        armed = bool(port)
+    length = {}
+    for (_, arm, *_), data in zip(found, (next(r[4] for r in rows if r[1] == f[2]) for f in found), strict=True):
+        length[arm] = length.get(arm, 0) + len(data) // nchan
+    return [(*f, length[f[1]]) for f in found]
+
+
+@pytest.mark.parametrize("block_width", [1, 2, 7, 256])
+@pytest.mark.parametrize("overruns", [1, 8])
+def test_gates_equal_the_loop_for_every_block_width(spark, block_width, overruns):
+    rng = random.Random(block_width * overruns)
+    rows = [
+        (run, 3 * i - 40, rng.choices([2, 6, 0], [40, overruns, 4])[0], int(rng.random() < share), [0] * rng.randint(0, 13))
+        for run, share in (("often", 0.9), ("half", 0.5), ("rarely", 0.1), ("always", 1.0), ("never", 0.0)) for i in range(90)
+    ]
+    placed = gates.in_blocks(spark.createDataFrame(rows, RAW_BATCH), 3, block_width)
+    got = gates.accepted(placed, gates.composed(gates.pieces(placed))).collect()
+    expected = [x for run in ("often", "half", "rarely", "always", "never") for x in logger([r for r in rows if r[0] == run], 3)]
+    assert sorted((r.run_id, r.arm_no, r.batch_id, r.transfer_no, r.scan_offset, r.run_scans) for r in got) == sorted(expected)
+
+
+def test_gates_move_the_rows_once(spark, tmp_path):
+    spark.createDataFrame([("a", i, 2, 1, [0] * 4) for i in range(4)], RAW_BATCH).write.parquet(str(tmp_path / "raw"))
+    plan = decode.accepted_batches(spark.read.parquet(str(tmp_path / "raw")), 2, 10)._jdf.queryExecution().sparkPlan().toString()
+    executed = decode.accepted_batches(spark.read.parquet(str(tmp_path / "raw")), 2, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and executed.count("Exchange hashpartitioning") <= 4
+
+
+def test_null_ports_and_status_count_as_zero(spark):
+    rows = [("a", 0, 2, None, [1, 2]), ("a", 1, 2, 1, [1, 2]), ("a", 2, None, 1, [1, 2]), ("a", 3, 2, None, [1, 2]), ("a", 4, 2, 0, [1, 2]), ("a", 5, 2, 1, None)]
+    got = decode.accepted_batches(spark.createDataFrame(rows, RAW_BATCH), 2, 10).collect()
+    assert sorted((r.batch_id, r.transfer_no) for r in got) == [(1, 1), (3, 2)]
+
+
 def test_micro_batches_equal_whole(spark):
     rng = random.Random(4)
     rows = [
@@ -72,7 +119,7 @@ def test_micro_batches_equal_whole(spark):
         batch = spark.createDataFrame(rows[part * 50:(part + 1) * 50], RAW_BATCH)
         accepted = accept_more(batch, state, 3, 5, 6)
         seen += [(r.run_id, r.arm_no, r.batch_id, r.transfer_no, r.scan_offset) for r in accepted.collect()]
-        state = spark.createDataFrame(state_after(batch, accepted, state, 3).collect(), RUN_STATE)
+        state = spark.createDataFrame(state_after(batch, state, 3).collect(), RUN_STATE)
     assert sorted(seen) == sorted(
         (r.run_id, r.arm_no, r.batch_id, r.transfer_no, r.scan_offset) for r in whole.collect()
     )
@@ -84,7 +131,7 @@ def test_idle_runs_leave_the_stream_state(spark):
         [("old", 1, 1, 0, 1, 1, datetime(2024, 1, 1)), ("new", 1, 1, 0, 1, 1, datetime(2024, 1, 7))], RUN_STATE
     )
     batch = spark.createDataFrame([("now", 0, 2, 1, [1, 2])], RAW_BATCH)
-    state = state_after(batch, accept_more(batch, before, 2, 10), before, 2, now, retention_sec=2 * 86_400)
+    state = state_after(batch, before, 2, now, retention_sec=2 * 86_400)
     assert sorted(r.run_id for r in state.collect()) == ["new", "now"]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from thrustlog.constants import SCAN_OVERRUN, SCAN_RUNNING
 from thrustlog.functions.device import drift_report
 from thrustlog.functions.signal import scan_seconds, volts
+from thrustlog.operators import gates
 from thrustlog.plans.scan import (
     integer_div,
     key_total,
@@ -90,11 +91,6 @@ def until_overrun(gated):
     return gated.where(F.col("overruns") == 0)
 
 
-def without_codes(batches, nchan):
-    """What gates and numbers need of each batch; the codes stay behind."""
-    return batches.select("run_id", "batch_id", "status", "dport", F.size("data").alias("codes"), scans_in(F.col("data"), nchan).alias("scans"))
-
-
 def until_run_time(numbered, frequency, max_seconds):
     """Stop after the first batch that ends beyond ``max_seconds``; 0 means no limit.
 
@@ -110,14 +106,11 @@ def until_run_time(numbered, frequency, max_seconds):
 def accepted_batches(batches, nchan, frequency, max_seconds=0):
     """Batches the logger would have stored, numbered: gates first, then the time axis.
 
-    Each arming starts a time axis of its own, told apart by ``arm_no``. Gates and numbers are found
-    without the codes, which are joined to them in the end by run and batch.
+    Each arming starts a time axis of its own, told apart by ``arm_no``. All gates and numbers come from one scan
+    (``operators.gates``): the batches move once, and one narrow pass over them sums up their blocks.
     """
-    gated = until_overrun(gate_batches(without_codes(batches, nchan)))
-    stored = running_batches(gated).where(F.col("codes") > 0)
-    numbered = until_run_time(number_batches(stored, nchan, keys=ARM, scans=F.col("scans")), frequency, max_seconds)
-    found = ["arm_no", "transfer_no", "scan_offset", *(c for c in ["run_scans"] if c in numbered.columns)]
-    return batches.join(numbered.select("run_id", "batch_id", *found), ["run_id", "batch_id"])
+    rows = gates.in_blocks(batches, nchan)
+    return until_run_time(gates.accepted(rows, gates.composed(gates.pieces(rows))), frequency, max_seconds)
 
 
 def deinterleave(batches, nchan):

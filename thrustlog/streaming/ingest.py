@@ -4,23 +4,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from thrustlog.operators import gates
 from thrustlog.operators.convert import convert
-from thrustlog.operators.decode import (
-    ARM,
-    arming,
-    count_overruns,
-    number_batches,
-    overrun,
-    readings,
-    running_batches,
-    scans_in,
-    until_overrun,
-    until_run_time,
-    while_armed,
-    without_codes,
-)
-from thrustlog.plans.scan import number_block, previous_value, running, running_sum
+from thrustlog.operators.decode import readings, until_run_time
 from thrustlog.schemas import RAW_BATCH
+from thrustlog.session import stored_table
 from thrustlog.streaming.carried import replaced, run_stream
 
 RUN_STATE = (
@@ -37,56 +25,31 @@ def raw_batch_stream(spark, path, files_per_trigger=QUEUE_DEPTH, schema=RAW_BATC
     )
 
 
-def arm_more(batches, before, nchan):
-    """Batches without their codes, with the runs' state ``before`` the micro-batch and the count of armings."""
-    block = number_block(F.col("batch_id"), 1024)
-    armed = (F.col("dport") != 0).cast("int")
-    seen = running(without_codes(batches, nchan), ["run_id"], ["batch_id"], block, armed_before=previous_value(armed))
-    known = seen.join(before, "run_id", "left").withColumn("armed_before", F.coalesce("armed_before", "past_armed"))
-    counted = running(known, ["run_id"], ["batch_id"], block, arm_no=running_sum(arming().cast("long")))
-    past = F.coalesce("past_arm_no", F.lit(0))
-    return counted.withColumn("arm_no", F.col("arm_no") + past).withColumn("goes_on", F.col("arm_no") == past)
+def entering(batches, before, nchan):
+    """Batches in blocks, and the pieces of the micro-batch composed behind the runs' state ``before`` it."""
+    rows = gates.in_blocks(batches, nchan)
+    touched = before.join(batches.select("run_id").distinct(), "run_id", "left_semi")
+    return rows, gates.composed(gates.pieces(rows).unionByName(gates.carried_pieces(touched)))
 
 
 def accept_more(batches, before, nchan, frequency, max_seconds=0):
     """Accepted, numbered batches of one micro-batch, given the runs' state ``before`` it."""
+    rows, found = entering(batches, before, nchan)
+    return numbered(rows, found, frequency, max_seconds)
 
-    def on(past):
-        return F.when(F.col("goes_on"), F.coalesce(past, F.lit(0))).otherwise(0)
 
-    gated = count_overruns(while_armed(arm_more(batches, before, nchan))).withColumn("overruns", F.col("overruns") + on("past_overruns"))
-    kept = running_batches(until_overrun(gated)).where(F.col("codes") > 0)
-    numbered = (
-        number_batches(kept, nchan, keys=ARM, scans=F.col("scans"))
-        .withColumn("transfer_no", F.col("transfer_no") + on("past_transfers"))
-        .withColumn("scan_offset", F.col("scan_offset") + on("past_scans"))
-    )
-    found = until_run_time(numbered, frequency, max_seconds).select("run_id", "batch_id", "arm_no", "transfer_no", "scan_offset")
-    return batches.join(found, ["run_id", "batch_id"])
+def numbered(rows, found, frequency, max_seconds=0):
+    # a run goes on in the next micro-batch, so its length is not known
+    return until_run_time(gates.accepted(rows, found).drop("run_scans"), frequency, max_seconds)
 
 
-def state_after(batches, accepted, before, nchan, now=None, retention_sec=RETENTION_SEC):
+def state_after(batches, before, nchan, now=None, retention_sec=RETENTION_SEC):
     """State of every run after the micro-batch; with ``now``, without runs idle for ``retention_sec``."""
-    armed = arm_more(batches, before, nchan)
-    last = armed.groupBy("run_id").agg(
-        F.max("arm_no").alias("_arm"), F.max_by((F.col("dport") != 0).cast("int"), "batch_id").alias("_armed"),
-    )
-    overruns = while_armed(armed).groupBy(*ARM).agg(F.count_if(overrun(F.col("status"))).alias("_overruns"))
-    added = accepted.groupBy(*ARM).agg(F.count("*").alias("_transfers"), F.sum(scans_in(F.col("data"), nchan)).alias("_scans"))
-    found = (
-        last.withColumnRenamed("_arm", "arm_no")
-        .join(overruns, ARM, "left").join(added, ARM, "left").join(before, "run_id", "left")
-    )
-    goes_on = F.col("arm_no") == F.coalesce("past_arm_no", F.lit(0))
+    return state_of(entering(batches, before, nchan)[1], before, now, retention_sec)
 
-    def plus(past, new):
-        return (F.when(goes_on, F.coalesce(past, F.lit(0))).otherwise(0) + F.coalesce(new, F.lit(0))).alias(past)
 
-    seen = F.lit(now).cast("timestamp").alias("seen")
-    new = found.select(
-        "run_id", plus("past_transfers", "_transfers"), plus("past_scans", "_scans"), plus("past_overruns", "_overruns"),
-        F.col("_armed").alias("past_armed"), F.col("arm_no").alias("past_arm_no"), seen,
-    )
+def state_of(found, before, now=None, retention_sec=RETENTION_SEC):
+    new = gates.last_state(found).withColumn("seen", F.lit(now).cast("timestamp"))
     state = replaced(before, new, ["run_id"])
     if now is None:
         return state
@@ -104,9 +67,11 @@ def ingest(
 
     def handle(batch, batch_id):
         before = carried.before(batch_id)
-        accepted = accept_more(batch, before, nchan, frequency, max_seconds)
+        rows, found = entering(batch, before, nchan)
+        found = stored_table(found, "ingest-pieces")  # a few rows per block: output and state share one pass
+        accepted = numbered(rows, found, frequency, max_seconds)
         output.save(convert(readings(accepted, nchan, frequency), config), batch_id)
         now = datetime.now(timezone.utc)
-        carried.save(state_after(batch, accepted, before, nchan, now, retention_sec), batch_id)
+        carried.save(state_of(found, before, now, retention_sec), batch_id)
 
     return run_stream(stream, handle, checkpoint, **trigger)
