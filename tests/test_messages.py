@@ -104,14 +104,49 @@ def test_a_request_aborts_once_and_safe_never(spark):
     assert {r.request for r in open_.collect()} == {"b", "c"}
 
 
-def test_done_requests_are_carried_for_a_while(spark):
-    before = spark.createDataFrame([(7, "ready", "a", 1, at(0), at(5)), (7, "ready", "b", 2, at(0), None)], control.OPEN_ATTEMPT)
-    late = spark.createDataFrame([(7, "ready", "a", 3, at(500))], ATTEMPT)
+def test_done_and_unanswered_requests_are_carried_for_a_while(spark):
+    rows = [(7, "ready", "a", 1, at(0), at(5), True, None), (7, "ready", "b", 2, at(0), None, True, None), (7, "ready", "d", 4, at(0), None, True, at(60))]
+    before = spark.createDataFrame(rows, control.OPEN_ATTEMPT)
+    late = spark.createDataFrame([(7, "ready", "a", 3, at(500)), (7, "ready", "d", 5, at(500))], ATTEMPT)
     none = spark.createDataFrame([], "request_id long, ts timestamp")
     attempts = control.continue_requests(late, none, before)
     assert {r.request for r in acks.open_attempts(attempts).collect()} == {"b"}
-    assert {r.id for r in control.kept_requests(attempts, F.lit(at(600)), retention_sec=200).collect()} == {1, 2, 3}
-    assert {r.id for r in control.kept_requests(attempts, F.lit(at(600)), retention_sec=50).collect()} == {2}
+    judged = attempts.unionByName(before.where("abort_ts IS NOT NULL"))
+    assert {r.id for r in control.kept_requests(judged, F.lit(at(600)), retention_sec=600).collect()} == {1, 2, 3, 4}
+    assert {r.id for r in control.kept_requests(judged, F.lit(at(600)), retention_sec=200).collect()} == {1, 3}
+    assert control.kept_requests(judged, F.lit(at(600)), retention_sec=50).count() == 0
+
+
+@pytest.mark.parametrize("ends", [(55, 64, 130, 400), (130, 400), (400,)])
+def test_resends_of_micro_batches(spark, ends):
+    """One request ends in safe, one has a late answer, one has none, one is to be safe with the switch off."""
+    sent = [
+        (7, "ready", "ended", 1, at(0)), (7, "ready", "ended", 2, at(70)), (8, "launch", "late", 3, at(0)), (8, "launch", "late", 4, at(60)),
+        (9, "ready", "never", 5, at(0)), (7, "safe", "safe", 6, at(10)), (5, "ready", "unseen", 7, at(0)),
+    ]
+    given = [(3, at(100)), (1, at(90))]
+    moved = [(7, at(0), 20, True), (8, at(0), 21, True), (9, at(0), 22, True), (7, at(50), 23, False), (7, at(65), 24, True), (9, at(200), 25, False)]
+    state, positions, low = spark.createDataFrame([], control.OPEN_ATTEMPT), spark.createDataFrame([], control.SWITCH_STATE), -1
+
+    def part(rows, place, schema):
+        return spark.createDataFrame([r for r in rows if at(low) < r[place] <= at(high)], schema)
+
+    for high in ends:
+        now = F.lit(at(high))
+        switches = positions.unionByName(part(moved, 1, control.SWITCH_STATE))
+        attempts = control.continue_requests(part(sent, 4, ATTEMPT), part(given, 1, "request_id long, ts timestamp"), state)
+        ended = state.where("abort_ts IS NOT NULL")
+        kept = control.kept_requests(control.judge_timeouts(attempts, switches, now).unionByName(ended), now, 1000)
+        state = spark.createDataFrame(kept.collect(), control.OPEN_ATTEMPT)
+        positions = spark.createDataFrame(control.last_switches(switches).collect(), control.SWITCH_STATE)
+        low = high
+    over = {(r.request, r.id, r.abort_ts) for r in state.where("abort_ts IS NOT NULL").collect()}
+    assert over == {("ended", 1, at(60)), ("unseen", 7, at(60))}
+    waiting = acks.open_attempts(state.where("abort_ts IS NULL"))
+    assert {r.request for r in acks.due_resends(waiting, F.lit(at(400))).collect()} == {"never", "safe"}
+    assert {r.id for r in state.collect()} == {1, 3, 4, 5, 6, 7}
+    assert control.kept_requests(state, F.lit(at(2000)), 1000).count() == 0
+    assert {(r.remoteid, r.ready) for r in positions.collect()} == {(7, True), (8, True), (9, False)}
 
 
 def test_wait_aborts(spark):

@@ -89,14 +89,16 @@ def attempts(sent, keys, block_seconds=BLOCK_SECONDS):
     return numbered.withColumn("gap_sec", gap).drop("_before")
 
 
-def aborted_requests(answers, ready_changes, keys=REQUEST, timeout_sec=COMMAND_ACK_TIMEOUT_SEC):
+def aborted_requests(answers, ready_changes, keys=REQUEST, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, attempts_of=None):
     """Requests that end in safe: at the first timeout without an acknowledgement and with the ready switch off.
 
     One row per request. Requests to be safe go on whatever the switch says. ``ready_changes`` has
-    ``remoteid, ts, id, ready``; a switch never seen counts as off.
+    ``remoteid, ts, id, ready``; a switch never seen counts as off. Only timeouts of the attempts in ``attempts_of`` count,
+    if it is given: a condition on ``answers``.
     """
     first = answers.groupBy(*keys).agg(F.min("ack_ts").alias("_first"))
-    watched = answers.where(F.col("command").isin(*WATCHED)).drop("ack_ts").join(first, list(keys))
+    asked = answers if attempts_of is None else answers.where(attempts_of)
+    watched = asked.where(F.col("command").isin(*WATCHED)).drop("ack_ts").join(first, list(keys))
     waited = watched.withColumn("sent_ts", F.col("ts")).withColumn("ts", after(F.col("ts"), timeout_sec))
     failed = waited.where(F.coalesce(F.col("_first") > F.col("ts"), F.lit(True))).drop("_first")
     seen = value_as_of(failed, ready_changes, "ready")

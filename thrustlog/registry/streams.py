@@ -182,19 +182,22 @@ def stream_view(spark, sf_dir):
 
 
 def stream_resends(spark, sf_dir):
+    """Sent messages, acknowledgements and switch rows in one stream; each micro-batch says what is due."""
     base = shared_folder(spark, "stream-resends")
     carried = CarriedTable(spark, f"{base}/open", T._parse_datatype_string(control.OPEN_ATTEMPT))
+    positions = CarriedTable(spark, f"{base}/switches", T._parse_datatype_string(control.SWITCH_STATE))
     output = BatchOutput(f"{base}/due")
-    nothing = {"request_id": F.lit(None).cast("long")}
+    nothing = {"request_id": F.lit(None).cast("long"), "ready": F.lit(None).cast("boolean")}
     sent = QC.sent(spark, sf_dir).withColumns(
         {"request": F.col("request").cast("string"), "kind": F.lit("sent"), **nothing}
     )
     answers = QC.acks(spark, sf_dir).withColumn("kind", F.lit("ack"))
-    rows = sent.unionByName(answers, allowMissingColumns=True)
+    moved = QC.switches(spark, sf_dir).select("remoteid", "ts", "id", "ready", F.lit("switch").alias("kind"))
+    rows = sent.unionByName(answers, allowMissingColumns=True).unionByName(moved, allowMissingColumns=True)
 
     def start(stream):
         return control.decide_resends(
-            stream, carried, output, f"{base}/checkpoint", availableNow=True
+            stream, carried, positions, output, f"{base}/checkpoint", availableNow=True
         )
 
     feed(rows, "ts", f"{base}/in", start)
@@ -294,25 +297,35 @@ ORACLE = {
 SELECT remoteid, id, command FROM commands""",
     "stream_acks": with_views("sent") + """
 SELECT id, epoch_us(ts) AS sent_ts_us, epoch_us(ack_ts) AS ack_ts_us FROM matched""",
-    "stream_resends": with_views("sent") + """,
+    "stream_resends": with_views("sent", "switches") + f""",
+arrivals AS (SELECT ts FROM sent UNION ALL SELECT ts FROM acks UNION ALL SELECT ts FROM switches),
 spread AS (
   SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high, round_even((max(epoch_us(ts)) - min(epoch_us(ts))) / 4.0, 0)::BIGINT AS width
-  FROM (SELECT ts FROM sent UNION ALL SELECT ts FROM acks)),
+  FROM arrivals),
 parts AS (
   SELECT p AS batch, low + p * width AS from_us, CASE WHEN p = 3 THEN high + 1 ELSE low + (p + 1) * width END AS to_us
   FROM spread, (SELECT unnest([0, 1, 2, 3]) AS p)),
 clocks AS (
   SELECT batch, to_us, max(r.ts) AS now FROM parts
-  JOIN (SELECT ts FROM sent UNION ALL SELECT ts FROM acks) r ON epoch_us(r.ts) >= from_us AND epoch_us(r.ts) < to_us GROUP BY ALL),
+  JOIN arrivals r ON epoch_us(r.ts) >= from_us AND epoch_us(r.ts) < to_us GROUP BY ALL),
 seen AS (
   SELECT c.batch, c.now, s.remoteid, s.command, s.request, s.id, s.ts, min(a.ts) AS ack_ts
   FROM clocks c JOIN sent s ON epoch_us(s.ts) < c.to_us
   LEFT JOIN acks a ON a.request_id = s.id AND a.ts >= s.ts AND epoch_us(a.ts) < c.to_us GROUP BY ALL),
 asked AS (
   SELECT batch, now, remoteid, command, request, count(*) AS attempts, max(ts) AS last_ts, min(ack_ts) AS first_ack
-  FROM seen GROUP BY ALL)
-SELECT batch, remoteid, command, CAST(request AS VARCHAR) AS request, attempts, epoch_us(last_ts) AS last_ts_us FROM asked
-WHERE NOT coalesce(first_ack <= last_ts + INTERVAL 60 SECOND, false) AND last_ts + INTERVAL 60 SECOND <= now""",
+  FROM seen GROUP BY ALL),
+missed AS (
+  SELECT s.batch, s.remoteid, s.command, s.request, s.ts + INTERVAL 60 SECOND AS at
+  FROM seen s JOIN asked a USING (batch, remoteid, command, request)
+  WHERE s.command <> 'safe' AND s.ts + INTERVAL 60 SECOND <= a.now AND (a.first_ack IS NULL OR a.first_ack > s.ts + INTERVAL 60 SECOND)),
+safe_again AS (
+  SELECT DISTINCT m.batch, m.remoteid, m.command, m.request
+  FROM missed m ASOF LEFT JOIN switches w ON w.remoteid = m.remoteid AND m.at >= w.ts WHERE NOT coalesce(w.ready, false))
+SELECT batch, remoteid, command, CAST(request AS VARCHAR) AS request, attempts, epoch_us(last_ts) AS last_ts_us
+FROM asked ANTI JOIN safe_again USING (batch, remoteid, command, request)
+WHERE NOT coalesce(first_ack <= last_ts + INTERVAL 60 SECOND, false) AND last_ts + INTERVAL 60 SECOND <= now
+  AND last_ts + INTERVAL {control.RETENTION_SEC} SECOND >= now""",
     "stream_view": with_views("converted") + f"""
 SELECT run_id, sensor_name, scan_no, round(value, 6) AS y
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sensor_name ORDER BY scan_no DESC) AS rank FROM converted)

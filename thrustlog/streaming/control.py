@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from thrustlog.constants import COMMAND_ACK_TIMEOUT_SEC, RELAYS
-from thrustlog.operators.acks import REQUEST, after, answered, due_resends, open_attempts, request_outcome
+from thrustlog.operators.acks import REQUEST, aborted_requests, after, answered, due_resends, open_attempts
 from thrustlog.operators.sessions import sessions
 from thrustlog.operators.timeline import full_timeline
+from thrustlog.session import stored_table
 from thrustlog.streaming.carried import replaced, run_stream
 
 STAND_STATE = (
@@ -13,7 +14,10 @@ STAND_STATE = (
     + ", ".join(f"{r} boolean" for r in RELAYS)
 )
 OPEN_SESSION = "remoteid long, ts timestamp, id long"
-OPEN_ATTEMPT = "remoteid long, command string, request string, id long, ts timestamp, ack_ts timestamp"
+OPEN_ATTEMPT = (
+    "remoteid long, command string, request string, id long, ts timestamp, ack_ts timestamp, judged boolean, abort_ts timestamp"
+)
+SWITCH_STATE = "remoteid long, ts timestamp, id long, ready boolean"
 RETENTION_SEC = 2 * 86_400
 
 
@@ -107,40 +111,72 @@ def finish_runs(stream, analyse, carried, closed, output, checkpoint, **trigger)
 
 
 def continue_requests(sent, acks, before):
-    """All carried and new attempts with the first acknowledgement seen so far."""
+    """All carried and new attempts with the first acknowledgement seen so far; new ones of aborted requests are left out."""
     nothing = F.lit(None).cast("timestamp")
-    known = before.withColumnRenamed("ack_ts", "_known")
-    new = sent.select(*[c for c in known.columns if c != "_known"], nothing.alias("_known"))
-    found = answered(known.unionByName(new), acks)
-    return found.withColumn("ack_ts", F.least("_known", "ack_ts")).drop("_known")
+    ended = before.where(F.col("abort_ts").isNotNull()).select(*REQUEST).distinct()
+    known = before.where(F.col("abort_ts").isNull()).withColumnRenamed("ack_ts", "_known")
+    new = sent.join(ended, list(REQUEST), "left_anti").withColumns(
+        {"_known": nothing, "judged": F.lit(False), "abort_ts": nothing}
+    )
+    found = answered(known.unionByName(new.select(*known.columns)), acks)
+    return found.withColumn("ack_ts", F.least("_known", "ack_ts")).select(*before.columns)
+
+
+def judge_timeouts(attempts, switches, now, timeout_sec=COMMAND_ACK_TIMEOUT_SEC):
+    """Attempts after all timeouts up to ``now`` are judged once, by the switch position in force at each.
+
+    Of a request that ends in safe one row is left, that of the attempt whose timeout ended it, with ``abort_ts``.
+    ``switches`` has the positions known before the micro-batch and those it brings.
+    """
+    over = after(F.col("ts"), timeout_sec) <= now
+    ended = aborted_requests(attempts, switches, REQUEST, timeout_sec, over & ~F.col("judged")).select(
+        *REQUEST, F.col("id").alias("_ending"), F.col("abort_ts").alias("_abort")
+    )
+    met = attempts.join(ended, list(REQUEST), "left").where(F.col("_abort").isNull() | (F.col("id") == F.col("_ending")))
+    return met.withColumns({"judged": F.col("judged") | over, "abort_ts": F.col("_abort")}).select(*attempts.columns)
 
 
-def kept_requests(attempts, now, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, retention_sec=RETENTION_SEC):
-    """Attempts to carry on: those of requests not done, or done but seen within the retention time."""
-    outcome = request_outcome(attempts, REQUEST, timeout_sec)
-    over = outcome.where(F.col("done") & (after(F.col("last_ts"), retention_sec) < now))
+def kept_requests(attempts, now, retention_sec=RETENTION_SEC):
+    """Attempts to carry on: those of requests whose last attempt, or abort, is within the retention time.
+
+    So done, aborted and unanswered requests leave alike, and a late attempt does not open a request again before.
+    """
+    last = attempts.groupBy(*REQUEST).agg(F.max(F.coalesce("abort_ts", "ts")).alias("_last"))
+    over = last.where(after(F.col("_last"), retention_sec) < now)
     return attempts.join(over.select(*REQUEST), list(REQUEST), "left_anti")
 
 
+def last_switches(switches):
+    """The position of each stand's ready switch after the rows."""
+    last = F.max_by(F.struct("ts", "id", "ready"), F.struct("ts", "id")).alias("_last")
+    return switches.groupBy("remoteid").agg(last).select("remoteid", "_last.*")
+
+
 def decide_resends(
-    stream, carried, output, checkpoint, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, retention_sec=RETENTION_SEC, **trigger
+    stream, carried, positions, output, checkpoint, timeout_sec=COMMAND_ACK_TIMEOUT_SEC, retention_sec=RETENTION_SEC, **trigger
 ):
     """Requests to send again, by the latest time seen in each micro-batch.
 
-    The stream has ``kind`` (``sent`` or ``ack``), the columns of a sent message and ``request_id``; an
-    acknowledgement arrives with or after the message it answers. A request that is done is carried for
-    ``retention_sec`` after its last attempt, so that a late attempt does not open it again.
+    The stream has ``kind`` (``sent``, ``ack`` or ``switch``), the columns of a sent message, ``request_id`` of an
+    acknowledgement and ``ready`` of a switch. Micro-batches come in time order. A request
+    that is done, ended in safe, or has had no answer is carried for ``retention_sec`` after its last attempt or its end.
+    ``carried`` is a ``CarriedTable`` with ``OPEN_ATTEMPT``, ``positions`` one with ``SWITCH_STATE``.
     """
 
     def handle(batch, batch_id):
+        before = carried.before(batch_id)
+        now = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
+        moved = batch.where(F.col("kind") == "switch").select("remoteid", "ts", "id", "ready")
+        switches = positions.before(batch_id).unionByName(moved)
         attempts = continue_requests(
-            batch.where(F.col("kind") == "sent"),
-            batch.where(F.col("kind") == "ack").select("request_id", "ts"),
-            carried.before(batch_id),
+            batch.where(F.col("kind") == "sent"), batch.where(F.col("kind") == "ack").select("request_id", "ts"), before
         )
-        now = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
-        carried.save(kept_requests(attempts, now, timeout_sec, retention_sec), batch_id)
-        waiting = open_attempts(carried.before(batch_id + 1), REQUEST, timeout_sec)
-        output.save(due_resends(waiting, now, timeout_sec), batch_id)
+        attempts = stored_table(attempts, "attempts")  # outcomes, aborts and state read it
+        ended = before.where(F.col("abort_ts").isNotNull())
+        judged = judge_timeouts(attempts, switches, now, timeout_sec).unionByName(ended)
+        carried.save(kept_requests(judged, now, retention_sec), batch_id)
+        positions.save(last_switches(switches), batch_id)
+        live = carried.before(batch_id + 1).where(F.col("abort_ts").isNull())
+        output.save(due_resends(open_attempts(live, REQUEST, timeout_sec), now, timeout_sec), batch_id)
 
     return run_stream(stream, handle, checkpoint, **trigger)
