@@ -17,6 +17,7 @@ repeated rows are coded row by row; extra columns are not read; an empty table g
 import base64
 import hashlib
 import json
+import unicodedata
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -26,15 +27,14 @@ import pyarrow as pa
 import regex
 import tiktoken
 
-from thrustlog.llm.batches import text_runs
-from thrustlog.llm.byte_bpe import unassigned
+from thrustlog.llm.batches import RUN_BYTES, text_runs
 
 DIGEST_SCHEMA = "doc_id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 CODE_SCHEMA = "doc_id {id}, ids array<int>, decoded binary"
-PORTION = 50_000
-CHUNK_BYTES = 1 << 16
-KEPT_BYTES = 4 << 20
-KEPT_WORDS = 200_000
+PORTION = 400_000
+CHUNK_BYTES = 1 << 17
+KEPT_BYTES = 8 << 20
+KEPT_WORDS = 500_000
 MEMORY_MB = 256
 
 MERGE = """
@@ -86,6 +86,13 @@ def shipped(spark, path, pattern):
     return spark.sparkContext.broadcast(json.dumps({"pattern": pattern, "together": together, "ranks": named}))
 
 
+def unassigned(text):
+    """Code points of the text without a category here; libraries of other Unicode versions may know them."""
+    if text.isascii() or "".join(text.split()).isprintable():
+        return set()
+    return {c for c in set(text) if unicodedata.category(c) == "Cn"}
+
+
 @lru_cache(4096)
 def stand_in(pattern, char):
     """A letter, number or mark of the class that the library gives a code point this Python does not know."""
@@ -118,9 +125,10 @@ class RankCodec:
 
     def words(self, text):
         """Matches of the pattern, in turn."""
-        if text.isascii() or text.isprintable() or not unassigned().search(text):
-            return (m.group() for m in self.pattern.finditer(text)) if len(text) > 4 * PORTION else self.pattern.findall(text)
-        plain = unassigned().sub(lambda m: stand_in(self.text_pattern, m.group()), text)
+        rare = unassigned(text)
+        if not rare:
+            return (m.group() for m in self.pattern.finditer(text)) if len(text) > PORTION else self.pattern.findall(text)
+        plain = text.translate({ord(c): stand_in(self.text_pattern, c) for c in rare})
         return (text[m.start() : m.end()] for m in self.pattern.finditer(plain))
 
     def portions(self, texts):
@@ -206,7 +214,7 @@ def _mapped(docs, path, pattern, id_column, text_column, schema, columns):
     def mapped(batches):
         own = codec(shared.value)
         for batch in batches:
-            for start, texts in text_runs(batch, "text", 1 << 20):
+            for start, texts in text_runs(batch, "text", RUN_BYTES):
                 ids = batch.column("doc_id")[start : start + len(texts)]
                 yield pa.RecordBatch.from_arrays([ids, *columns[1](own, texts)], names=["doc_id", *columns[0]])
 
