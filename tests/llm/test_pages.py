@@ -1,6 +1,7 @@
 import html as references
 import random
 import re
+import time
 
 import pytest
 
@@ -87,6 +88,46 @@ def test_boilerplate_stays_out_beside_an_article(n):
     assert html_content.main_text(html).split("\n") == texts
 
 
+@pytest.mark.parametrize(("inner", "kept"), [
+    ('<header class="entry-header"><h1>Title</h1></header>', ["Title"]), ('<header class="header"><h1>Title</h1></header>', ["Title"]),
+    ('<p class="share-price">The price fell.</p>', ["The price fell."]), ('<p class="notice-period">Two months.</p>', ["Two months."]),
+    ('<h2 class="section-header">Part</h2>', ["Part"]), ('<div class="section-header"><h2>Part</h2></div>', ["Part"]),
+    ('<div class="share-bar"><a href=x>Tweet</a> <a href=y>Pin it</a></div>', []), ('<div class="related-posts"><ul><li><a href=x>Other</a></ul></div>', []),
+    ('<div class="share-note"><p>read on</p><div class="share-row"><a href=x>Tweet</a></div></div>', ["read on"]),
+    ('<div class="comment-list"><p>I do not agree with this.</p></div>', []), ('<p class="ad-label">Buy this now.</p>', []), ('<div class="sidebar"><p>see also</p></div>', []),
+])
+def test_names_inside_an_article(inner, kept):
+    texts = paragraphs(3, 300, "p")
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    assert html_content.main_text(f"<body><nav>menu</nav><article>{inner}{body}</article></body>").split("\n") == kept + texts
+    assert html_content.main_text(f"<body><main><article>{body}{inner}</article></main></body>").split("\n") == texts + kept
+
+
+def test_every_article_beside_the_chosen_one():
+    texts = paragraphs(4, 300, "p")
+    long = "<article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+    teaser = "<article><a href=x>Read this</a> <a href=y>and that</a></article>"
+    html = f"<body><div>{long}<article><p>A short note.</p></article>{teaser}</div><div><article><a href=z>elsewhere</a></article></div></body>"
+    assert html_content.main_text(html).split("\n") == [*texts, "A short note."]
+
+
+@pytest.mark.parametrize("around", ["{}", "<main>{}</main>"])
+def test_comments_as_articles(around):
+    texts = paragraphs(5, 200, "p")
+    comments = "".join(f'<li class="comment"><article class="comment-body"><p>{t}</p></article>' for t in paragraphs(3, 200, "c"))
+    body = "<article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+    for start in ('<ol class="comment-list">', "<ol>", '<div id="comments">'):
+        html = "<body>" + around.format(f"{body}{start}{comments}") + "</body>"
+        assert html_content.main_text(html).split("\n") == texts
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text", ("<div>" + "</p></b></span>") * 30_000 + "text", "<article>" + '<div class="share-x">' * 50_000 + "text"])
+def test_nesting_takes_linear_time(page):
+    start = time.process_time()
+    assert html_content.main_text(page) in ("text", "")
+    assert time.process_time() - start < 4
+
+
 def test_page_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (None, "", None), (2, "<p>a" * 20_000, "x"), (3, "<p>a", "x")]
     pages = spark.createDataFrame(rows, "page_id long, html string, row string")

@@ -11,7 +11,11 @@ threshold of the plain ratios.
 
 A class or id marks an element as boilerplate by its words, save names that say what a layout has or lacks (``has-sidebar``,
 ``no-comments``). Where marks take more than half of the page's text, those that are wrappers are undone and their children judged: an element with
-more than half of the text whose mark is part of a longer name, or with nearly all of it.
+more than half of the text whose mark is part of a longer name, or with nearly all of it. Inside an article element headings are
+never marked, and a name that only contains such a word (``share-price``) marks an element only if it is mostly links or has few
+characters a tag, save names of comments, adverts and the like (``FOREIGN``), whose text is as dense as the article's. Articles
+beside a chosen one are content too, by the same test; an article in or of a list of comments is none. Time grows linearly with
+the page, whatever the nesting.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line
 break. Null and empty pages give the empty text; unclosed and stray tags are tolerated; rows
@@ -19,6 +23,7 @@ pass through one by one, so ties and repeated rows stay; other columns are kept.
 """
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -47,6 +52,11 @@ BOILERPLATE = re.compile(
     r"headers?|masthead|menus?|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|modal|promos?|promoted|related|"
     r"replies|respond|share|sharing|sidebars?|social|sponsors?|sponsored|subscribe|toolbar|widgets?)(?:$|[\s_-])"
 )
+FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|comments?|cookies?|consent|disqus|gdpr|newsletter|popup|modal|promos?|promoted|"
+    r"replies|respond|sponsors?|sponsored|subscribe)(?:$|[\s_-])"
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LAYOUT = re.compile(r"(?:^|[_-])(?:has|have|having|with|without|no|non|not|hide|hides|hidden|show|shows)[_-]")
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
 
@@ -55,17 +65,18 @@ SHARE = 0.5
 ENOUGH = 200  # characters a tag; a line of more counts the same
 LINKED = 0.5  # a region with a larger share of its text in links is no sibling of content
 THIN = 2  # nor is one with fewer characters a tag
+BARE = 1  # fewer characters a tag than in any short heading
 MOST = 0.5  # a marked element with a larger share of the page's text is a wrapper, if the mark is part of a name
 NEARLY_ALL = 0.9  # or if it is the whole name
 
 
-def marked(attrs):
-    """2 if a class or id is the name of boilerplate, 1 if it has one in it, 0 otherwise."""
+def marked(attrs, names=BOILERPLATE):
+    """2 if a class or id is one of ``names``, 1 if it has one in it, 0 otherwise."""
     found = 0
     for name, value in attrs:
-        if value and name in ("class", "id") and BOILERPLATE.search(value.lower()):
+        if value and name in ("class", "id") and names.search(value.lower()):
             for word in value.lower().split():
-                hit = BOILERPLATE.search(word)
+                hit = names.search(word)
                 if hit and not LAYOUT.search(word):
                     found = max(found, 1 + (hit.group() == word))
     return found
@@ -75,7 +86,8 @@ class Lines(HTMLParser):
     """Collects ``(text, tags, container, never, linked)`` of every line of a page; ``parents`` has a container's parent.
 
     ``never`` is -1 in an element that never holds content, else the number of the innermost element marked by class or
-    id, 0 without one; ``marks`` has for each number the mark around it and whether it is a whole name.
+    id, 0 without one; ``marks`` has for each number the mark around it, whether it is a whole name, whether the text's
+    density has to bear it out, and whether it names comments, adverts and the like.
     """
 
     def __init__(self):
@@ -83,7 +95,8 @@ class Lines(HTMLParser):
         self.lines, self.words, self.tags = [], [], 0
         self.open = []  # (tag, is never content, container)
         self.numbers, self.parents = 0, {}
-        self.marks = [(0, False)]
+        self.marks = [(0, False, False, False)]
+        self.opened = Counter()  # open elements by tag
         self.link, self.linked = None, 0  # elements open around the open link, characters of the line in links
 
     def _state(self):
@@ -96,6 +109,22 @@ class Lines(HTMLParser):
             self.lines.append((text, self.tags, container, never, self.linked))
         self.words, self.tags, self.linked = [], 0, 0
 
+    def _pop(self):
+        self.opened[self.open.pop()[0]] -= 1
+
+    def _foreign(self):
+        never = self.open[-1][1]
+        return never > 0 and self.marks[never][3]
+
+    def _mark(self, tag, attrs, inside, never):
+        """The mark of an element by its names, entered below the mark ``never``."""
+        foreign = marked(attrs, FOREIGN)
+        mark = foreign if tag in ARTICLES else marked(attrs)
+        if not mark or inside and (tag in HEADINGS or tag == "header" and not foreign):
+            return never
+        self.marks.append((never, mark == 2, inside and mark == 1 and not foreign, foreign > 0))
+        return len(self.marks) - 1
+
     def _left(self):
         """A link that nobody closed ends with the element around it."""
         if self.link is not None and len(self.open) < self.link:
@@ -108,31 +137,29 @@ class Lines(HTMLParser):
         if tag == "br":
             self.words.append(" ")
         while self.open and tag in SHUT_BY.get(self.open[-1][0], ()):
-            self.open.pop()
-        if tag in ARTICLES:  # an article ends menus and the like that nobody closed
-            while self.open and self.open[-1][1]:
-                self.open.pop()
+            self._pop()
+        if tag in ARTICLES:  # an article ends menus and the like that nobody closed, but may be a comment
+            while self.open and self.open[-1][1] and not self._foreign():
+                self._pop()
         self._left()
         if tag in VOID:
             return
         if tag == "a":
             self.link = len(self.open)
         never, container = self._state()
-        inside = any(x[0] in ARTICLES for x in self.open)
+        inside = any(self.opened[x] for x in ARTICLES)
         if never >= 0:
             if tag in NEVER or tag == "header" and not inside or self._hidden(tag, attrs):
                 never = -1
-            elif tag not in WHOLE:
-                mark = marked(attrs)
-                if mark:
-                    self.marks.append((never, mark == 2))
-                    never = len(self.marks) - 1
+            elif tag == "article" or tag not in WHOLE:
+                never = self._mark(tag, attrs, inside, never)
         if tag in CONTAINERS and not inside:
             self.numbers += 1
             self.parents[self.numbers] = container
             container = -self.numbers if tag in ARTICLES else self.numbers
         if tag in BLOCKS or never or tag in NEVER:
             self.open.append((tag, never, container))
+            self.opened[tag] += 1
 
     @staticmethod
     def _hidden(tag, attrs):
@@ -151,9 +178,10 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.link = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        while self.opened[tag]:
+            last = self.open[-1][0]
+            self._pop()
+            if last == tag:
                 break
         self._left()
 
@@ -178,7 +206,7 @@ def main_text(html):
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = unwrapped(parser.lines, parser.marks)
+    lines = unwrapped(borne_out(parser.lines, parser.marks), parser.marks)
     held = [bool(text) and not never for text, _, _, never, _ in lines]
     if not any(held):
         return ""
@@ -199,6 +227,7 @@ def main_text(html):
         if high[i]:
             chosen.add(region[i])
     chosen = chosen or {max(size, key=size.get)}
+    chosen |= articles_beside(chosen, lines, region, size, parser.parents)
     loose = [r for r in size if isinstance(r, tuple)]
     if 2 * sum(size[r] for r in chosen if not isinstance(r, tuple)) > sum(size.values()):
         plain = clustered(ratios)
@@ -208,6 +237,26 @@ def main_text(html):
     return "\n".join(lines[i][0] for i in range(len(lines)) if held[i] and region[i] in chosen)
 
 
+def borne_out(lines, marks):
+    """The lines without the marks that density has to bear out and does not."""
+    if not any(mark[2] for mark in marks):
+        return lines
+    size, tags, linked = ([0] * len(marks) for _ in range(3))
+    for text, n, _, never, links in lines:
+        if never >= 0:
+            size[never] += len(text)
+            tags[never] += n
+            linked[never] += links
+    for m in range(len(marks) - 1, 0, -1):  # a mark has a higher number than the one around it
+        for total in (size, tags, linked):
+            total[marks[m][0]] += total[m]
+    stands = list(range(len(marks)))
+    for m, (around, _, soft, _) in enumerate(marks):
+        if soft and linked[m] <= LINKED * size[m] and size[m] >= BARE * tags[m]:
+            stands[m] = stands[around]
+    return [(text, n, container, stands[never] if never >= 0 else never, links) for text, n, container, never, links in lines]
+
+
 def unwrapped(lines, marks):
     """The lines with ``never`` as true or false, marks of wrappers undone."""
     undone = [True] + [False] * (len(marks) - 1)
@@ -219,7 +268,7 @@ def unwrapped(lines, marks):
     if own[0] < (1 - MOST) * total:
         for m in range(len(marks) - 1, 0, -1):  # a mark has a higher number than the one around it
             size[marks[m][0]] += size[m]
-        for m, (around, whole) in enumerate(marks[1:], 1):
+        for m, (around, whole, *_) in enumerate(marks[1:], 1):
             undone[m] = undone[around] and size[m] > (NEARLY_ALL if whole else MOST) * total
     return [(text, tags, container, never < 0 or not undone[never], linked) for text, tags, container, never, linked in lines]
 
@@ -230,17 +279,28 @@ def clustered(ratios):
     return smooth >= SHARE * ratios.std() if len(ratios) > 1 else smooth >= 0
 
 
-def beside(chosen, loose, lines, region, size, parents):
-    """Regions under the same parent as a chosen one, or in its parent or child container, that are neither mostly links nor mostly tags."""
+def dense(regions, lines, region, size):
+    """Those of the regions that are neither mostly links nor mostly tags."""
     tags, linked = dict.fromkeys(size, 0), dict.fromkeys(size, 0)
     for line, r in zip(lines, region, strict=True):
         if r is not None:
             tags[r] += line[1]
             linked[r] += line[4]
+    return {r for r in regions if linked[r] <= LINKED * size[r] and size[r] >= THIN * tags[r]}
+
+
+def articles_beside(chosen, lines, region, size, parents):
+    """Article elements under the same parent as a chosen one."""
+    near = {parents[-r] for r in chosen if not isinstance(r, tuple)}
+    return dense([r for r in size if not isinstance(r, tuple) and parents[-r] in near], lines, region, size)
+
+
+def beside(chosen, loose, lines, region, size, parents):
+    """Regions under the same parent as a chosen one, or in its parent or child container."""
     near = {r[0] for r in chosen if isinstance(r, tuple)}
     above = {parents.get(c) for c in near}
     fit = (r for r in loose if r[0] in near or r[0] in above or parents.get(r[0]) in near | above - {None})
-    return {r for r in fit if linked[r] <= LINKED * size[r] and size[r] >= THIN * tags[r]}
+    return dense(fit, lines, region, size)
 
 
 def extracted(pages, html_column="html"):
