@@ -54,10 +54,14 @@ WITH RECURSIVE state(pos, word, id, after) USING KEY (pos) AS (
    taken AS (SELECT * FROM placed WHERE leftmost OR ($together AND behind % 2 = 0))
    SELECT pos, word, merged, beyond FROM taken UNION ALL SELECT after, word, -1, -1 FROM taken)
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM state WHERE id >= 0 GROUP BY word
+SELECT word, id FROM state WHERE id >= 0 ORDER BY pos
 """
 
-DECODE = "SELECT part, string_agg(hex, '' ORDER BY pos) AS hex FROM coded JOIN tokens USING (id) GROUP BY part"
+# one thread aggregates the ordered rows; token bytes are held as the characters of the same numbers
+DECODE = """
+SELECT part, string_agg(text, '') AS text
+FROM (SELECT part, text FROM coded JOIN tokens USING (id) ORDER BY pos) GROUP BY part
+"""
 
 
 def read_ranks(path):
@@ -113,7 +117,7 @@ class RankCodec:
         self.ranks = ranks
         self.known, self.size = {}, 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
-        self._store("tokens", {"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([x.hex() for x in ranks])})
+        self._store("tokens", {"id": pa.array(ranks.values(), pa.int32()), "text": pa.array([x.decode("latin-1") for x in ranks])})
         splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         columns = zip(("left_id", "right_id", "merged"), np.array(splits, np.int32).reshape(-1, 3).T, strict=True)
         self._store("merges", {name: pa.array(np.ascontiguousarray(x)) for name, x in columns})
@@ -173,12 +177,11 @@ class RankCodec:
         self.db.register("symbols", pa.table({"pos": np.arange(n, dtype=np.int32), "word": word, "id": ids}))
         if (needed := n * 320 >> 20) > MEMORY_MB:  # one very long word
             self.db.execute(f"SET memory_limit = '{needed}MB'")
-        query = self.db.sql(MERGE.replace("$together", str(self.together).lower()))
-        for batch in query.to_arrow_reader(10_000):
-            values = batch.column("ids")
-            flat, ends = values.values.to_numpy().astype("<u4"), values.offsets.to_numpy()
-            for i, a, b in zip(batch.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                self.known[chunk[i][0]] = flat[a:b].tobytes()
+        found = self.db.sql(MERGE.replace("$together", str(self.together).lower())).to_arrow_table()
+        coded, counts = found["id"].to_numpy().astype("<u4").tobytes(), np.bincount(found["word"].to_numpy(), minlength=len(chunk))
+        ends = (4 * np.cumsum(counts)).tolist()
+        for (text, _), a, b in zip(chunk, [0, *ends], ends, strict=False):
+            self.known[text] = coded[a:b]
         self.db.unregister("symbols")
         if needed > MEMORY_MB:
             self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
@@ -191,7 +194,7 @@ class RankCodec:
         self.db.register("coded", pa.table({"part": part, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
         found = [b""] * len(coded)
         for part, text in self.db.execute(DECODE).fetchall():
-            found[part] = bytes.fromhex(text)
+            found[part] = text.encode("latin-1")
         self.db.unregister("coded")
         return found
 
