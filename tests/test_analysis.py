@@ -121,6 +121,17 @@ def test_steps_agree_with_summary(trace):
             assert close(r.impulse, w.impulse)
 
 
+def test_runs_of_two_rates_in_one_table(trace):
+    slow = trace.select(F.concat(F.lit("slow-"), "run_id").alias("run_id"), "pos", "n", (F.col("t") * 2).alias("t"), "y")
+    mixed = trace.withColumn("rate", F.lit(RATE)).unionByName(slow.withColumn("rate", F.lit(RATE // 2)))
+    rate = F.col("rate")
+    want = A.run_summary(trace, RATE).unionByName(A.run_summary(slow, RATE // 2)).collect()
+    assert sorted(A.run_summary(mixed, rate).collect(), key=str) == sorted(want, key=str)
+    cut, parts = A.cut_trace(mixed, rate), A.cut_trace(slow, RATE // 2)
+    found = A.cumulative_impulse(cut, rate).where("run_id like 'slow-%'").collect()
+    assert sorted(found, key=str) == sorted(A.cumulative_impulse(parts, RATE // 2).collect(), key=str)
+
+
 def test_slices_do_not_change_results(spark, trace):
     from thrustlog.plans.per_run import join_run_values
 

@@ -2,10 +2,12 @@
 
 A trace has the columns ``run_id, pos, n, t, y``: zero-based position in the run, rows in the run,
 seconds, thrust; ``arm_no`` too where a run is cut into armings, each of which is then a run of its
-own. All detectors are aggregates by run, combined before the shuffle; what they find
+own. Their ``f``, samples a second, is a number or a column of the trace: runs of different rates carry
+``rate`` from batches to summary and are analysed together. All detectors are aggregates by run, combined before the shuffle; what they find
 comes back to the rows by ``join_run_values``, which spreads a long run over many tasks.
 """
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from thrustlog.constants import (
@@ -22,6 +24,15 @@ from thrustlog.plans.per_run import join_run_values, run_keys
 from thrustlog.plans.scan import number_block, positions, previous_value, running, running_sum
 
 
+def run_rate(rows):
+    """The column with each run's rate, where the rows have it."""
+    return [c for c in ("rate",) if c in rows.columns]
+
+
+def per_second(f):
+    return f.cast("double") if isinstance(f, Column) else F.lit(float(f))
+
+
 def trace_from_readings(converted, thrust_sensor=DEFAULT_THRUST_SENSOR):
     """Thrust trace of gap-free runs: positions follow from the scan numbers, no sort needed.
 
@@ -37,16 +48,17 @@ def trace_from_readings(converted, thrust_sensor=DEFAULT_THRUST_SENSOR):
             F.col("run_scans").alias("n"),
             F.col("seconds").alias("t"),
             y,
+            *run_rate(thrust),
         )
     runs = thrust.groupBy(*run_keys(thrust)).agg(
         F.min("scan_no").alias("_first"),
         F.count("*").alias("n"),
         (F.max("scan_no") + 1).alias("_reach"),
     )
-    placed = thrust.select(*run_keys(thrust), F.col("scan_no").alias("pos"), "seconds", "value")
+    placed = thrust.select(*run_keys(thrust), F.col("scan_no").alias("pos"), "seconds", "value", *run_rate(thrust))
     joined = join_run_values(placed, runs, length="_reach")
     return joined.select(
-        *run_keys(thrust), (F.col("pos") - F.col("_first")).alias("pos"), "n", F.col("seconds").alias("t"), y
+        *run_keys(thrust), (F.col("pos") - F.col("_first")).alias("pos"), "n", F.col("seconds").alias("t"), y, *run_rate(thrust)
     )
 
 
@@ -58,6 +70,7 @@ def trace_from_wide(wide, thrust_sensor=DEFAULT_THRUST_SENSOR):
         F.col("run_scans").alias("n"),
         F.col("seconds").alias("t"),
         nan_as_null(F.col(thrust_sensor)).alias("y"),
+        *run_rate(wide),
     )
 
 
@@ -230,6 +243,7 @@ def cut_trace(trace, f, margin=0.0, burn=None):
         rows.alias("n"),
         rebased_seconds(F.col("t"), F.col("start_t"), margin).alias("t"),
         zeroed.alias("y"),
+        *run_rate(kept),
     )
 
 
@@ -242,9 +256,10 @@ def _figures(pos, y, present, f):
     clipped = clip_below_zero(y)
     area = F.sum(clipped) - (F.min_by(clipped, pos) + F.max_by(clipped, pos)) / F.lit(2.0)
     whole = F.count(clipped) == F.count_if(present)
+    rate = F.max(per_second(f)) if isinstance(f, Column) else per_second(f)
     return [
         F.count_if(present).alias("kept"),
-        F.when(whole, area / F.lit(float(f))).alias("impulse"),
+        F.when(whole, area / rate).alias("impulse"),
         F.avg(clipped).alias("average_thrust"),
     ]
 
@@ -268,7 +283,7 @@ def cumulative_impulse(cut, f, block_rows=4096):
         _first=previous_value(F.when(F.col("pos") == 0, F.col("_y"))),
     )
     first = F.coalesce(F.col("_first"), F.col("_y"))
-    area = (F.col("_sum") - (first + F.col("_y")) / F.lit(2.0)) / F.lit(float(f))
+    area = (F.col("_sum") - (first + F.col("_y")) / F.lit(2.0)) / per_second(f)
     return summed.select(*run_keys(cut), "pos", "t", area.alias("impulse"))
 
 
@@ -365,7 +380,7 @@ def margin_log(placed, burn, margin=REPORT_MARGIN_SEC, thrust_sensor=DEFAULT_THR
     kept = join_run_values(placed, bounds, length="_length").where(
         (seconds > F.col("start_t") - lit) & (seconds < F.col("end_t") + lit)
     )
-    sensors = [c for c in placed.columns if c not in ("run_id", "arm_no", "pos", "n", "seconds", "scan_no", "run_scans")]
+    sensors = [c for c in placed.columns if c not in ("run_id", "arm_no", "pos", "n", "seconds", "scan_no", "run_scans", "rate")]
     return kept.select(
         *keys,
         rebased_seconds(seconds, F.col("start_t"), margin).alias("seconds"),

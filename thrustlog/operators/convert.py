@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from thrustlog.functions.formulas import FORMULA_INPUTS, engineering_value, inputs_checked
-from thrustlog.functions.signal import calibrated_code
+from thrustlog.functions.signal import calibrated_code, scan_seconds
 from thrustlog.operators.decode import scan_volts
 from thrustlog.plans.lookup import lookup_join
 from thrustlog.plans.per_run import run_keys
@@ -79,11 +79,12 @@ def wide_scans(numbered, config_rows, frequency, raw=False, only=None, on_unknow
 
     All channels of a scan lie side by side in the batch, so no pivot is needed.
     ``config_rows`` are the rows of one stand's configuration, at most one per device channel;
-    ``only`` names the sensors to convert. ``run_scans`` and ``arm_no`` stay where the batches have them.
+    ``only`` names the sensors to convert. ``run_scans``, ``arm_no`` and ``rate`` stay where
+    the batches have them. ``frequency`` is a number or a column of the batches, such as a run's real rate.
     """
     ordered = sorted(config_rows, key=lambda row: row["channel"])
     scans = scan_volts(numbered, len(ordered))
-    length = [c for c in ("run_scans", "arm_no") if c in numbered.columns]
+    length = [c for c in ("run_scans", "arm_no", "rate") if c in numbered.columns]
     scan_no = F.col("scan_offset") + F.col("scan") + 1
 
     def column(sensor):
@@ -106,7 +107,7 @@ def wide_scans(numbered, config_rows, frequency, raw=False, only=None, on_unknow
     return scans.select(
         "run_id",
         scan_no.alias("scan_no"),
-        (scan_no / F.lit(float(frequency))).alias("seconds"),
+        scan_seconds(scan_no, frequency).alias("seconds"),
         *[column(s) for s in ordered if only is None or s["sensor_name"] in only],
         *length,
     )

@@ -7,9 +7,10 @@ it into scans is a projection and needs no shuffle.
 from pyspark.sql import functions as F
 
 from thrustlog.constants import SCAN_OVERRUN, SCAN_RUNNING
-from thrustlog.functions.device import drift_report
+from thrustlog.functions.device import actual_rate, drift_report, paced_rate, pacer_period
 from thrustlog.functions.signal import scan_seconds, volts
 from thrustlog.operators import gates
+from thrustlog.plans.lookup import lookup_join
 from thrustlog.plans.scan import (
     integer_div,
     key_total,
@@ -86,6 +87,18 @@ def number_batches(batches, nchan, block_width=1024, keys=("run_id",), scans=Non
     )
 
 
+def with_rates(batches, runs, nchan):
+    """Add each run's ``rate`` and the ``real_rate`` that the device's timer gives it.
+
+    ``runs`` has one row per run: ``run_id``, the requested samples a second and channel ``rate``, and the device's ``model``.
+    The timer paces all channels together; with an external clock (no period) the requested rate stands. A run without
+    a row fails the query.
+    """
+    period = pacer_period(paced_rate(F.col("rate") * F.lit(nchan), F.col("model")))
+    real = F.coalesce(actual_rate(period) / F.lit(nchan), F.col("rate").cast("double"))
+    return lookup_join(batches, runs.select("run_id", "rate", real.alias("real_rate")), ["run_id"])
+
+
 def until_overrun(gated):
     """An overrun ends what was armed: keep what came before the first one."""
     return gated.where(F.col("overruns") == 0)
@@ -134,10 +147,10 @@ def dropped_codes(batches, nchan):
 def readings(numbered, nchan, frequency):
     """Long form of numbered batches: run, batch, scan number, seconds, channel, code, volts.
 
-    ``run_scans`` and ``arm_no`` stay where the batches have them.
+    ``run_scans``, ``arm_no`` and ``rate`` stay where the batches have them; ``frequency`` may be a column.
     """
     scan_no = F.col("scan_offset") + F.col("scan") + 1
-    length = [c for c in ("run_scans", "arm_no") if c in numbered.columns]
+    length = [c for c in ("run_scans", "arm_no", "rate") if c in numbered.columns]
     return deinterleave(numbered, nchan).select(
         "run_id",
         "batch_id",

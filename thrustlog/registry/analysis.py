@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from thrustlog.functions.motor import class_overflow, motor_class
 from thrustlog.operators import analysis as A
 from thrustlog.operators.convert import convert, wide_scans
-from thrustlog.operators.decode import accepted_batches, number_batches, readings
+from thrustlog.operators.decode import accepted_batches, number_batches, readings, with_rates
 from thrustlog.plans.per_run import run_keys
 from thrustlog.registry.decode import ACCEPTED
 from thrustlog.registry.views import (
@@ -13,6 +13,7 @@ from thrustlog.registry.views import (
     RATE,
     SENSOR_NAMES,
     raw_batches,
+    run_settings,
     sensors,
     trace,
     with_views,
@@ -30,8 +31,8 @@ from thrustlog.sources.logs import (
 )
 
 
-def rounded(*names):
-    return [F.round(F.col(n), 6).alias(n) for n in names]
+def rounded(*names, digits=6):
+    return [F.round(F.col(n), digits).alias(n) for n in names]
 
 
 def stored_trace(spark, sf_dir):
@@ -105,9 +106,9 @@ SUMMARY_NUMBERS = [
 ]
 
 
-def rounded_summary(summary):
+def rounded_summary(summary, digits=6):
     return summary.select(
-        *run_keys(summary), "motor_class", "designation", *rounded(*SUMMARY_NUMBERS), "class_overflow"
+        *run_keys(summary), "motor_class", "designation", *rounded(*SUMMARY_NUMBERS, digits=digits), "class_overflow"
     )
 
 
@@ -152,6 +153,18 @@ def gated_run_summary(spark, sf_dir):
     return rounded_summary(A.run_summary(rows, RATE, stored_table))
 
 
+def mixed_rate_summary(spark, sf_dir):
+    """Codes to summary of runs of different rates in one table, on the time axis of the device's real rate.
+
+    Eight digits, as ticks of the device's clock lie half-way between two numbers of six.
+    """
+    runs = run_settings(spark, sf_dir)
+    batches = number_batches(with_rates(raw_batches(spark, sf_dir), runs, CHANNELS), CHANNELS)
+    wide = wide_scans(batches, sensors(spark).collect(), F.col("real_rate"), only=["Load Cell"])
+    rows = stored_table(A.trace_from_wide(wide), "mixed-trace")
+    return rounded_summary(A.run_summary(rows, F.col("rate"), stored_table), 8)
+
+
 def readings_run_summary(spark, sf_dir):
     """The same from long converted readings."""
     rows = stored_table(
@@ -240,6 +253,7 @@ QUERIES = {
     "batch_run_summary": batch_run_summary,
     "gated_run_summary": gated_run_summary,
     "readings_run_summary": readings_run_summary,
+    "mixed_rate_summary": mixed_rate_summary,
     "axis_bounds": axis_bounds,
     "processed_trace": processed_trace,
     "log_run_summary": log_run_summary,
@@ -249,14 +263,14 @@ QUERIES = {
 }
 
 
-def detection(source, prefix):
+def detection(source, prefix, f="5"):
     """Views that detect the burn in ``source``, step by step as the definition reads."""
     p = prefix
     return f"""{p}limits AS (
   SELECT run_id, max(n) AS n,
-         min(y) FILTER (pos >= 5 AND pos < 10) AS starting_min,
-         max(y) FILTER (pos >= 5 AND pos < n - 5) AS test_max,
-         min(y) FILTER (pos >= greatest(n - 10, 0) AND pos < n - 5) AS ending_min
+         min(y) FILTER (pos >= {f} AND pos < 2 * {f}) AS starting_min,
+         max(y) FILTER (pos >= {f} AND pos < n - {f}) AS test_max,
+         min(y) FILTER (pos >= greatest(n - 2 * {f}, 0) AND pos < n - {f}) AS ending_min
   FROM {source} GROUP BY run_id),
 {p}start AS (
   SELECT run_id, coalesce(min(t) FILTER (y > (test_max - starting_min) * 0.10 + starting_min), min(t)) AS start_t
@@ -270,18 +284,19 @@ def detection(source, prefix):
   FROM {source} s JOIN {p}limits l USING (run_id) JOIN {p}start USING (run_id) GROUP BY l.run_id)"""
 
 
-def cutting(source, burn, name, margin=0):
+def cutting(source, burn, name, margin=0, carried=""):
     return f"""{name} AS (
   SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY t) - 1 AS pos,
-         count(*) OVER (PARTITION BY run_id) AS n, round(t - start_t + {margin}, 4) AS t, y - starting_min AS y
-  FROM (SELECT s.run_id, t, y, start_t, starting_min FROM {source} s JOIN {burn} b USING (run_id)
+         count(*) OVER (PARTITION BY run_id) AS n, round(t - start_t + {margin}, 4) AS t, y - starting_min AS y{carried}
+  FROM (SELECT s.run_id, t, y, start_t, starting_min{carried} FROM {source} s JOIN {burn} b USING (run_id)
         WHERE t > start_t - {margin} AND t < end_t + {margin}))"""
 
 
-SUMMARY_VIEWS = """figures AS (
+def summary_views(f="5"):
+    return f"""figures AS (
   SELECT run_id, sum(area) AS impulse, avg(clipped) AS average_thrust, count(*) AS kept
   FROM (SELECT run_id, CASE WHEN y IS NOT NULL THEN greatest(y, 0) END AS clipped,
-               (greatest(y, 0) + lag(greatest(y, 0)) OVER (PARTITION BY run_id ORDER BY pos)) / 2 / 5 AS area,
+               (greatest(y, 0) + lag(greatest(y, 0)) OVER (PARTITION BY run_id ORDER BY pos)) / 2 / {f} AS area,
         FROM cut) GROUP BY run_id),
 classed AS (
   SELECT run_id, average_thrust, kept, CASE WHEN average_thrust IS NOT NULL THEN coalesce(impulse, 0) END AS impulse
@@ -295,13 +310,13 @@ CLASS_LADDER = """CASE
     WHEN {x} <= 10240 THEN 'M' WHEN {x} <= 20480 THEN 'N' WHEN {x} <= 40960 THEN 'O' ELSE '1/8A' END"""
 
 
-def analysed(source_views, source="trace"):
+def analysed(source_views, source="trace", f="5", carried=""):
     return ",\n".join([
         source_views,
-        detection(source, "first_"),
-        cutting(source, "first_burn", "cut"),
-        detection("cut", "again_"),
-        SUMMARY_VIEWS,
+        detection(source, "first_", f),
+        cutting(source, "first_burn", "cut", carried=carried),
+        detection("cut", "again_", f),
+        summary_views(f),
     ])
 
 
@@ -323,6 +338,16 @@ thrust AS (
            / opamp_mul * scalar_adj AS y
   FROM (SELECT *, unnest(range(len // 5)) AS scan FROM scans), sensors WHERE channel = 0)""", "thrust")
 
+# Every run has its own rate; the timer paces five channels, and none of the rates reaches its limits.
+MIXED_BATCHES = analysed(with_views("raw_batches", "numbered", "codes", "sensors") + """,
+settings AS (SELECT c_custkey AS run_id, 3 + c_nationkey % 5 AS rate FROM customer),
+thrust AS (
+  SELECT run_id, pos, count(*) OVER (PARTITION BY run_id) AS n,
+         (pos + 1) / (70000000 / (round_even(70000000 / (rate * 5) - 1, 0) + 1) / 5) AS t,
+         ((code - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE + linear_adj) / opamp_mul * scalar_adj AS y, rate
+  FROM (SELECT c.run_id, scan_offset + scan AS pos, code FROM codes c JOIN numbered USING (run_id, batch_id) WHERE channel = 0)
+       JOIN settings USING (run_id), sensors WHERE channel = 0)""", "thrust", "rate", ", rate")
+
 SUMMARY = """summary AS (
   SELECT b.run_id,
          CASE WHEN average_thrust IS NOT NULL THEN """ + CLASS_LADDER.format(x="impulse") + """ END AS motor_class,
@@ -399,6 +424,7 @@ SELECT run_id, round(seconds, 6) AS seconds, {across('y')} FROM around GROUP BY
     "batch_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
     "gated_run_summary": GATED_BATCHES + ",\n" + SUMMARY + f"""
 SELECT run_id.run AS run_id, run_id.arm AS arm_no, COLUMNS(* EXCLUDE (run_id)) FROM ({SELECT_SUMMARY})""",
+    "mixed_rate_summary": MIXED_BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY.replace(", 6)", ", 8)"),
     "readings_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
     "axis_bounds": AROUND + """,
 stepped AS (

@@ -5,6 +5,7 @@ Every view is derived row by row from a whole table, so its size grows with the
 
 from pyspark.sql import functions as F
 
+from thrustlog.constants import FAST_MODEL
 from thrustlog.operators.analysis import trace_with_gaps
 from thrustlog.plans.scan import time_block
 from thrustlog.session import spread
@@ -110,6 +111,16 @@ def raw_batches(spark, sf_dir):
     )
 
 
+def run_settings(spark, sf_dir):
+    """Sampling rate and device model of every run; customers are runs."""
+    nation = F.col("c_nationkey")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("run_id"),
+        (F.lit(3) + nation % 5).alias("rate"),
+        F.when(nation % 2 == 0, F.lit(FAST_MODEL)).otherwise(F.lit("")).alias("model"),
+    )
+
+
 def sensors(spark):
     text = spark.createDataFrame([(SENSOR_CONFIG,)], "value string")
     return config_rows(text)
