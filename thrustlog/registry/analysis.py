@@ -19,6 +19,7 @@ from thrustlog.registry.views import (
     with_views,
 )
 from thrustlog.session import shared_folder, stored_table
+from thrustlog.sources.dumps import read_dumps, write_dumps
 from thrustlog.sources.logs import (
     append_log,
     melt,
@@ -145,14 +146,25 @@ def batch_run_summary(spark, sf_dir):
     return rounded_summary(A.run_summary(thrust_trace(spark, sf_dir), RATE, stored_table))
 
 
-def gated_run_summary(spark, sf_dir):
+def summary_of_accepted(spark, batches):
     """Codes to summary of what the logger would have stored, one row per arming of a run."""
-    batches = accepted_batches(raw_batches(spark, sf_dir), CHANNELS, RATE)
-    wide = wide_scans(batches, sensors(spark).collect(), RATE, only=["Load Cell"])
+    wide = wide_scans(accepted_batches(batches, CHANNELS, RATE), sensors(spark).collect(), RATE, only=["Load Cell"])
     rows = stored_table(A.trace_from_wide(wide), "gated-trace")
     return rounded_summary(A.run_summary(rows, RATE, stored_table))
 
 
+def gated_run_summary(spark, sf_dir):
+    return summary_of_accepted(spark, raw_batches(spark, sf_dir))
+
+
+def dump_run_summary(spark, sf_dir):
+    """The same from dump files: bytes to batches, stored since the gates read them twice, then scans and summary."""
+    folder = shared_folder(spark, "dumps")
+    write_dumps(raw_batches(spark, sf_dir), folder)
+    batches = stored_table(read_dumps(spark, folder), "dumped")
+    return summary_of_accepted(spark, batches.withColumn("run_id", F.col("run_id").cast("long")))
+
+
 def mixed_rate_summary(spark, sf_dir):
     """Codes to summary of runs of different rates in one table, on the time axis of the device's real rate.
 
@@ -252,6 +264,7 @@ QUERIES = {
     "summary_text": summary_text,
     "batch_run_summary": batch_run_summary,
     "gated_run_summary": gated_run_summary,
+    "dump_run_summary": dump_run_summary,
     "readings_run_summary": readings_run_summary,
     "mixed_rate_summary": mixed_rate_summary,
     "axis_bounds": axis_bounds,
@@ -384,6 +397,9 @@ def across(prefix, value="value"):
     return ", ".join(f"round(max({value}) FILTER (channel = {i}), 6) AS {prefix}{i}" for i in range(CHANNELS))
 
 
+GATED_SUMMARY = GATED_BATCHES + ",\n" + SUMMARY + f"""
+SELECT run_id.run AS run_id, run_id.arm AS arm_no, COLUMNS(* EXCLUDE (run_id)) FROM ({SELECT_SUMMARY})"""
+
 ORACLE = {
     "burn_start": EVENTS + """
 SELECT run_id, n, round(starting_min, 6) AS starting_min, round(test_max, 6) AS test_max,
@@ -422,8 +438,8 @@ SELECT run_id, round(seconds, 6) AS seconds, {across('v', 'volts')} FROM reading
     "processed_log": around(1) + f"""
 SELECT run_id, round(seconds, 6) AS seconds, {across('y')} FROM around GROUP BY run_id, seconds""",
     "batch_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
-    "gated_run_summary": GATED_BATCHES + ",\n" + SUMMARY + f"""
-SELECT run_id.run AS run_id, run_id.arm AS arm_no, COLUMNS(* EXCLUDE (run_id)) FROM ({SELECT_SUMMARY})""",
+    "gated_run_summary": GATED_SUMMARY,
+    "dump_run_summary": GATED_SUMMARY,
     "mixed_rate_summary": MIXED_BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY.replace(", 6)", ", 8)"),
     "readings_run_summary": BATCHES + ",\n" + SUMMARY + SELECT_SUMMARY,
     "axis_bounds": AROUND + """,

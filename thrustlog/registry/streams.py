@@ -27,6 +27,7 @@ from thrustlog.registry.views import (
 )
 from thrustlog.plans.scan import time_block
 from thrustlog.session import shared_folder, stored_table
+from thrustlog.sources import dumps
 from thrustlog.streaming import acks as stream_ack
 from thrustlog.streaming import control, ingest, view
 from thrustlog.streaming.carried import BatchOutput, CarriedTable
@@ -35,18 +36,24 @@ from thrustlog.streaming.carried import BatchOutput, CarriedTable
 PARTS = 4
 
 
-def feed(df, order, folder, start):
-    """Write ``df`` in parts along ``order`` and drain the stream after each; last query returned."""
+def feed(df, order, folder, start, write=None, parts=PARTS):
+    """Write ``df`` in parts along ``order`` and drain the stream after each; last query returned.
+
+    ``write`` puts a part in the folder in a form of its own, which ``start`` then has to read itself.
+    """
     spark = df.sparkSession
     low, high = df.agg(F.min(order), F.max(order)).first()
-    width = (high - low) / PARTS
+    width = (high - low) / parts
     query = None
-    for part in range(PARTS):
+    for part in range(parts):
         rows = df.where(F.col(order) >= F.lit(low + part * width)) if part else df
-        if part < PARTS - 1:
+        if part < parts - 1:
             rows = rows.where(F.col(order) < F.lit(low + (part + 1) * width))
-        rows.write.mode("append").parquet(folder)
-        query = start(spark.readStream.schema(df.schema).parquet(folder))
+        if write:
+            write(rows, folder)
+        else:
+            rows.write.mode("append").parquet(folder)
+        query = start(None if write else spark.readStream.schema(df.schema).parquet(folder))
         query.awaitTermination()
     return query
 
@@ -55,20 +62,23 @@ def by_string_run(df):
     return df.withColumn("run_id", F.col("run_id").cast("string"))
 
 
-def convert_stream(spark, sf_dir, name, batches, max_seconds):
-    """The readings that a stream of raw batches leaves behind; files come in by bounded intake."""
+def convert_stream(spark, sf_dir, name, batches, max_seconds, source=None, **fed):
+    """The readings that a stream of raw batches leaves behind; files come in by bounded intake.
+
+    ``source`` reads the folder that ``feed``, given ``fed``, puts the parts in; without it the files are Parquet.
+    """
     base = shared_folder(spark, name)
     carried = CarriedTable(spark, f"{base}/runs", T._parse_datatype_string(ingest.RUN_STATE))
     output = BatchOutput(f"{base}/readings")
+    source = source or (lambda folder: ingest.raw_batch_stream(spark, folder, schema=batches.schema))
 
     def start(_):
-        stream = ingest.raw_batch_stream(spark, f"{base}/in", schema=batches.schema)
         return ingest.ingest(
-            stream, sensors(spark), CHANNELS, RATE, carried, output, f"{base}/checkpoint",
+            source(f"{base}/in"), sensors(spark), CHANNELS, RATE, carried, output, f"{base}/checkpoint",
             max_seconds=max_seconds, availableNow=True,
         )
 
-    feed(batches, "batch_id", f"{base}/in", start)
+    feed(batches, "batch_id", f"{base}/in", start, **fed)
     kept = "run_id string, arm_no long, scan_no long, sensor_name string, value double"
     return output.read(spark, kept).select(
         F.col("run_id").cast("long").alias("run_id"), "arm_no", "scan_no", "sensor_name",
@@ -87,6 +97,21 @@ def stream_run_time(spark, sf_dir):
     return convert_stream(spark, sf_dir, "stream-run-time", batches, RUN_SECONDS)
 
 
+def stream_dumps(spark, sf_dir):
+    """The same from dump files of many batches, more of them per part than a micro-batch may take.
+
+    A run lies in one file of a part, so its batches come in order whichever files are taken first.
+    """
+    files = spark.sparkContext.defaultParallelism
+    batches = by_string_run(raw_batches(spark, sf_dir)).drop("ts")
+    return convert_stream(
+        spark, sf_dir, "stream-dumps", batches, 0,
+        source=lambda folder: dumps.stream_dumps(spark, folder, files_per_trigger=max(files // 2, 1)),
+        write=lambda rows, folder: dumps.write_dumps(rows.repartition(files, "run_id"), folder, "append"),
+        parts=2,
+    )
+
+
 def stream_state(spark, sf_dir):
     base = shared_folder(spark, "stream-state")
     carried = CarriedTable(spark, f"{base}/stands", T._parse_datatype_string(control.STAND_STATE))
@@ -252,6 +277,7 @@ def stream_finish(spark, sf_dir):
 QUERIES = {
     "stream_convert": stream_convert,
     "stream_run_time": stream_run_time,
+    "stream_dumps": stream_dumps,
     "stream_state": stream_state,
     "stream_route": stream_route,
     "stream_acks": stream_acks,
@@ -291,6 +317,7 @@ FROM codes JOIN sensors USING (channel)"""
 
 ORACLE = {
     "stream_convert": converted_sql("true"),
+    "stream_dumps": converted_sql("true"),
     "stream_run_time": converted_sql(f"scan_offset / 5.0 <= {RUN_SECONDS}"),
     "stream_state": QC.ORACLE["relay_timeline"],
     "stream_route": with_views("commands") + """
