@@ -18,6 +18,7 @@ from thrustlog.registry.views import (
     CHANNELS,
     RATE,
     RUN_SECONDS,
+    VIEWS,
     commands,
     micros,
     raw_batches,
@@ -28,12 +29,14 @@ from thrustlog.registry.views import (
 from thrustlog.plans.scan import time_block
 from thrustlog.session import shared_folder, stored_table
 from thrustlog.sources import dumps
+from thrustlog.sources.packets import stream_packets
 from thrustlog.streaming import acks as stream_ack
-from thrustlog.streaming import control, ingest, view
+from thrustlog.streaming import control, ingest, packets, view
 from thrustlog.streaming.carried import BatchOutput, CarriedTable
 
 
 PARTS = 4
+PACKET_TIMEOUT_SEC = 3 * 86_400
 
 
 def feed(df, order, folder, start, write=None, parts=PARTS):
@@ -127,6 +130,44 @@ def stream_state(spark, sf_dir):
     return output.read(spark, kept)
 
 
+def write_packets(packets, folder):
+    """Packets as lines of JSON; every 43rd line was cut short on its way."""
+    line = F.to_json(F.struct(*packets.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    cut = F.when(F.col("id") % 43 == 0, F.expr("left(line, 30)")).otherwise(F.col("line"))
+    packets.select("id", line.alias("line")).select(cut.alias("value")).write.mode("append").text(folder)
+
+
+def received_packets(spark, sf_dir):
+    """All that a stream of packet files leaves behind: timeline, answers, messages still waiting, damaged lines."""
+    base = shared_folder(spark, "stream-packets")
+    stands = CarriedTable(spark, f"{base}/stands", T._parse_datatype_string(control.STAND_STATE))
+    waiting = CarriedTable(spark, f"{base}/waiting", T._parse_datatype_string(packets.WAITING))
+    timeline, answers, damaged = (BatchOutput(f"{base}/{name}") for name in ("timeline", "answers", "damaged"))
+
+    def start(_):
+        return packets.receive(
+            stream_packets(spark, f"{base}/in"), stands, waiting, timeline, answers, damaged, f"{base}/checkpoint",
+            timeout_sec=PACKET_TIMEOUT_SEC, availableNow=True,
+        )
+
+    last = feed(QC.packets(spark, sf_dir), "ts", f"{base}/in", start, write=write_packets)
+    return timeline, answers, waiting.before(last.lastProgress["batchId"] + 1), damaged
+
+
+def stream_packet_timeline(spark, sf_dir):
+    timeline, _, _, _ = received_packets(spark, sf_dir)
+    kept = "remoteid long, id long, state string, " + ", ".join(f"{r} boolean" for r in RELAYS)
+    return timeline.read(spark, kept)
+
+
+def stream_packet_acks(spark, sf_dir):
+    """Every message with its acknowledgement, answered in time or not, or still waiting at the end."""
+    _, answers, waiting, _ = received_packets(spark, sf_dir)
+    over = answers.read(spark, "id long, ts timestamp, ack_ts timestamp")
+    open_now = waiting.withColumn("ack_ts", F.lit(None).cast("timestamp"))
+    return over.unionByName(open_now).select("id", micros("ts"), micros("ack_ts"))
+
+
 def stream_route(spark, sf_dir):
     base = shared_folder(spark, "stream-route")
     rows = commands(spark, sf_dir)
@@ -279,6 +320,8 @@ QUERIES = {
     "stream_run_time": stream_run_time,
     "stream_dumps": stream_dumps,
     "stream_state": stream_state,
+    "stream_packet_timeline": stream_packet_timeline,
+    "stream_packet_acks": stream_packet_acks,
     "stream_route": stream_route,
     "stream_acks": stream_acks,
     "stream_view": stream_view,
@@ -320,6 +363,18 @@ ORACLE = {
     "stream_dumps": converted_sql("true"),
     "stream_run_time": converted_sql(f"scan_offset / 5.0 <= {RUN_SECONDS}"),
     "stream_state": QC.ORACLE["relay_timeline"],
+    "stream_packet_timeline": with_views("messages") + f""",
+received AS (
+  SELECT remoteid, ts, id, command FROM parsed
+  WHERE command IN {QC.NAMES} AND remoteid IS NOT NULL AND id % 43 <> 0),
+""" + VIEWS["timeline"].replace("FROM commands", "FROM received") + """
+SELECT remoteid, id, state, fill_solenoid, dump_solenoid, ignition, warn_lights FROM relays""",
+    "stream_packet_acks": with_views("commands") + f""",
+arrived AS (SELECT * FROM commands WHERE id % 43 <> 0)
+SELECT m.id, epoch_us(m.ts) AS ts_us, epoch_us(min(a.ts)) AS ack_ts_us
+FROM arrived m LEFT JOIN arrived a ON a.id % 7 = 0 AND a.id - 1 = m.id AND a.ts >= m.ts
+     AND a.ts <= m.ts + INTERVAL {PACKET_TIMEOUT_SEC} SECOND
+GROUP BY m.id, m.ts""",
     "stream_route": with_views("commands") + """
 SELECT remoteid, id, command FROM commands""",
     "stream_acks": with_views("sent") + """

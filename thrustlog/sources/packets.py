@@ -14,6 +14,8 @@ from thrustlog.constants import (
 from thrustlog.functions.device import calibration_time
 from thrustlog.schemas import CAL_IMAGE_ROW, PACKET
 
+DAMAGED = "_damaged"
+
 
 def decode_codes(packets, content="content"):
     """Replace a binary column by ``data``, its little-endian 16-bit codes."""
@@ -104,6 +106,7 @@ def read_packets(spark, path):
 
 
 def stream_packets(spark, path, files_per_batch=50):
-    return (
-        spark.readStream.schema(PACKET).option("maxFilesPerTrigger", files_per_batch).json(path)
-    )
+    """The same as a stream; a line that is no packet comes whole in ``_damaged``."""
+    schema = T.StructType([*PACKET.fields, T.StructField(DAMAGED, T.StringType())])
+    files = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", DAMAGED)
+    return files.option("maxFilesPerTrigger", files_per_batch).json(path)
