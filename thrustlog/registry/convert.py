@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from thrustlog.operators import calibrate as K
 from thrustlog.operators import convert as C
 from thrustlog.operators.decode import number_batches, readings
+from thrustlog.operators.fleet import fleet_wide_scans as wide_of_fleet
+from thrustlog.operators.fleet import stand_sensors, with_channels
 from thrustlog.registry.views import (
     CHANNELS,
     RATE,
@@ -107,6 +109,24 @@ def config_roundtrip(spark, sf_dir):
     )
 
 
+def mixed_config(spark, sf_dir):
+    """Stands of different sensors: a third has three channels only, another its channels the other way round."""
+    kind = F.col("run_id") % 3
+    return (
+        stand_config(spark, sf_dir)
+        .withColumn("run_id", F.col("stand_id").cast("long"))
+        .where((kind != 0) | (F.col("channel") < 3))
+        .withColumn("channel", F.when(kind == 1, F.lit(4) - F.col("channel")).otherwise(F.col("channel")))
+    )
+
+
+def fleet_wide_scans(spark, sf_dir):
+    """Wide scans of a whole fleet, each stand by its own configuration."""
+    stands = stand_sensors(mixed_config(spark, sf_dir), SENSOR_NAMES)
+    batches = number_batches(with_channels(raw_batches(spark, sf_dir), stands), F.col("nchan"))
+    return _short(wide_of_fleet(batches, stands, SENSOR_NAMES, RATE))
+
+
 def references(spark, sf_dir):
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
@@ -185,6 +205,7 @@ QUERIES = {
     "convert_sensors": convert_sensors,
     "wide_pivot": wide_pivot,
     "wide_scans": wide_scans,
+    "fleet_wide_scans": fleet_wide_scans,
     "log_roundtrip": log_roundtrip,
     "live_feed": live_feed,
     "sensor_order": sensor_order,
@@ -231,6 +252,30 @@ SELECT run_id, scan_no, sensor_name, units, round(value, 6) AS value FROM conver
     "wide_pivot": WIDE,
     "wide_scans": WIDE,
     "log_roundtrip": WIDE,
+    "fleet_wide_scans": with_views("raw_batches", "sensors") + """,
+fleet AS (
+  SELECT c_custkey AS run_id, CASE WHEN c_custkey % 3 = 1 THEN 4 - channel ELSE channel END AS channel,
+         sensor_name, sensor_type, linear_adj + c_acctbal AS linear_adj, opamp_mul, scalar_adj, max_psi
+  FROM customer, sensors WHERE c_custkey % 3 <> 0 OR channel < 3),
+widths AS (SELECT run_id, count(*) AS nchan FROM fleet GROUP BY run_id),
+placed AS (
+  SELECT b.*, nchan, coalesce(sum(len // nchan) OVER (PARTITION BY run_id ORDER BY batch_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS scan_offset
+  FROM raw_batches b JOIN widths USING (run_id)),
+fleet_codes AS (
+  SELECT run_id, CAST(scan_offset + i // nchan + 1 AS BIGINT) AS scan_no, i % nchan AS channel,
+         (cents % 2048 + i * (1 + run_id % 60) - 2048) * 10.0::DOUBLE / 2048.0::DOUBLE AS volts
+  FROM (SELECT *, unnest(range((len // nchan) * nchan)) AS i FROM placed)),
+fleet_values AS (
+  SELECT run_id, scan_no, sensor_name,
+         CASE sensor_type WHEN 'loadcell' THEN (volts + linear_adj) / opamp_mul
+              WHEN 'temp' THEN ((volts + linear_adj) / opamp_mul - 1.25) / 0.005::DOUBLE
+              ELSE ((volts + linear_adj) / opamp_mul) / 4 * max_psi END * scalar_adj AS value
+  FROM fleet_codes JOIN fleet USING (run_id, channel))
+SELECT run_id, scan_no, CAST(scan_no AS DOUBLE) / 5 AS seconds, """ + ", ".join(
+        f"round(max(value) FILTER (sensor_name = '{n}'), 6) AS {s}" for n, s in zip(SENSOR_NAMES, SHORT)
+    ) + """
+FROM fleet_values GROUP BY run_id, scan_no""",
     "live_feed": with_views("converted") + """
 SELECT run_id, sensor_name, raw, count(*) AS points,
        round(min(CASE WHEN raw THEN volts ELSE value END), 6) AS low,
