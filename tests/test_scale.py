@@ -8,6 +8,7 @@ from thrustlog.operators.convert import convert
 from thrustlog.operators.decode import number_batches, readings
 from thrustlog.operators.view import latest_points
 from thrustlog.plans.scan import number_block
+from thrustlog.registry.streams import feed
 from thrustlog.registry.views import CHANNELS, RATE, SENSOR_CONFIG
 from thrustlog.sources.config import config_rows
 
@@ -51,3 +52,21 @@ def test_readings_are_neither_broadcast_nor_shuffled_by_channel(spark, batches):
 
 def test_block_table_is_not_broadcast(spark, batches):
     assert "BroadcastExchange" not in plan_of(number_batches(batches, CHANNELS))
+
+
+def test_feed_computes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(tables):
+        for table in tables:
+            seen.add(table.num_rows)
+            yield table
+
+    class Drained:
+        def awaitTermination(self):
+            pass
+
+    rows = spark.range(100).mapInArrow(counted, "id long")
+    feed(rows, "id", str(tmp_path / "in"), lambda stream: Drained())
+    assert seen.value == 100
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "in")).collect()) == list(range(100))
