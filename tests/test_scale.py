@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from thrustlog.operators.analysis import trace_from_readings
-from thrustlog.operators.convert import convert
+from thrustlog.operators.convert import convert, wide
 from thrustlog.operators.decode import number_batches, readings
 from thrustlog.operators.view import latest_points
 from thrustlog.plans.scan import number_block
 from thrustlog.registry.streams import feed
-from thrustlog.registry.views import CHANNELS, RATE, SENSOR_CONFIG
+from thrustlog.registry.views import CHANNELS, RATE, SENSOR_CONFIG, SENSOR_NAMES
 from thrustlog.sources.config import config_rows
 
 CODES = 3000
@@ -54,6 +54,25 @@ def test_block_table_is_not_broadcast(spark, batches):
     assert "BroadcastExchange" not in plan_of(number_batches(batches, CHANNELS))
 
 
+def test_wide_moves_scans_not_readings(spark, batches):
+    plan = plan_of(wide(converted(spark, batches), SENSOR_NAMES))
+    assert plan.count("hashpartitioning(run_id") == plan.count("hashpartitioning(") and "sensor_name" not in "".join(
+        line for line in plan.splitlines() if "Exchange hash" in line
+    )
+
+
+def test_wide_values(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, 0.2, "a", 5.0), (1, 1, 0.2, "b", None), (1, 2, 0.4, "b", 7.0), (None, 1, 0.2, "a", 8.0), (1, 2, 0.4, "other", 9.0)],
+        "run_id long, scan_no long, seconds double, sensor_name string, value double",
+    )
+    got = wide(rows, ["a", "b"])
+    assert got.columns == ["run_id", "scan_no", "seconds", "a", "b"]
+    assert sorted(map(tuple, got.collect()), key=str) == [
+        (1, 1, 0.2, 5.0, None), (1, 2, 0.4, None, 7.0), (None, 1, 0.2, 8.0, None),
+    ]
+
+
 def test_feed_computes_its_rows_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
