@@ -70,6 +70,17 @@ def test_a_file_whose_merges_fall_contracts_one_pair_a_step(spark, tmp_path):
     assert ids(own, texts)[0] == library.encode_ordinary_batch(texts)
 
 
+def test_work_follows_the_neighbours_that_change(own, library, monkeypatch):
+    """Words that cannot merge any more leave, and only new neighbours are looked up again."""
+    draw, rows = random.Random(3), []
+    words = ["".join(draw.choice("etaoinsh") for _ in range(draw.randrange(5, 12))) for _ in range(5000)] + ["x" * 3000]
+    look = own._pair_ranks
+    monkeypatch.setattr(own, "_pair_ranks", lambda word, ids, at: rows.append(len(at)) or look(word, ids, at))
+    own.known.clear()
+    assert ids(own, words)[0] == library.encode_ordinary_batch(words)
+    assert sum(rows) < 3 * sum(map(len, words))
+
+
 def test_portions_and_memory_are_bounded(own, monkeypatch):
     monkeypatch.setattr(rank_bpe, "PORTION", 7)
     monkeypatch.setattr(rank_bpe, "KEPT_WORDS", 20)

@@ -1,16 +1,16 @@
-"""Byte-level BPE by recursive DuckDB queries in each partition (operator 12).
+"""Byte-level BPE by rounds of contractions over columns of word and id in each partition (operator 12).
 
 The vocabulary is a rank file: token bytes and rank, which is the id. Every match of the pattern is a word.
-The words of a run of texts that are not remembered become rows (word, position, id), one per byte. A recursive
-query joins neighbouring rows to the merge table and contracts each word's leftmost pair of least rank until no
-pair of it can merge; decoding joins ids to token bytes and aggregates them in order of position.
+The words of a run of texts that are not remembered become rows (word, id) in order of position, one per byte. Every
+round looks new neighbours up in the merge table and contracts each word's leftmost pair of least rank; a word without
+a pair that can merge leaves. Decoding joins ids to token bytes and aggregates them in order of position.
 
 Where the ranks of a token's own merges never fall, a contraction makes no pair of lesser rank, so further pairs of
-the same rank in the word are contracted in the same step, from left to right and without overlap. The file is
-checked for that; with another file each step contracts the leftmost pair only.
+the same rank in the word are contracted in the same round, from left to right and without overlap. The file is
+checked for that; with another file each round contracts the leftmost pair only.
 
 Texts are read in portions of at most ``PORTION`` words, so neither ids nor rows of a long text are held at once.
-A single word needs about 300 bytes of memory for each of its bytes. Null and empty texts have no tokens; null ids and
+A single word needs about 100 bytes of memory for each of its bytes. Null and empty texts have no tokens; null ids and
 repeated rows are coded row by row; extra columns are not read; an empty table gives no rows.
 """
 
@@ -36,26 +36,7 @@ CHUNK_BYTES = 1 << 17
 KEPT_BYTES = 8 << 20
 KEPT_WORDS = 500_000
 MEMORY_MB = 256
-
-MERGE = """
-WITH RECURSIVE state(pos, word, id, after) USING KEY (pos) AS (
-  SELECT pos, word, id, pos + 1 FROM symbols
-  UNION
-  (WITH live AS (
-     SELECT s.pos, s.word, s.id, s.after FROM recurring.state AS s WHERE s.id >= 0 AND s.word IN (SELECT word FROM state)),
-   pairs AS (
-     SELECT l.word, l.pos, l.after, r.after AS beyond, m.merged
-     FROM live l JOIN live r ON r.pos = l.after AND r.word = l.word JOIN merges m ON m.left_id = l.id AND m.right_id = r.id),
-   least AS (SELECT word, min(merged) AS merged, min_by(pos, (merged, pos)) AS first FROM pairs GROUP BY word),
-   hits AS (
-     SELECT p.*, p.pos = least.first AS leftmost, row_number() OVER line AS place, lag(p.after) OVER line IS NOT DISTINCT FROM p.pos AS goes_on
-     FROM pairs p JOIN least ON p.word = least.word AND p.merged = least.merged WINDOW line AS (ORDER BY p.pos)),
-   placed AS (SELECT *, place - max(CASE WHEN goes_on THEN NULL ELSE place END) OVER (ORDER BY pos) AS behind FROM hits),
-   taken AS (SELECT * FROM placed WHERE leftmost OR ($together AND behind % 2 = 0))
-   SELECT pos, word, merged, beyond FROM taken UNION ALL SELECT after, word, -1, -1 FROM taken)
-)
-SELECT word, id FROM state WHERE id >= 0 ORDER BY pos
-"""
+NO_PAIR = np.iinfo(np.int32).max
 
 # one thread aggregates the ordered rows; token bytes are held as the characters of the same numbers
 DECODE = """
@@ -119,8 +100,12 @@ class RankCodec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         self._store("tokens", {"id": pa.array(ranks.values(), pa.int32()), "text": pa.array([x.decode("latin-1") for x in ranks])})
         splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        columns = zip(("left_id", "right_id", "merged"), np.array(splits, np.int32).reshape(-1, 3).T, strict=True)
-        self._store("merges", {name: pa.array(np.ascontiguousarray(x)) for name, x in columns})
+        left, right, merged = np.array(splits, np.int64).reshape(-1, 3).T
+        self.base = max(ranks.values()) + 1
+        order = np.argsort(left * self.base + right)
+        # a last row that no pair has, so that every search ends at a row
+        self.pairs = np.append((left * self.base + right)[order], self.base**2)
+        self.merged = np.append(merged[order], NO_PAIR).astype(np.int32)
 
     def _store(self, name, columns):
         self.db.register("given", pa.table(columns))
@@ -169,22 +154,58 @@ class RankCodec:
                 chunk, n = [], 0
         self._merge(chunk, n)
 
+    def _pair_ranks(self, word, ids, at):
+        """Rank of each pair that starts at a row of ``at``; no pair goes beyond its word."""
+        at = at[at < len(ids) - 1]
+        pairs = ids[at].astype(np.int64) * self.base + ids[at + 1]
+        place = np.searchsorted(self.pairs, pairs)
+        known = (self.pairs[place] == pairs) & (word[at] == word[at + 1])
+        return at, np.where(known, self.merged[place], NO_PAIR)
+
+    def _taken(self, word, rank, least):
+        """Rows whose pair is contracted in this round: the leftmost of least rank of a word, or all without overlap."""
+        hits = np.flatnonzero(rank == least)
+        if not self.together:
+            return hits[np.diff(word[hits], prepend=-1) != 0]
+        place = np.arange(len(hits))
+        first = np.maximum.accumulate(np.where(np.diff(hits, prepend=-2) != 1, place, 0))
+        return hits[(place - first) % 2 == 0]
+
+    def _contracted(self, word, ids):
+        """Word and id of every token, a word's in turn, from the words' bytes; ``word`` never falls."""
+        rank, done = np.full(len(ids), NO_PAIR, np.int32), []
+        at, found = self._pair_ranks(word, ids, np.arange(len(ids)))
+        rank[at] = found
+        while len(ids):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(ids)))
+            live = least != NO_PAIR
+            if not live.all():
+                done.append((word[~live], ids[~live]))
+                word, ids, rank, least = word[live], ids[live], rank[live], least[live]
+            taken = self._taken(word, rank, least)
+            ids[taken] = rank[taken]
+            kept = np.ones(len(ids), bool)
+            kept[taken + 1] = False
+            word, ids, rank = word[kept], ids[kept], rank[kept]
+            taken -= np.arange(len(taken))
+            for at in (taken, taken[taken > 0] - 1):  # new neighbours to the right and to the left
+                rank[at] = NO_PAIR
+                at, found = self._pair_ranks(word, ids, at)
+                rank[at] = found
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        return word[order], ids[order]
+
     def _merge(self, chunk, n):
         if not chunk:
             return
         word = np.repeat(np.arange(len(chunk), dtype=np.int32), [len(raw) for _, raw in chunk])
-        ids = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in chunk), np.uint8)]
-        self.db.register("symbols", pa.table({"pos": np.arange(n, dtype=np.int32), "word": word, "id": ids}))
-        if (needed := n * 320 >> 20) > MEMORY_MB:  # one very long word
-            self.db.execute(f"SET memory_limit = '{needed}MB'")
-        found = self.db.sql(MERGE.replace("$together", str(self.together).lower())).to_arrow_table()
-        coded, counts = found["id"].to_numpy().astype("<u4").tobytes(), np.bincount(found["word"].to_numpy(), minlength=len(chunk))
+        word, ids = self._contracted(word, self.byte_ids[np.frombuffer(b"".join(raw for _, raw in chunk), np.uint8)])
+        coded, counts = ids.astype("<u4").tobytes(), np.bincount(word, minlength=len(chunk))
         ends = (4 * np.cumsum(counts)).tolist()
         for (text, _), a, b in zip(chunk, [0, *ends], ends, strict=False):
             self.known[text] = coded[a:b]
-        self.db.unregister("symbols")
-        if needed > MEMORY_MB:
-            self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
 
     def decode(self, coded):
         """The bytes of each list of ids; ids are little-endian unsigned 32-bit integers."""
