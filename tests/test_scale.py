@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from thrustlog.operators.analysis import trace_from_readings
-from thrustlog.operators.convert import convert, wide
+from thrustlog.operators.convert import convert, live_feed, wide
 from thrustlog.operators.decode import number_batches, readings
 from thrustlog.operators.view import latest_points
 from thrustlog.plans.scan import number_block
+from thrustlog.registry.convert import live_feed as live_feed_query
 from thrustlog.registry.streams import feed
 from thrustlog.registry.views import CHANNELS, RATE, SENSOR_CONFIG, SENSOR_NAMES
 from thrustlog.sources.config import config_rows
@@ -89,3 +90,20 @@ def test_feed_computes_its_rows_once(spark, tmp_path):
     feed(rows, "id", str(tmp_path / "in"), lambda stream: Drained())
     assert seen.value == 100
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "in")).collect()) == list(range(100))
+
+
+def test_live_feed_passes_over_the_readings_once(spark):
+    plan = plan_of(live_feed_query(spark, "/root/testdata/sf0.001"))
+    assert plan.count("posexplode(") == 1 and "hashpartitioning(run_id" in plan and "hashpartitioning(run_id, sensor_name, raw" not in plan
+
+
+def test_live_feed_of_both_modes(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, 0.2, "a", 5.0, 50.0), (1, 2, 0.4, "a", None, 60.0), (None, 1, 0.2, None, 7.0, None), (1, 1, 0.2, "a", 5.0, 50.0)],
+        "run_id long, scan_no long, seconds double, sensor_name string, volts double, value double",
+    )
+    both = live_feed(rows, raw_voltage=None)
+    assert both.columns == ["run_id", "scan_no", "seconds", "sensor_name", "raw", "y"]
+    for raw in (True, False):
+        mode = both.where(F.col("raw") == raw).drop("raw").collect()
+        assert sorted(map(str, mode)) == sorted(map(str, live_feed(rows, raw_voltage=raw).collect()))

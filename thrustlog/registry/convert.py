@@ -67,14 +67,19 @@ def log_roundtrip(spark, sf_dir):
 
 
 def live_feed(spark, sf_dir):
-    """Feed of a whole fleet in raw and in converted mode."""
-    rows = converted(spark, sf_dir)
-    raw = C.live_feed(rows, raw_voltage=True).withColumn("raw", F.lit(True))
-    values = C.live_feed(rows).withColumn("raw", F.lit(False))
-    return raw.unionByName(values).groupBy("run_id", "sensor_name", "raw").agg(
-        F.count("*").alias("points"), F.round(F.min("y"), 6).alias("low"),
-        F.round(F.max("y"), 6).alias("high"),
-    )
+    """Feed of a whole fleet in raw and in converted mode; both modes of a run and sensor share a row of the shuffle."""
+    feed = C.live_feed(converted(spark, sf_dir), raw_voltage=None)
+
+    def figures(raw):
+        of_mode = F.col("raw") == raw
+        y = F.when(of_mode, F.col("y"))
+        return F.struct(
+            F.lit(raw).alias("raw"), F.count_if(of_mode).alias("points"), F.round(F.min(y), 6).alias("low"),
+            F.round(F.max(y), 6).alias("high"),
+        )
+
+    per_sensor = feed.groupBy("run_id", "sensor_name").agg(F.array(figures(True), figures(False)).alias("_modes"))
+    return per_sensor.select("run_id", "sensor_name", F.inline("_modes"))
 
 
 def sensor_order(spark, sf_dir):
