@@ -46,6 +46,24 @@ def test_reports(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(path).collect()) == ["one", "two"]
 
 
+def test_folders_of_many_runs_are_listed_by_few_tasks(spark, tmp_path):
+    rows = spark.range(150).selectExpr("concat('run ', id) AS run_id", "0.2D AS seconds", "1D AS `Load Cell`", "2D AS `Tank Pressure`")
+    path = str(tmp_path / "log")
+    logs.append_log(rows.coalesce(1), path)
+    given, status = spark.conf.get(logs.LISTING_TASKS), spark.sparkContext.statusTracker()
+    for read, group in ((lambda: logs.read_partitioned_log(spark, path, NAMES), "by key"), (lambda: logs.read_log(spark, path, NAMES, "*.csv"), "by label")):
+        spark.sparkContext.setJobGroup(group, "listing")
+        try:
+            back = read()
+            jobs = [status.getJobInfo(job) for job in status.getJobIdsForGroup(group)]
+            tasks = [status.getStageInfo(stage).numTasks for job in jobs for stage in job.stageIds]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert tasks and max(tasks) <= 8 * spark.sparkContext.defaultParallelism
+        assert back.select("run_id").distinct().count() == 150
+    assert spark.conf.get(logs.LISTING_TASKS) == given
+
+
 def test_config_file(spark, tmp_path):
     (tmp_path / "sensors.json").write_text(SENSOR_CONFIG)
     read = config.read_config(spark, str(tmp_path / "sensors.json"))
