@@ -64,6 +64,116 @@ def test_folders_of_many_runs_are_listed_by_few_tasks(spark, tmp_path):
     assert spark.conf.get(logs.LISTING_TASKS) == given
 
 
+RUNS = "run_id string, seconds double, `Load Cell` double, `Tank Pressure` double"
+
+
+def started_processes():
+    """Processes that this machine has started so far."""
+    with open("/proc/stat") as f:
+        return next(int(line.split()[1]) for line in f if line.startswith("processes "))
+
+
+def test_files_of_many_runs_start_no_processes(spark, tmp_path):
+    """Hadoop without its native library starts a process per new file and folder."""
+    rows = spark.range(600).selectExpr("concat('run ', id) AS run_id", "0.2D AS seconds", "id * 1D AS `Load Cell`", "2D AS `Tank Pressure`").coalesce(1)
+    path = str(tmp_path / "log")
+    logs.append_log(rows.limit(1), path)
+    before = started_processes()
+    logs.append_log(rows, path)
+    logs.write_processed(rows, path)
+    assert started_processes() - before < 600
+    back = logs.read_partitioned_log(spark, path, NAMES)
+    assert back.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_folders_are_those_of_sparks_writer(spark, tmp_path):
+    labels = ["24-Jan-05_10:20:30", "a b", "50%", "a+b", "a=b", "", None]
+    rows = [(label, s / 5, value, -0.0) for label in labels for s, value in enumerate((1e-7, None, float("nan"), 1e22))]
+    df = spark.createDataFrame(rows, RUNS)
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    logs.append_log(df, ours)
+    df.repartition("run_id").write.partitionBy("run_id").option("header", True).csv(theirs)
+
+    def content(path):
+        files = [f for f in sorted((tmp_path / path).rglob("*.csv"))]
+        return {f.parent.name: sorted(f.read_text().split("\n")) for f in files}
+
+    assert content("ours") == content("theirs")
+    schema = logs.wide_log(NAMES).add("run_id", "string")
+    by_spark = spark.read.schema(schema).option("header", True).csv(ours)
+    for path in (ours, theirs):
+        back = logs.read_partitioned_log(spark, path, NAMES)
+        assert [f.simpleString() for f in back.schema] == [f.simpleString() for f in by_spark.schema]
+        assert sorted(map(str, back.collect())) == sorted(map(str, by_spark.collect())) and len(rows) == back.count()
+
+
+def test_replaced_runs_leave_nothing_behind(spark, tmp_path):
+    path = tmp_path / "processed"
+    rows = spark.createDataFrame([(r, s / 5, 1.0, 2.0) for r in ("a", "b") for s in range(3)], RUNS)
+    logs.write_processed(rows, str(path))
+    logs.append_log(rows.where("run_id = 'a'"), str(path))
+    assert logs.read_partitioned_log(spark, str(path), NAMES).count() == 9
+    # what is read is replaced by what it gives
+    logs.write_processed(logs.read_partitioned_log(spark, str(path), NAMES).where("run_id = 'a' AND seconds < 0.3"), str(path))
+    assert sorted(f.name for f in path.iterdir()) == ["_SUCCESS", "run_id=a"]
+    assert [f.name.startswith("part-") for f in (path / "run_id=a").iterdir()] == [True]
+    assert sorted(r.seconds for r in logs.read_partitioned_log(spark, str(path), NAMES).collect()) == [0.0, 0.0, 0.2, 0.2]
+    logs.write_processed(rows.limit(0), str(path))
+    assert logs.read_partitioned_log(spark, str(path), NAMES).count() == 0
+
+
+def test_failed_write_leaves_the_log_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(r, s / 5, 1.0, 2.0) for r in ("a", "b") for s in range(3)], RUNS)
+    logs.append_log(rows.where("run_id = 'a'"), path)
+    before = sorted(str(f) for f in (tmp_path / "log").rglob("*"))
+    bad = rows.withColumn("Load Cell", F.when(F.col("run_id") == "b", F.raise_error(F.lit("no"))).otherwise(F.col("Load Cell")))
+    for write in (logs.append_log, logs.write_processed):
+        try:
+            write(bad, path)
+        except Exception as error:
+            assert "no" in str(error)
+        else:
+            raise AssertionError("it did not fail")
+        assert sorted(str(f) for f in (tmp_path / "log").rglob("*")) == before
+
+
+def test_loggers_files_are_read_as_spark_reads_them(spark, tmp_path, monkeypatch):
+    from thrustlog.sources import run_folders
+
+    texts = {
+        "plain/x.csv": "seconds,Load Cell,Tank Pressure\n0.1,1,2\n0.2,3,4",
+        "windows/x.csv": "seconds,Load Cell,Tank Pressure\r\n0.1,1,2\r\n\r\n0.2,3,4\r\n",
+        "old/x.csv": "seconds,Load Cell,Tank Pressure\r0.1,1,2\r0.2,3,4\r",
+        "odd/x.csv": "\ufeff\n  \nseconds,Load Cell,Tank Pressure\n\n0.1,abc,\n0.2\n0.3,\"5\",6,7\n \t\n0.4,1e-7,NaN\n",
+        "long/deep/x.csv": "seconds,Load Cell,Tank Pressure\n" + "".join(f"{i / 10},{i},{-i}\n" for i in range(2000)),
+        "header/x.csv": "seconds,Load Cell,Tank Pressure\n", "none/x.csv": "", "_hidden/x.csv": "seconds\n9,9,9\n", "other/x.txt": "seconds\n9,9,9\n",
+        "plain/.x.csv": "seconds\n9,9,9\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    read = lambda: sorted(map(str, logs.read_log(spark, str(tmp_path), NAMES, "x.csv").collect()))
+    ours = read()
+    monkeypatch.setattr(run_folders, "local_path", lambda spark, path: None)
+    assert ours == read() and len(ours) == 2 * 3 + 4 + 2000
+
+
+def test_ranges_of_a_file_give_each_line_once(tmp_path):
+    from thrustlog.sources import run_folders
+
+    lines = [f"{i},{'x' * (i % 7)}".encode() for i in range(200)]
+    for end in (b"", b"\n"):
+        file = tmp_path / "log.csv"
+        file.write_bytes(b"\n".join([b"head", *lines]) + end)
+        size = file.stat().st_size
+        for step in (1, 5, 64, size):
+            ranges = [(a, min(a + step, size)) for a in range(0, size, step)]
+            got = b"".join(t for a, b in ranges for t in run_folders._whole_lines(str(file), a, b))
+            assert got == b"".join(line + b"\n" for line in lines)
+
+
 def test_config_file(spark, tmp_path):
     (tmp_path / "sensors.json").write_text(SENSOR_CONFIG)
     read = config.read_config(spark, str(tmp_path / "sensors.json"))
